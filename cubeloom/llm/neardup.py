@@ -31,6 +31,7 @@ from cubeloom.llm.runtime import Forest, components, ship, written
 
 T, ROWS, WORDS, PERCENT = 160, 5, 5, 75
 BLOCK_SHINGLES = 3_000_000
+SLICE = 400  # rows hashed at a time in a worker
 
 
 def _draw(shingles: np.ndarray, rounds: np.ndarray) -> np.ndarray:
@@ -61,7 +62,7 @@ def sketch(shingles: np.ndarray, t: int = T) -> np.ndarray:
 
 def _sketched(t: int, rows: int, n_words: int):
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             hashes, at = texthash.words(batch.column(1))
             n = len(at) - 1
             size, high, less, bands = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64), []
@@ -179,7 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = inside.join(blocks, "grp").select("doc_id", "grp", "nb", F.pmod(F.xxhash64("doc_id"), F.col("nb").cast("long")).cast("int").alias("block"))
     cells = placed.select("doc_id", "grp", "block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     cells = cells.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block")
-    full = cells.join(base, "doc_id").select("grp", "i", "j", "doc_id", "block", "text")
+    full = cells.hint("merge").join(base, "doc_id").select("grp", "i", "j", "doc_id", "block", "text")
     found = full.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_verify(n_words, percent), "a long, b long")
     roots = components(found.unionByName(repeated)).select(F.col("a").alias("rep"), F.col("b").alias("root"))
 
