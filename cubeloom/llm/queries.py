@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cubeloom.llm import neardup
+from cubeloom.llm import byte_bpe, neardup, packing
+from cubeloom.llm.pieces import tokenizer_encoder
 from cubeloom.llm.runtime import documents
 
 
+def tokenizer_path(name: str) -> str:
+    return public_tokenizers.path(name)
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    return packing.pack(documents(spark, sf_dir), lambda: tokenizer_encoder(path, True, "<u2").encode)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict:
-    return {"op4_near_duplicates": op4_near_duplicates}
+    return {
+        "op1_packing": op1_packing,
+        "op3_byte_bpe": op3_byte_bpe,
+        "op4_near_duplicates": op4_near_duplicates,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
