@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cubeloom.llm import byte_bpe, neardup, packing
+from cubeloom.llm import ann, byte_bpe, fingerprint, hostextract, idstore, neardup, packing, pseudonym, suffix_lm, toxicity
 from cubeloom.llm.pieces import tokenizer_encoder
-from cubeloom.llm.runtime import documents
+from cubeloom.llm.runtime import documents, scratch
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,15 +24,58 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), lambda: tokenizer_encoder(path, True, "<u2").encode)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.coalesce(suffix_lm.crc_modulo("doc_id", 5) != 0, F.lit(False)))
+    held_out = F.coalesce(suffix_lm.crc_modulo("doc_id", 5) == 0, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "offending")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(suffix_lm.crc_modulo("doc_id", 7) == 2, F.lit(False))
+    tree, unigrams = suffix_lm.fit(docs, ~held_out)
+    return suffix_lm.score(docs, tree, unigrams, held_out)
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pseudonym.pseudonymise(docs, count="n_changed")
+
+
+def op9_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("word_bpe_49k.json")
+    return idstore.store(documents(spark, sf_dir), scratch(spark, "idstore"), lambda: tokenizer_encoder(path, False, "<u2").encode, 2)
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostextract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
+        "op2_toxicity": op2_toxicity,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_near_duplicates": op4_near_duplicates,
+        "op5_suffix_tree": op5_suffix_tree,
+        "op6_nearest": op6_nearest,
+        "op7_fingerprints": op7_fingerprints,
+        "op8_pseudonyms": op8_pseudonyms,
+        "op9_id_store": op9_id_store,
+        "op10_main_text": op10_main_text,
     }
 
 
