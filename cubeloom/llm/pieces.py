@@ -13,7 +13,7 @@ import os
 import re
 from collections.abc import Callable
 
-LONGEST, ENTRIES, GROUP, MARK = 64, 400_000, 256, "<|endoftext|>"
+LONGEST, ENTRIES, GROUP, MARK = 64, 700_000, 256, "<|endoftext|>"
 STOPS = frozenset(".,;:!?")
 _INNER = re.compile(r"\s \s")
 
