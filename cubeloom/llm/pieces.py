@@ -13,7 +13,7 @@ import os
 import re
 from collections.abc import Callable
 
-LONGEST, ENTRIES, GROUP, MARK = 64, 700_000, 256, "<|endoftext|>"
+LONGEST, ENTRIES, GROUP = 64, 700_000, 256
 STOPS = frozenset(".,;:!?")
 _INNER = re.compile(r"\s \s")
 
@@ -21,45 +21,56 @@ _INNER = re.compile(r"\s \s")
 class PieceEncoder:
     """encode_many(list of str) -> list of id bytes, called for unseen pieces only."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], keep_space: bool, entries: int = ENTRIES):
-        self.encode_many, self.keep_space, self.entries = encode_many, keep_space, entries
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], keep_space: bool, entries: int = ENTRIES, lower: bool = False):
+        """lower: the tokenizer lowers its input, so ASCII pieces may be lowered first."""
+        self.encode_many, self.keep_space, self.entries, self.lower = encode_many, keep_space, entries, lower
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
+    def _stem(self, piece: str) -> tuple[str, str]:
+        """(piece, mark) with the same ids: a word and a mark are two matches."""
+        mark = ""
+        if piece[-1:] in STOPS and piece[:-1].isalpha() and (not self.lower or max(piece) < "\u0130"):  # letters that stay letters
+            piece, mark = piece[:-1], piece[-1]
+        return (piece.lower() if self.lower and piece.isascii() else piece), mark
+
     def _fill(self, pieces: set[str]) -> dict[str, bytes]:
         if len(self.young) > self.entries:
             self.young, self.old = {}, self.young
         got: dict[str, bytes] = {}
         need: dict[str, None] = {}
-        marked = []
+        derived = []
         for p in pieces:
             if (ids := self.old.get(p)) is not None:
                 self.young[p] = got[p] = ids
-            elif p[-1:] in STOPS and p[:-1].isalpha():  # a word and a mark: two matches
-                marked.append(p)
-                word = p[:-1]
-                if word not in pieces and word not in self.young:
-                    if (ids := self.old.get(word)) is not None:
-                        self.young[word] = ids
-                    else:
-                        need[word] = None
-            else:
+                continue
+            stem, mark = self._stem(p)
+            if stem == p:
                 need[p] = None
+                continue
+            derived.append((p, stem, mark))
+            if stem not in self.young and stem not in need:
+                if (ids := self.old.get(stem)) is not None:
+                    self.young[stem] = ids
+                else:
+                    need[stem] = None
+        need = {p: None for p in need if p not in self.young}
         if need:
             before = " " if self.keep_space else ""
             for p, ids in zip(need, self.encode_many([before + p for p in need])):
                 got[p] = ids
                 if len(p) <= LONGEST:
                     self.young[p] = ids
-        for p in marked:
-            word, mark = p[:-1], p[-1]
-            if mark not in self.marks:
-                self.marks[mark] = self.encode_many([mark])[0]
-            ids = got.get(word) or self.young[word]
-            got[p] = ids + self.marks[mark]
+        for p, stem, mark in derived:
+            ids = got[stem] if stem in got else self.young[stem]
+            if mark:
+                if mark not in self.marks:
+                    self.marks[mark] = self.encode_many([mark])[0]
+                ids += self.marks[mark]
+            got[p] = ids
             if len(p) <= LONGEST:
-                self.young[p] = got[p]
+                self.young[p] = ids
         return got
 
     def encode(self, text: str) -> bytes:
@@ -86,30 +97,76 @@ def tokenizer_encoder(path: str, keep_space: bool, dtype: str) -> PieceEncoder:
     """An encoder over a file of the tokenizers library, one per worker process."""
     key = (path, keep_space, dtype)
     if key not in _made:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        _made[key] = PieceEncoder(*_library(path, keep_space, dtype))
+    return _made[key]
+
+
+def _library(path: str, keep_space: bool, dtype: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    import json
+    import unicodedata
+
+    import numpy as np
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    wide = np.dtype(dtype).itemsize
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    end = spec["model"].get("end_of_word_suffix")
+    lower = "Lowercase" in json.dumps(spec.get("normalizer"))
+    # Words that the normaliser leaves alone and that are one match go in together,
+    # apart by the tokens that end a word: the same model, less to do around it.
+    plain = last = None
+    if end and not keep_space:
+        plain = Tokenizer.from_file(path)
+        plain.encode_special_tokens = True
+        plain.normalizer = normalizers.Sequence([])
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        last = np.zeros(plain.get_vocab_size(), bool)
+        last[[i for t, i in plain.get_vocab(with_added_tokens=False).items() if t.endswith(end)]] = True
+
+    def single(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def many(texts: list[str]) -> list[bytes]:
+        if plain is None:
+            return single(texts)
+        out: list[bytes | None] = [None] * len(texts)
+        words = [k for k, t in enumerate(texts) if t.isalpha() and t.islower() and (t.isascii() or (max(t) < "\u0250" and unicodedata.is_normalized("NFC", t)))]
+        for at in range(0, len(words), GROUP):
+            group = words[at : at + GROUP]
+            ids = np.array(plain.encode_batch_fast([" ".join([texts[k] for k in group])], add_special_tokens=False)[0].ids)
+            ends = (np.flatnonzero(last[ids]) + 1) * wide
+            if len(ends) != len(group):
+                continue
+            flat, start = ids.astype(dtype).tobytes(), 0
+            for k, stop in zip(group, ends.tolist()):
+                out[k], start = flat[start:stop], stop
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, ids in zip(rest, single([texts[k] for k in rest])):
+            out[k] = ids
+        return out
+
+    return many, keep_space, ENTRIES, lower
+
+
+def byte_level_encoder(path: str, pattern: str, dtype: str) -> PieceEncoder:
+    """The ids of a byte-level file of the tokenizers library whose vocabulary stands in
+    the order of its merges (ids are ranks), by tiktoken, which encodes faster."""
+    key = (path, pattern, dtype)
+    if key not in _made:
+        import json
+
         import numpy as np
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        parted = Tokenizer.from_file(path)  # reads the mark as the special token it is
-        mark_id = parted.token_to_id(MARK)
-
-        def many(texts: list[str]) -> list[bytes]:
-            out: list[bytes] = []
-            for at in range(0, len(texts), GROUP):
-                group = texts[at : at + GROUP]
-                joined = MARK.join(group)
-                if len(group) == 1 or "<|" in joined.replace(MARK, "") or joined.count(MARK) != len(group) - 1:
-                    out += [np.array(e.ids, dtype).tobytes() for e in tok.encode_batch_fast(group, add_special_tokens=False)]
-                    continue
-                ids = np.array(parted.encode_batch_fast([joined], add_special_tokens=False)[0].ids)
-                cut = np.flatnonzero(ids == mark_id)
-                flat, wide = ids.astype(dtype).tobytes(), np.dtype(dtype).itemsize
-                ends = (cut * wide).tolist() + [len(flat)]
-                starts = [0] + ((cut + 1) * wide).tolist()
-                out += [flat[i:j] for i, j in zip(starts, ends)]
-            return out
-
-        _made[key] = PieceEncoder(many, keep_space)
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        letters = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items()}
+        one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        _made[key] = PieceEncoder(lambda texts: [np.array(one(t), dtype).tobytes() for t in texts], keep_space=True)
     return _made[key]

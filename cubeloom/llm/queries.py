@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.llm import ann, byte_bpe, fingerprint, hostextract, idstore, neardup, packing, pseudonym, suffix_lm, toxicity
-from cubeloom.llm.pieces import tokenizer_encoder
+from cubeloom.llm.pieces import byte_level_encoder, tokenizer_encoder
 from cubeloom.llm.runtime import documents, scratch
 
 
@@ -21,7 +21,7 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
-    return packing.pack(documents(spark, sf_dir), lambda: tokenizer_encoder(path, True, "<u2").encode)
+    return packing.pack(documents(spark, sf_dir), lambda: byte_level_encoder(path, public_tokenizers.PATTERN, "<u2").encode)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
