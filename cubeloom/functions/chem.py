@@ -47,7 +47,7 @@ def parse_formula(formula: Column | str) -> Column:
     f = F.col(formula) if isinstance(formula, str) else formula
     pattern = F.lit("([A-Z][a-z]*)([0-9]*)")
     pairs = F.arrays_zip(F.regexp_extract_all(f, pattern, 1).alias("s"), F.regexp_extract_all(f, pattern, 2).alias("n"))
-    return F.transform(pairs, lambda p: F.struct(p["0"].alias("symbol"), F.coalesce(F.nullif(p["1"], F.lit("")).cast("int"), F.lit(1)).alias("count")))
+    return F.transform(pairs, lambda p: F.struct(p["s"].alias("symbol"), F.coalesce(F.nullif(p["n"], F.lit("")).cast("int"), F.lit(1)).alias("count")))
 
 
 def parse(formula: str) -> list[tuple[str, int]]:

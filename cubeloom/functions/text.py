@@ -18,7 +18,7 @@ def format_bytes(n: Column) -> Column:
     for k in range(1, len(UNITS)):
         level = F.when(size >= 1024.0**k, F.lit(k)).otherwise(level)
     value = n.cast("double") / F.pow(F.lit(1024.0), level)
-    number = F.when(value == F.rint(value), F.format_string("%d", F.rint(value).cast("long"))).otherwise(F.format_string("%.2f", value))
+    number = F.when(value == F.rint(value), F.format_string("%d", F.rint(value).cast("long"))).otherwise(F.format_string("%.2f", F.bround(value, 2)))
     return F.concat(number, F.element_at(F.array(*[F.lit(u) for u in UNITS]), level + 1))
 
 

@@ -564,9 +564,9 @@ def _(spark, d):
 
 @query("fn7_axis_scaling", f"{DENSE} select distinct x, {sql_fixed('x * cast(5 as double)')} as um, layer, {sql_fixed('layer + 1')} as number from dense")
 def _(spark, d):
-    df = dense(spark, d).labelled("x", "layer") if False else dense(spark, d)
-    x, layer = df.axis("x"), df.axis("layer")
-    return df.df.select("x", fixed(x.label(F.col("x"))).alias("um"), "layer", fixed(layer.label(F.col("layer"))).alias("number")).distinct()
+    cube = dense(spark, d)
+    x, layer = cube.axis("x"), cube.axis("layer")
+    return cube.df.select("x", fixed(x.label(F.col("x"))).alias("um"), "layer", fixed(layer.label(F.col("layer"))).alias("number")).distinct()
 
 
 @query("fn8_upper_edge", f"{MERGED} select x, y, bin, {sql_fixed('(bin + 1) * cast(1000 as double)')} as edge from coo")
