@@ -1,36 +1,18 @@
-"""Session helpers that the operators share: the shared folder, written tables,
-shipping the package to workers, and connected components."""
+"""Session helpers that the operators share: the shared folder, written tables and
+connected components."""
 
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROOT = Path(__file__).resolve().parents[2]
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Make the package importable in Python workers, once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    target = Path(tempfile.mkdtemp(prefix="cubeloom-")) / "cubeloom.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted((_ROOT / "cubeloom").rglob("*.py")):
-            z.write(p, p.relative_to(_ROOT).as_posix())
-    sc.addPyFile(str(target))
-
+from cubeloom.shipping import ship
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; one of our own only where it is unset."""
@@ -86,6 +68,9 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], raw[at[0] : at[-1]]
 
 
+__all__ = ["Forest", "components", "documents", "scratch", "shared_dir", "ship", "string_buffers", "written"]
+
+
 class Forest:
     """Union-find over arbitrary ids; a root is the smallest id of its tree."""
 
