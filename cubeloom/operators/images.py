@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cubeloom.shipping import ship
+
 
 def spacing(df: DataFrame, value: str, keys: list[str] | None = None, choose: Callable[[Column], Column] | None = None) -> DataFrame:
     """The median (or what `choose` makes) of the differences of an axis's ascending
@@ -67,6 +69,7 @@ def _line(data: np.ndarray, factor: float, order: int) -> np.ndarray:
 
 def zoom(df: DataFrame, factor: float, order: int, width: int, height: int, keys: list[str], value: str) -> DataFrame:
     """Images resampled one by one; an image is bounded by width x height."""
+    ship(df.sparkSession)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubeloom.cube import Cube
+from cubeloom.shipping import ship
 
 
 def steps(b: int) -> list[float]:
@@ -87,6 +88,7 @@ def p2(df: DataFrame, keys: list[str], order: list[str], value: str, b: int = 4)
     """P2 percentiles of each group's values in order. The recurrence depends on the
     order and does not merge, so a group is one task; it streams through constant
     state. Use sketched() where groups are large."""
+    ship(df.sparkSession)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
 
     def run(batches):

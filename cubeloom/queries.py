@@ -280,7 +280,7 @@ def _(spark, d):
 
 @query("jn4_bin_left", f"{POINTS} select x, y, {BIN} as bin, signal from pts")
 def _(spark, d):
-    return C.lineitem_points(spark, d).select("x", "y", ingest.bin_left(F.col("exact"), [*C.lineitem_edges(), 1e9]).alias("bin"), "signal")
+    return C.lineitem_points(spark, d).select("x", "y", ingest.bin_left(F.col("exact"), C.lineitem_edges()).alias("bin"), "signal")
 
 
 @query("jn6_densify", f"{MERGED}, grid as (select cast(a as integer) as x, cast(b as integer) as y, cast(c as integer) as bin from range(32) t(a), range(8) u(b), range(128) v(c)) select x, y, bin, coalesce(signal, 0) as signal from grid left join coo using (x, y, bin)")

@@ -14,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cubeloom.cube import Cube
 from cubeloom.plans.chunking import Box, Chunks, choose_layout
+from cubeloom.shipping import ship
 
 
 class UnsupportedDataError(NotImplementedError):
@@ -85,7 +86,7 @@ class StoredReader(CubeReader):
 
 
 class ChunkSource(ABC):
-    """A custom source: subclass it, register it, read it with format("cube_chunks")."""
+    """A custom source: subclass it, register it, read it with the format of its name."""
 
     @abstractmethod
     def chunks(self) -> Chunks: ...
@@ -103,11 +104,9 @@ class _Part(InputPartition):
     box: Box
 
 
-_SOURCES: dict[str, type[ChunkSource]] = {}
-
-
 def register_source(spark: SparkSession, name: str, source: type[ChunkSource]) -> None:
-    _SOURCES[name] = source
+    """Makes a source readable as spark.read.format(name)."""
+    ship(spark)
 
     class Chunked(DataSource):
         made = source

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cubeloom.operators.quantiles import P2
+from cubeloom.shipping import ship
 
 
 def read_stream(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
@@ -44,6 +45,7 @@ def first_seen(stream: DataFrame, keys: list[str], ts: str | None = None, late:
 def online_quantiles(stream: DataFrame, key: str, value: str, b: int = 4) -> DataFrame:
     """P2 percentiles of each key, updated with every batch; state is 2 (b + 1) + 1
     numbers a key."""
+    ship(stream.sparkSession)
 
     def update(k, batches, state: GroupState):
         p = P2(b, state=state.get) if state.exists else P2(b)
