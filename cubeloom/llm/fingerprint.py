@@ -14,8 +14,8 @@ multisets, so 1 - |A - B| / (|A| + |B|) is estimated over 256 lanes. Equal multi
 give 1.
 
 The text after a document, in ascending doc_id order, is found in ranges of RANGE
-ids, each sorted in one task; the last of a range meets the first of the next range
-that has documents.
+ids, each sorted in one task; the first of the next range that has documents joins
+its predecessors there.
 
 Defined cases: null text is empty and has no passages; two empty texts have likeness
 1. Rows with a null doc_id have no next document: their edited text lacks the part
@@ -28,9 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cubeloom.llm.runtime import written
+
 WORDS, PLANES, WIDE = 4, 12, 4
 GROUP, SHORT = 63, 6
-RANGE = 1024
+RANGE, BROADCAST_RANGES = 1024, 1 << 20
 PASSAGE = r"(?<=[.!?])\\s+|\\n+"
 _MASK = "4294967295L"
 
@@ -116,15 +118,21 @@ def subtract(a: str, b: str) -> Column:
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs (doc_id not null, tie, columns) with struct `next` of those columns of
-    the next row by (doc_id, tie); after the last row comes the first."""
-    ranged = docs.withColumn("range", F.floor(F.col("doc_id") / RANGE))
-    first = ranged.groupBy("range").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
+    the next row by (doc_id, tie); after the last row comes the first.
+
+    The first row of every range goes to the range before it as well, so texts are
+    shuffled once. Which rows those are is a table of one row a range: broadcast up to
+    BROADCAST_RANGES rows, joined by a shuffle beyond."""
+    first = docs.select(F.floor(F.col("doc_id") / RANGE).alias("range"), "doc_id", "tie").groupBy("range").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
     order = "over (order by range rows between unbounded preceding and unbounded following)"
-    after = first.selectExpr("range", f"coalesce(lead(first) over (order by range), first_value(first) {order}) as f")  # a row for each range
-    heads = after.select(F.col("range").alias("of"), F.col("f.doc_id").alias("doc_id"), F.col("f.tie").alias("tie"))
-    head = heads.join(ranged.drop("range"), ["doc_id", "tie"]).select("of", F.struct(*columns).alias("head")).dropDuplicates(["of"])
-    inner = ranged.withColumn("inner", F.expr(f"lead(struct({', '.join(columns)})) over (partition by range order by doc_id, tie)"))
-    return inner.join(head, inner["range"] == head["of"], "left").select(*docs.columns, F.coalesce("inner", "head").alias("next"))
+    after = first.selectExpr("range", f"coalesce(lead(first) over (order by range), first_value(first) {order}) as f")
+    heads = written(after.select(F.col("range").alias("before"), F.col("f.doc_id").alias("doc_id"), F.col("f.tie").alias("tie")), "heads")
+    heads = F.broadcast(heads) if heads.count() <= BROADCAST_RANGES else heads
+    sent = docs.join(heads, ["doc_id", "tie"], "left").withColumn("range", F.floor(F.col("doc_id") / RANGE))
+    sent = sent.select(*docs.columns, F.explode(F.expr("if(before is null, array(struct(range, 0 as guest)), array(struct(range, 0 as guest), struct(before as range, 1 as guest)))")).alias("at"))
+    sent = sent.select(*docs.columns, "at.range", "at.guest")
+    nexts = sent.withColumn("next", F.expr(f"lead(struct({', '.join(columns)})) over (partition by range order by guest, doc_id, tie)"))
+    return nexts.where("guest = 0").select(*docs.columns, "next")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
