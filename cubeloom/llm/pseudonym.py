@@ -104,12 +104,13 @@ def pseudonym(m: str, key: str = KEY) -> str:
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, into: str | None = None, count: str | None = None) -> DataFrame:
     """docs with text_col (or the column `into`) pseudonymised and, if named, the
     number of changed values in `count`. Texts without a digit or @ are not searched."""
-    text = f"`{text_col}`"
-    found = F.expr(f"if({text} rlike '[0-9@]', regexp_extract_all({text}, {_text(PRIVATE)}, 0), cast(array() as array<string>))")
-    new = f"transform(_found, m -> {pseudonym('m', key)})"
-    full = docs.withColumn("_found", found).withColumn("_new", F.expr(f"if(size(_found) > 0, {new}, _found)"))
-    whole = F.expr(f"if(size(_found) > 0, array_join(zip_with(split({text}, {_text(PRIVATE)}, -1), concat(_new, array('')), (a, b) -> concat(a, b)), ''), {text})")
-    full = full.withColumn("_text", whole)
+    text, own = f"`{text_col}`", "_private"
+    while any(c.lower().startswith(own) for c in docs.columns):  # no clash with the table's columns
+        own += "_"
+    found, new, whole = f"{own}found", f"{own}new", f"{own}text"
+    search = F.expr(f"if({text} rlike '[0-9@]', regexp_extract_all({text}, {_text(PRIVATE)}, 0), cast(array() as array<string>))")
+    full = docs.withColumn(found, search).withColumn(new, F.expr(f"if(size({found}) > 0, transform({found}, m -> {pseudonym('m', key)}), {found})"))
+    full = full.withColumn(whole, F.expr(f"if(size({found}) > 0, array_join(zip_with(split({text}, {_text(PRIVATE)}, -1), concat({new}, array('')), (a, b) -> concat(a, b)), ''), {text})"))
     if count:
-        full = full.withColumn(count, F.expr("cast(coalesce(aggregate(zip_with(_found, _new, (a, b) -> if(a = b, 0, 1)), 0, (s, x) -> s + x), 0) as int)"))
-    return full.withColumn(into or text_col, F.col("_text")).drop("_found", "_new", "_text")
+        full = full.withColumn(count, F.expr(f"cast(coalesce(aggregate(zip_with({found}, {new}, (a, b) -> if(a = b, 0, 1)), 0, (s, x) -> s + x), 0) as int)"))
+    return full.withColumn(into or text_col, F.col(whole)).drop(found, new, whole)

@@ -129,7 +129,8 @@ class Tree:
     def _log_p(self, depth: int, state: np.ndarray, follower: np.ndarray) -> np.ndarray:
         keys, gives, passed = self.levels[depth - 1]
         at = lookup(keys, state * len(self.words) + follower)
-        return np.where(at >= 0, gives[np.maximum(at, 0)] if len(gives) else 0.0, passed[state] + self.root[follower])
+        below = self.root[follower] if depth == 1 else self._log_p(1, self.pairs[state] % len(self.words), follower)
+        return np.where(at >= 0, gives[np.maximum(at, 0)] if len(gives) else 0.0, passed[state] + below)
 
     def over_root(self, w: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log10 factor, whether it still has to be met by the root's probability)."""
