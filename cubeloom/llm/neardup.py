@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from cubeloom.llm import texthash
 from cubeloom.llm.runtime import Forest, components, ship, written
 
-T, ROWS, WORDS, PERCENT = 160, 5, 5, 75
+T, ROWS, WORDS, PERCENT = 240, 5, 5, 75
 BLOCK_SHINGLES = 3_000_000
 SLICE = 400  # rows hashed at a time in a worker
 
