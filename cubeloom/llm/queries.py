@@ -79,5 +79,18 @@ def queries() -> dict:
     }
 
 
+#: All pairs by a join on shingles, for small tables only.
+NEAR_DUPLICATES_SQL = r"""
+with recursive w as materialized (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+ s as materialized (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g from w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as t(i) where len(w) > 0),
+ n as materialized (select doc_id, count(*) as n from s group by doc_id),
+ links as materialized (select p.a, p.b from (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2) p
+  join n na on na.doc_id = p.a join n nb on nb.doc_id = p.b where 100 * k >= 75 * (na.n + nb.n - k)),
+ reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join links l on l.a = r.b)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, m.c as component_id, d.doc_id = m.c as kept
+ from documents d left join n using (doc_id) join (select a, min(b) as c from reach group by a) m on m.a = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_near_duplicates": NEAR_DUPLICATES_SQL}
