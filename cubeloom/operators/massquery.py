@@ -135,6 +135,12 @@ def range_spectra(cube: Cube, ranges: list[MassRange]) -> DataFrame:
     return accumulated(in_ranges(cube, ranges), ["range_id", cube.dims[0], cube.dims[-1]], cube.value)
 
 
+def range_custom(cube: Cube, ranges: list[MassRange], keys: list[str], aggregates: dict[str, Column]) -> DataFrame:
+    """Aggregates of one's own over the cells of every range: built-in expressions or
+    grouped-aggregate pandas UDFs."""
+    return in_ranges(cube, ranges).groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
+
+
 def accumulate_images(images: DataFrame, pixel: list[str], how: Accumulator) -> DataFrame:
     """One image of many: sum of the tic images (overlaps count twice) or maximum."""
     made = F.sum("tic").cast(images.schema["tic"].dataType) if how is Accumulator.TIC else F.max("max")

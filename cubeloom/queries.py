@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -115,6 +116,26 @@ def _(spark, d):
     return readers.storage_stats(coo(spark, d), chunking.Chunks((32, 8, 128), (8, 4, 16))).withColumn("density", fixed(F.col("density")))
 
 
+class Ramp(readers.ChunkSource):
+    """A custom source: signal = x + mz."""
+
+    def chunks(self) -> chunking.Chunks:
+        return chunking.Chunks((40, 64), (16, 24))
+
+    def dims(self) -> tuple[str, ...]:
+        return ("x", "mz")
+
+    def fill(self, box):
+        (a, b), (c, d) = box
+        return np.add.outer(np.arange(a, b), np.arange(c, d))
+
+
+@query("src1_custom_source", "select cast(a as integer) as x, cast(b as integer) as mz, cast(a + b as bigint) as signal from range(40) t(a), range(64) u(b) where a + b > 0")
+def _(spark, d):
+    readers.register_source(spark, "cubeloom_ramp", Ramp)
+    return spark.read.format("cubeloom_ramp").load().withColumn("signal", F.col("signal").cast("long"))
+
+
 # Sinks (the rows they write) ------------------------------------------------------
 
 
@@ -611,6 +632,29 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").groupBy("p_size").agg(F.ceil(F.first("p_size") / F.lit(7.0)).alias("chunks"), F.count("*").alias("n")).select("p_size", "chunks", "n")
 
 
+PLANS = [((1, 2, 3), 10), ((1, 2, 3), 200), ((1, 1, 2), 10), ((1, 1, 2), 200), ((1, 1, 1), 200)]
+
+
+def plans(spark, make) -> DataFrame:
+    rows = [(k, *make(n, p)) for k, (p, n) in enumerate(PLANS)]
+    return spark.createDataFrame(rows, "plan int, a int, b int, c int")
+
+
+@query("chk2_max_items", "select * from (values (0, 10, 1, 1), (1, 100, 2, 1), (2, 3, 3, 1), (3, 14, 14, 1), (4, 5, 5, 5)) t(plan, a, b, c)")
+def _(spark, d):
+    return plans(spark, lambda n, p: chunking.from_max_items((100, 100, 100), n, p).chunk)
+
+
+@query("chk3_min_chunks", "select * from (values (0, 10, 1, 1), (1, 100, 2, 1), (2, 4, 4, 1), (3, 15, 15, 1), (4, 6, 6, 6)) t(plan, a, b, c)")
+def _(spark, d):
+    return plans(spark, lambda n, p: chunking.from_min_chunks((100, 100, 100), n, p).counts)
+
+
+@query("chk6_normalised", "select * from (values (0, 5, 5, 1)) t(plan, a, b, c)")
+def _(spark, d):
+    return spark.createDataFrame([(0, *chunking.Chunks((10, 10, 1), (7, 7, 1)).normalised().chunk)], "plan int, a int, b int, c int")
+
+
 @query("chk7_chunk_boxes", "select cast(a * 8 as integer) as x_lo, cast(least(a * 8 + 8, 25) as integer) as x_hi, cast(b * 30 as integer) as mz_lo, cast(least(b * 30 + 30, 64) as integer) as mz_hi from range(4) t(a), range(3) u(b)")
 def _(spark, d):
     return chunking.chunk_table(spark, chunking.Chunks((25, 64), (8, 30)), ["x", "mz"])
@@ -660,6 +704,12 @@ def _(spark, d):
 # Relational extensions over cubes --------------------------------------------------------------------------------
 
 
+@query("ext_range_custom", f"{DENSE}, {RANGE_SQL} select range_id, layer, cast(count(*) as bigint) as cells, cast(sum(signal) filter (where signal > 1000) as bigint) as bright from dense join ranges on mz >= lo and mz < hi group by range_id, layer")
+def _(spark, d):
+    bright = F.sum(F.when(F.col("signal") > 1000, F.col("signal")))
+    return M.range_custom(dense(spark, d), RANGES, ["range_id", "layer"], {"cells": F.count("*"), "bright": bright})
+
+
 @query("ext_rollup", f"{DENSE} select layer, x, cast(sum(signal) as bigint) as signal from dense group by rollup (layer, x)")
 def _(spark, d):
     return dense(spark, d).df.rollup("layer", "x").agg(F.sum("signal").alias("signal"))
