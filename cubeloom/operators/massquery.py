@@ -147,16 +147,6 @@ def accumulate_images(images: DataFrame, pixel: list[str], how: Accumulator) ->
     return images.groupBy(*pixel).agg(made.alias("signal"))
 
 
-def divisor(values: Column, how: Norm, keys: list[str]) -> Column:
-    """The window aggregate to divide by: 1, sum or maximum."""
-    from pyspark.sql import Window
-
-    if how is Norm.NONE:
-        return F.lit(1.0)
-    over = Window.partitionBy(*keys)
-    return (F.sum(values) if how is Norm.TIC else F.max(values)).over(over).cast("double")
-
-
 def normalise(df: DataFrame, value: str, how: Norm, keys: list[str], alias: str = "scaled") -> DataFrame:
     """value divided by its group's sum or maximum; null where that is zero. Groups
     are aggregated first and joined back, so a large group is no single task."""
