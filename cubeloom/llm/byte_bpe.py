@@ -181,7 +181,7 @@ class ByteBPE:
         self.transducer = Transducer(read_ranks(path))
         self.pattern = regex.compile(pattern)
         self.tokens = [self.transducer.bytes_of.get(i, b"") for i in range(max(self.transducer.bytes_of) + 1)]
-        self.pieces = PieceEncoder(lambda texts: [self.encode_plain(t) for t in texts], keep_space=True)
+        self.pieces = PieceEncoder(lambda texts: [self.encode_plain(t) for t in texts], keep_space=True, entries=400_000)
 
     def encode_plain(self, text: str) -> bytes:
         encode, out = self.transducer.encode, []
