@@ -8,8 +8,10 @@ every one fills and that agreement concentrates around the Jaccard similarity.
 
 Documents with equal shingle sets collapse first. Sketches are cut into bands; sets
 that share a band form candidate groups (connected components, no pair lists).
-Inside a group every link is decided on whole sets with an inverted index; groups
-beyond BLOCK_SHINGLES are cut into blocks and every pair of blocks is one cell.
+Inside a group every link is decided on whole sets with an inverted index. Groups
+beyond BLOCK_SHINGLES are cut into blocks: all blocks meet the member with the most
+company first, which ties most of a group of copies in linear time; only what it does
+not tie meets the other blocks, pair by pair of blocks.
 
 Defined cases: null or empty text, or only white space: no shingles, linked with
 nothing, kept. Null doc_id: takes no part, component_id null, kept. Rows that repeat
@@ -32,6 +34,7 @@ from cubeloom.llm.runtime import Forest, components, ship, written
 T, ROWS, WORDS, PERCENT = 240, 5, 5, 75
 BLOCK_SHINGLES = 3_000_000
 SLICE = 400  # rows hashed at a time in a worker
+HEAD = -1
 
 
 def _draw(shingles: np.ndarray, rounds: np.ndarray) -> np.ndarray:
@@ -90,8 +93,9 @@ def _sketched(t: int, rows: int, n_words: int):
 
 def links(ids: list[int], block: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of all pairs with 100 * common >= percent * union; with two
-    blocks, of the pairs between them. Exact: every pair of sets that ends in
-    different trees has been compared on whole sets."""
+    blocks, of the pairs between them; with a block HEAD, of the pairs with its one
+    set. Exact: every pair of sets that ends in different trees has been compared on
+    whole sets."""
     n = len(ids)
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(n), sizes)
@@ -118,6 +122,9 @@ def links(ids: list[int], block: np.ndarray, sets: list[np.ndarray], percent: in
             if forest.join(i, j):
                 found.append((ids[i], ids[j]))
 
+    if (heads := np.flatnonzero(block == HEAD)).size:
+        compare(int(heads[0]))
+        return found
     done = np.zeros(n, bool)
     for i in np.argsort(-central, kind="stable")[:1].tolist():
         compare(i)
@@ -170,7 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = classes.where("doc_id = rep").select("doc_id").distinct()
 
     banded = live.join(heads, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b <> last").select("band", "b")
+    shared = banded.groupBy("band").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last"), F.count("*").alias("c")).where("b <> last").select("band", "b", "c")
     near = banded.join(shared, "band").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
     groups = components(near)
     inside = written(groups.select(F.col("a").alias("doc_id"), F.col("b").alias("grp")).unionByName(groups.select(F.col("b").alias("doc_id"), F.col("b").alias("grp")).distinct()), "groups")
@@ -178,10 +185,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weights = classes.where("doc_id = rep").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
     blocks = inside.join(weights, "doc_id").groupBy("grp").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("nb"))
     placed = inside.join(blocks, "grp").select("doc_id", "grp", "nb", F.pmod(F.xxhash64("doc_id"), F.col("nb").cast("long")).cast("int").alias("block"))
-    cells = placed.select("doc_id", "grp", "block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    cells = cells.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block")
-    full = cells.hint("merge").join(base, "doc_id").select("grp", "i", "j", "doc_id", "block", "text")
-    found = full.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_verify(n_words, percent), "a long, b long")
+    verify = _verify(n_words, percent)
+
+    def decided(cells: DataFrame) -> DataFrame:
+        full = cells.hint("merge").join(base, "doc_id").select("grp", "i", "j", "doc_id", "block", "text")  # members grow with the table
+        return full.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(verify, "a long, b long")
+
+    whole = placed.where("nb = 1").selectExpr("grp", "0 as i", "0 as j", "doc_id", "block")
+    if blocks.where("nb > 1").isEmpty():
+        found = decided(whole)
+    else:
+        # Large groups: everything meets the member with the most company first; what
+        # it links needs no test among itself. The rest, cut into blocks of its own,
+        # meets itself and what was linked, block by block.
+        large = placed.where("nb > 1")
+        company = banded.join(large, "doc_id", "left_semi").join(shared, "band").groupBy("doc_id").agg(F.sum("c").alias("c"))
+        heads = large.join(company, "doc_id").groupBy("grp").agg(F.max_by("doc_id", F.struct("c", -F.col("doc_id"))).alias("head"), F.max("nb").alias("nb"))
+        led = large.join(heads.select("grp", "head"), "grp").where("doc_id <> head")
+        star = led.selectExpr("grp", "block as i", "-1 as j", "doc_id", "block").unionByName(heads.select("grp", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.lit(-1).alias("j"), F.col("head").alias("doc_id"), F.lit(HEAD).alias("block")))
+        first = written(decided(star), "star")
+        tied = first.select(F.col("b").alias("doc_id")).unionByName(first.select(F.col("a").alias("doc_id"))).distinct()
+        rest = led.join(tied, "doc_id", "left_anti")
+        parts = rest.join(weights, "doc_id").groupBy("grp").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("nu"))
+        rest = written(rest.join(parts, "grp").select("grp", "doc_id", "nb", "nu", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("nu").cast("long")).cast("int").alias("u")), "rest")
+        linked = large.join(tied, "doc_id", "left_semi").join(parts, "grp")
+        among = rest.select("grp", "doc_id", "u", F.explode(F.sequence(F.lit(0), F.col("nu") - 1)).alias("o")).select("grp", F.least("u", "o").alias("i"), F.greatest("u", "o").alias("j"), "doc_id", F.col("u").alias("block"))
+        one = rest.select("grp", F.col("u").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"), "doc_id").selectExpr("grp", "i", f"{1 << 30} + b as j", "doc_id", "0 as block")
+        other = linked.select("grp", F.explode(F.sequence(F.lit(0), F.col("nu") - 1)).alias("i"), "block", "doc_id").selectExpr("grp", "i", f"{1 << 30} + block as j", "doc_id", "1 as block")
+        cells = whole.unionByName(among).unionByName(one).unionByName(other)
+        found = decided(cells).unionByName(first)
     roots = components(found.unionByName(repeated)).select(F.col("a").alias("rep"), F.col("b").alias("root"))
 
     placed = classes.join(roots, "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
