@@ -152,14 +152,14 @@ def _library(path: str, keep_space: bool, dtype: str):
     return many, keep_space, ENTRIES, lower
 
 
-def byte_level_encoder(path: str, pattern: str, dtype: str) -> PieceEncoder:
+def byte_level_encoder(path: str, pattern: str, dtype: str, entries: int = 300_000) -> PieceEncoder:
     """The ids of a byte-level file of the tokenizers library whose vocabulary stands in
-    the order of its merges (ids are ranks), by tiktoken, which encodes faster."""
-    key = (path, pattern, dtype)
+    the order of its merges (ids are ranks), by tiktoken, which encodes faster. Each
+    call has a cache of its own, so a task's memory ends with it."""
+    key = (path, pattern)
     if key not in _made:
         import json
 
-        import numpy as np
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -167,6 +167,8 @@ def byte_level_encoder(path: str, pattern: str, dtype: str) -> PieceEncoder:
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         letters = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
         ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items()}
-        one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        _made[key] = PieceEncoder(lambda texts: [np.array(one(t), dtype).tobytes() for t in texts], keep_space=True)
-    return _made[key]
+        _made[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    import numpy as np
+
+    one = _made[key]
+    return PieceEncoder(lambda texts: [np.array(one(t), dtype).tobytes() for t in texts], keep_space=True, entries=entries)
