@@ -1,16 +1,20 @@
 """A probabilistic suffix tree over words, grown level by level and used to score texts.
 
-Root: add-one unigrams over the whole vocabulary of the training documents, kept as
-a table and met by a join, so it grows with the corpus without a bound. Deeper
-states: a context is a candidate if it occurs at least max(MIN_COUNT, SHARE * N)
-times, N being the training tokens; the followers it keeps must occur after it as
-often. So each level has at most 1 / SHARE entries whatever the corpus, which bounds
-what is sent to workers. A candidate is retained if the distribution of its
-followers diverges from that of its longest retained suffix: twice the log
-likelihood ratio G over its k kept followers exceeds k + 4 sqrt(2 k), four standard
-deviations above what chance gives. A retained state gives a kept follower
-(c - DISCOUNT) / c(state) and passes the rest of its mass to its suffix,
-renormalised over what it does not keep, so every state is a distribution.
+Root: add-one unigrams over the whole vocabulary of the training documents. Deeper
+states: contexts of up to DEPTH words. A context and the followers it keeps must occur
+at least MIN_COUNT times, whatever the size of the corpus, so the levels grow with it;
+they stay tables and nothing of their size is collected. A candidate is retained if the
+distribution of its followers diverges from that of its longest retained suffix: twice
+the log likelihood ratio G over its k kept followers exceeds k + 4 sqrt(2 k), four
+standard deviations above what chance gives. A retained state gives a kept follower
+(c - DISCOUNT) / c(state) and passes the rest of its mass to its suffix, renormalised
+over what it does not keep, so every state is a distribution.
+
+Texts are scored by sums: what a state passes on and what it changes for a follower are
+weights of the runs of words, and a text's score is its root score and the weights of
+all its runs. Rows meet the weights by a join on the run's hash. Runs that make up at
+least SHARE of the tokens are looked up beside the texts instead, which changes no
+score, and a bitmap of bounded size drops most of what the join would not find.
 
 Defined cases: null and empty texts are the end token alone. Null doc_ids are never
 held out and train. Rows that repeat a doc_id are counted and scored one by one.
@@ -20,6 +24,8 @@ matter.
 
 from __future__ import annotations
 
+from functools import cached_property, reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,6 +36,7 @@ from cubeloom.llm import texthash
 from cubeloom.llm.runtime import ship, written
 
 MIN_COUNT, SHARE, DISCOUNT, DEPTH = 3, 1e-6, 0.5, 2
+MOST_BITS = 1 << 28
 END = np.uint64(0x3C79AC492BA7B653)
 SLICE = 600
 
@@ -41,111 +48,122 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Counts:
-    """Counts of keys, merged as they grow; bounded by the distinct keys of a task."""
+    """Counts of keys, merged as they grow and handed on in parts where they do not
+    shrink. Further columns are those of a key's first row."""
 
     def __init__(self) -> None:
-        self.keys, self.counts, self.size = [], [], 0
+        self.parts, self.size = [], 0
 
-    def add(self, keys: np.ndarray) -> None:
-        k, c = np.unique(keys, return_counts=True)
-        self.keys.append(k)
-        self.counts.append(c)
+    def add(self, keys: np.ndarray, *more: np.ndarray) -> None:
+        k, first, c = np.unique(keys, return_index=True, return_counts=True)
+        self.parts.append((k, c, *(x[first] for x in more)))
         self.size += len(k)
-        if self.size > 4_000_000:
-            k, c = self.merged()
-            self.keys, self.counts, self.size = [k], [c], len(k) // 2
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keys:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        k, at = np.unique(np.concatenate(self.keys), return_inverse=True)
-        return k, np.bincount(at, np.concatenate(self.counts), len(k)).astype(np.int64)
 
-    def batches(self):
-        k, c = self.merged()
-        k = k.view(np.int64) if k.dtype == np.uint64 else k
-        for at in range(0, len(k), 200_000):
-            yield pa.record_batch([pa.array(k[at : at + 200_000], pa.int64()), pa.array(c[at : at + 200_000], pa.int64())], names=["key", "c"])
+    def full(self, *names: str):
+        if self.size > 1_500_000:
+            self.parts = [self.merged()]
+            self.size = len(self.parts[0][0])
+            if self.size > 750_000:
+                yield from self.batches(*names)
+
+    def merged(self) -> tuple[np.ndarray, ...]:
+        keys, counts, *more = map(np.concatenate, zip(*self.parts))
+        k, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        return k, np.bincount(at, counts, len(k)).astype(np.int64), *(x[first] for x in more)
+
+    def batches(self, *names: str):
+        """The counts as c after the named columns: the key, or what came with it."""
+        if not self.parts:
+            return
+        k, c, *more = self.merged()
+        columns = more or [k]
+        if more:  # neighbours alike, for the shuffle's compression
+            order = np.argsort(more[0])
+            c, columns = c[order], [x[order] for x in more]
+        self.parts, self.size = [], 0
+        for at in range(0, len(c), 200_000):
+            yield pa.record_batch([pa.array(x[at : at + 200_000].view(np.int64), pa.int64()) for x in (*columns, c)], names=[*names, "c"])
+
+
+def above(keys: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The key of a run of words from those of the run without its last and without
+    its first word."""
+    return texthash.mix(keys * np.uint64(0xD6E8FEB86659FD93) + after)
+
+
+def _runs(h: np.ndarray, at: np.ndarray, longest: int):
+    """(k, keys of the runs of k words at each position, whether the text goes on so far)."""
+    left = np.repeat(at[1:], np.diff(at)) - np.arange(at[-1])
+    keys = h
+    for k in range(1, longest + 1):
+        if k > 1:
+            keys = above(keys, np.append(keys[1:], np.uint64(0)))
+        yield k, keys, left >= k
+
+
+class Sieve:
+    """A bitmap of keys that lets all of them pass, and few others: it only spares
+    work, exact joins follow. At most MOST_BITS whatever the number of keys."""
+
+    def __init__(self, keys: DataFrame, n: int):
+        self.bits = min(MOST_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+        at = F.col("key").bitwiseAND(F.lit(self.bits - 1))
+        got = keys.select(F.shiftright(at, 6).alias("at"), F.expr("shiftleft(1L, cast(key & 63L as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+        self.map = np.zeros(self.bits >> 6, np.uint64)
+        self.map[got.column("at").to_numpy()] = got.column("bit").to_numpy().astype(np.int64).view(np.uint64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys & np.uint64(self.bits - 1)
+        return (self.map[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
 class Tree:
-    """The retained states, as sorted arrays. words: the frequent words (hashes);
-    level k has the keys state * len(words) + follower of the followers that states
-    of k words keep, what they give (log10), and each state's log10 of what it
-    passes on. A state of one word is the word's index, one of two words the index of
-    its pair among the pairs of `pairs`."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, n: int, v: int):
-        self.words, self.counts, self.n, self.v = words, counts, n, v
-        self.root = np.log10((counts + 1) / (n + v + 1)) if len(words) else np.zeros(0)
-        self.pairs = np.zeros(0, np.int64)
-        self.pair_counts = np.zeros(0, np.int64)
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def index(self, hashes: np.ndarray) -> np.ndarray:
-        return lookup(self.words, hashes)
-
-    def keys(self, depth: int, w: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-        """For each position the key of its state of `depth` words and its word; -1
-        if one of them is not frequent. fresh: positions since the text began."""
-        m = len(self.words)
-        if depth == 1:
-            state = np.concatenate(([-1], w[:-1]))
-        else:
-            one = self.keys(1, w, fresh)
-            state = np.concatenate(([-1], lookup(self.pairs, one)[:-1]))
-        key = state * m + w
-        key[(state < 0) | (w < 0) | (fresh < depth)] = -1
-        return key
-
-    def states(self, depth: int, w: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-        if depth == 1:
-            state = np.concatenate(([-1], w[:-1]))
-        else:
-            state = np.concatenate(([-1], lookup(self.pairs, self.keys(1, w, fresh))[:-1]))
-        state[fresh < depth] = -1
-        return state
-
-    def grow(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Adds a level from the counts of (state, follower), keys ascending."""
-        m, depth = len(self.words), len(self.levels) + 1
-        totals = self.counts if depth == 1 else self.pair_counts
-        state, follower = np.divmod(keys, max(m, 1))
-        c, of = counts.astype(float), totals[state].astype(float)
-        below = self.root[follower] if depth == 1 else self._log_p(1, self.pairs[state] % m, follower)
-        n = len(totals)
-        kept = np.bincount(state, minlength=n)
-        gain = 2 * np.bincount(state, c * (np.log(c / of) - below * np.log(10)), n)
-        retained = gain > kept + 4 * np.sqrt(2 * kept)
-        left = (totals - np.bincount(state, c - DISCOUNT, n)) / np.maximum(totals, 1)
-        rest = 1 - np.bincount(state, 10**below, n)
-        retained &= (left > 0) & (rest > 1e-9) & (kept > 0)
-        passed = np.where(retained, np.log10(np.where(retained, left / np.maximum(rest, 1e-9), 1)), 0.0)
-        use = retained[state]
-        self.levels.append((keys[use], np.log10((c - DISCOUNT) / of)[use], passed))
-        if depth == 1:
-            self.pairs, self.pair_counts = keys, counts
+    """The tree as tables. runs[k - 1]: the runs of k words that may matter, with their
+    prefix and suffix runs (keys), count c, log10 probability logp of the last word after
+    the others, live: whether more words in front could still change it. states[k - 1]:
+    the contexts of k words with what they pass on (log10). weights: (key, c, weight) of
+    runs; a text's score is its root score and the weights of all runs in it."""
+
+    def __init__(self, n: int, v: int, least: float, words: DataFrame):
+        self.n, self.v, self.least = n, v, least
+        self.runs, self.states = [words], []
+        self.weights: DataFrame | None = None
+
+    @cached_property
+    def _small(self) -> tuple:
+        """For small trees, as arrays: the word hashes, their root log10, and by level
+        the codes state * words + last word of all runs, each run's suffix state, and
+        (codes that retained states give, what they give, what each state passes on)."""
+        first = self.runs[0].toArrow().to_pandas().sort_values("key", ignore_index=True)
+        m = len(first)
+        state, last = dict(zip(first["key"], range(m))), dict(zip(first["key"], range(m)))
+        codes, suffixes, levels = [np.arange(m)], [np.zeros(m, int)], []
+        for runs, states in zip(self.runs[1:], self.states):
+            t = runs.toArrow().to_pandas()
+            t["code"] = t["prefix"].map(state) * m + t["suffix"].map(last)
+            t = t.sort_values("code", ignore_index=True)
+            passed = np.zeros(len(codes[-1]))
+            retained = states.where("retained").toArrow().to_pandas()
+            passed[retained["key"].map(state).astype(int)] = retained["passed"]
+            use = t[t["delta"].notna()]
+            levels.append((use["code"].to_numpy(), use["logp"].to_numpy(), passed))
+            codes.append(t["code"].to_numpy())
+            suffixes.append(t["suffix"].map(state).to_numpy())
+            last = dict(zip(t["key"], t["suffix"].map(last)))
+            state = dict(zip(t["key"], range(len(t))))
+        return first["key"].to_numpy().view(np.uint64), first["logp"].to_numpy(), codes, suffixes, levels
+
+    words = property(lambda self: self._small[0])
+    root = property(lambda self: self._small[1])
+    pairs = property(lambda self: self._small[2][1])
+    levels = property(lambda self: self._small[4])
 
     def _log_p(self, depth: int, state: np.ndarray, follower: np.ndarray) -> np.ndarray:
         keys, gives, passed = self.levels[depth - 1]
         at = lookup(keys, state * len(self.words) + follower)
-        below = self.root[follower] if depth == 1 else self._log_p(1, self.pairs[state] % len(self.words), follower)
+        below = self.root[follower] if depth == 1 else self._log_p(depth - 1, self._small[3][depth - 1][state], follower)
         return np.where(at >= 0, gives[np.maximum(at, 0)] if len(gives) else 0.0, passed[state] + below)
 
-    def over_root(self, w: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 factor, whether it still has to be met by the root's probability)."""
-        total, open_ = np.zeros(len(w)), np.ones(len(w), bool)
-        for depth in range(len(self.levels), 0, -1):
-            keys, gives, passed = self.levels[depth - 1]
-            state, key = self.states(depth, w, fresh), self.keys(depth, w, fresh)
-            at = lookup(keys, key)
-            hit = open_ & (at >= 0) & (key >= 0)
-            total[hit] += gives[at[hit]]
-            open_ &= ~hit
-            down = open_ & (state >= 0)
-            total[down] += passed[state[down]]
-        return total, open_
-
 
 def lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Index of each key, -1 if it is not there."""
@@ -155,10 +173,6 @@ def lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
-def _fresh(at: np.ndarray) -> np.ndarray:
-    return np.arange(at[-1]) - np.repeat(at[:-1], np.diff(at))
-
-
 def _slices(batches, column: int):
     for batch in batches:
         for k in range(0, batch.num_rows, SLICE):
@@ -170,41 +184,68 @@ def _count_words(batches):
     counts = _Counts()
     for _, h, _at in _slices(batches, 0):
         counts.add(h)
-    yield from counts.batches()
+        yield from counts.full("key")
+    yield from counts.batches("key")
+
 
+def _count_level(sieve: Sieve, alive: Sieve | None, length: int):
+    """Counts runs of `length` words, both of whose parts are frequent, if they give a
+    word after a context that is alive or are themselves a context that may be."""
 
-def _count_level(tree: Tree, depth: int):
     def run(batches):
         counts = _Counts()
         for _, h, at in _slices(batches, 0):
-            key = tree.keys(depth, tree.index(h), _fresh(at))
-            counts.add(key[key >= 0])
-        yield from counts.batches()
+            later = None  # whether the run of length - 2 words at a position is an alive context
+            for k, keys, whole in _runs(h, at, length):
+                if k == length - 2:
+                    later = alive.has(keys)
+                if k == length - 1:
+                    frequent, part = sieve.has(keys) & whole, keys
+            ok = whole & frequent & np.append(frequent[1:], False)
+            if later is not None:
+                ok &= np.append(later[1:], False) | np.append(later[2:], [False] * min(2, len(later)))
+            counts.add(keys[ok], part[ok], part[1:][ok[:-1]])
+            yield from counts.full("prefix", "suffix")
+        yield from counts.batches("prefix", "suffix")
 
     return run
 
 
-def _score(tree: Tree):
+def _keyed(batches):
+    for batch in batches:
+        prefix, suffix = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+        yield pa.record_batch([pa.array(above(prefix, suffix).view(np.int64)), *batch.columns], names=["key", "prefix", "suffix", "c"])
+
+
+def _score(n: int, v: int, words: tuple, hot: tuple, sieve: Sieve, longest: int):
+    root = np.log10((words[1] + 1) / (n + v + 1))
+
     def run(batches):
         pid, row = TaskContext.get().partitionId(), 0
         for part, h, at in _slices(batches, 1):
-            w = tree.index(h)
-            total, open_ = tree.over_root(w, _fresh(at))
-            hot = w >= 0
-            root = np.where(hot, tree.root[np.maximum(w, 0)] if len(tree.root) else 0.0, 0.0)
+            w = lookup(words[0], h)
+            known = w >= 0
+            base = np.where(known, root[np.maximum(w, 0)] if len(root) else 0.0, 0.0)
+            total, far, of = base.copy(), [], []
+            for _, keys, whole in _runs(h, at, longest):
+                met = np.flatnonzero(whole & sieve.has(keys))
+                found = lookup(hot[0], keys[met])
+                total[met[found >= 0]] += hot[1][found[found >= 0]]
+                far.append(keys[met[found < 0]])
+                of.append(met[found < 0])
             first = at[:-1]
-            base = np.add.reduceat(root, first)
-            score = np.add.reduceat(total + np.where(open_, root, 0.0), first)
-            known = np.add.reduceat(hot.astype(np.int64), first)
-            cold = h[~hot].view(np.int64)
-            where = np.concatenate(([0], np.cumsum(np.add.reduceat((~hot).astype(np.int64), first))))
-            lists = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(cold, pa.int64()))
-            n = len(first)
+            of = np.searchsorted(at, np.concatenate(of), "right") - 1
+            order = np.argsort(of, kind="stable")
+            where = np.searchsorted(of[order], np.arange(len(at)))
+            met_later = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(np.concatenate(far)[order].view(np.int64), pa.int64()))
+            cold = np.concatenate(([0], np.cumsum(np.add.reduceat((~known).astype(np.int64), first))))
+            unknown = pa.ListArray.from_arrays(pa.array(cold, pa.int32()), pa.array(h[~known].view(np.int64), pa.int64()))
+            sums = (np.add.reduceat(x, first) for x in (known.astype(np.int64), base, total))
             yield pa.record_batch(
-                [pa.array((pid << 40) + row + np.arange(n)), part.column(0), part.column(2), pa.array(np.diff(at)), pa.array(known), pa.array(base), pa.array(score), lists],
-                names=["rk", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "cold"],
+                [pa.array((pid << 40) + row + np.arange(len(first))), part.column(0), part.column(2), pa.array(np.diff(at)), *map(pa.array, sums), unknown, met_later],
+                names=["rk", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "cold", "far"],
             )
-            row += n
+            row += len(first)
 
     return run
 
@@ -216,34 +257,88 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     texts = docs.where(training).select(F.col(text_col).cast("string").alias("text"))
     unigrams = written(texts.mapInArrow(_count_words, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "unigrams")
     n, v = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(min_count, share * n)
-    words, counts = _arrays(unigrams.where(F.col("c") >= least), np.uint64)  # at most 1 / share
-    tree = Tree(words, counts, n, v)
-    for level in range(1, depth + 1):
-        found = texts.mapInArrow(_count_level(tree, level), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-        tree.grow(*_arrays(found.where(F.col("c") >= least), np.int64))  # at most 1 / share
+    root = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
+    tree = Tree(n, v, max(min_count, share * n), unigrams.where(F.col("c") >= min_count).select("key", "c", root.alias("logp"), F.lit(True).alias("live")))
+    weights, alive = [], None
+    for length in range(2, depth + 2):
+        below = tree.runs[-1]
+        sieve = Sieve(below.select("key"), below.count())
+        counted = texts.mapInArrow(_count_level(sieve, alive, length), "prefix long, suffix long, c long").groupBy("prefix", "suffix").agg(F.sum("c").alias("c"))
+        found = counted.where(F.col("c") >= min_count).mapInArrow(_keyed, "key long, prefix long, suffix long, c long")
+        tops = below.select(F.col("key").alias("prefix"), F.col("c").alias("total"))
+        lows = below.select(F.col("key").alias("suffix"), F.col("logp").alias("below"), F.col("live").alias("asked"))
+        met = written(found.join(tops.hint("merge"), "prefix").join(lows.hint("merge"), "suffix"), "runs")
+        states = written(_states(met.where("asked")), "states")
+        runs = written(_resolved(met, states), "level")
+        tree.runs.append(runs)
+        tree.states.append(states)
+        weights += [runs.where("delta is not null").select("key", "c", F.col("delta").alias("weight")), states.where("retained").select("key", "c", F.col("passed").alias("weight"))]
+        going = states.where("alive").select("key")
+        many = going.count()
+        if not many:
+            break
+        alive = Sieve(going, many)
+    if weights:
+        tree.weights = written(reduce(DataFrame.unionByName, weights).groupBy("key").agg(F.max("c").alias("c"), F.sum("weight").alias("weight")), "weights")
     return tree, unigrams
 
 
-def _arrays(table: DataFrame, kind) -> tuple[np.ndarray, np.ndarray]:
+def _states(met: DataFrame) -> DataFrame:
+    """The contexts of runs (prefix, c, total, below): retained or not, what they pass
+    on, and whether a longer context could be retained. Its gain is at most that of
+    all these followers, and a follower's own probability is what it had to beat."""
+    c, total, below, ten = F.col("c"), F.col("total"), F.col("below"), float(np.log(10))
+    each = met.groupBy(F.col("prefix").alias("key")).agg(
+        F.max("total").alias("c"), F.count("*").alias("kept"), F.sum(2 * c * (F.log(c / total) - below * ten)).alias("gain"), F.sum(c - DISCOUNT).alias("given"),
+        F.sum(F.pow(F.lit(10.0), below)).alias("mass"), F.sum(-2 * c * below * ten).alias("unretained"), F.sum(-2 * c * F.log((c - DISCOUNT) / total)).alias("after"),
+    )
+    left, rest = (F.col("c") - F.col("given")) / F.col("c"), 1 - F.col("mass")
+    retained = (F.col("gain") > F.col("kept") + 4 * F.sqrt(2 * F.col("kept"))) & (left > 0) & (rest > 1e-9)
+    each = each.withColumn("retained", retained)
+    passed = F.when(F.col("retained"), F.log10(left / rest)).otherwise(0.0)
+    alive = F.when(F.col("retained"), F.col("after")).otherwise(F.col("unretained")) > 1 + 4 * 2**0.5
+    return each.select("key", "c", "retained", passed.alias("passed"), alive.alias("alive"))
+
+
+def _resolved(met: DataFrame, states: DataFrame) -> DataFrame:
+    """Runs with the log10 probability of their last word and what a retained state
+    changes in it (delta)."""
+    by = states.select(F.col("key").alias("prefix"), "retained", "passed", "alive")
+    own = F.col("asked") & F.coalesce("retained", F.lit(False))
+    gives = F.log10((F.col("c") - DISCOUNT) / F.col("total"))
+    return met.join(by.hint("merge"), "prefix", "left").select(
+        "key", "prefix", "suffix", "c", F.when(own, gives).otherwise(F.col("below")).alias("logp"),
+        (F.col("asked") & F.coalesce("alive", F.lit(False))).alias("live"), F.when(own, gives - F.col("passed") - F.col("below")).alias("delta"),
+    )
+
+
+def _arrays(table: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
     got = table.toArrow()
-    keys = got.column("key").to_numpy().astype(np.int64).view(kind)
+    keys = got.column("key").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], got.column("c").to_numpy().astype(np.int64)[order]
+    return keys[order], got.column(value).to_numpy().astype(float)[order]
 
 
 def score(docs: DataFrame, tree: Tree, unigrams: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of all rows.
-    Frequent words are looked up beside the tree, all others meet the table by a join."""
+    Words and runs of at least tree.least occurrences are looked up beside the texts,
+    all others meet their tables by joins."""
+    spark = docs.sparkSession
+    weights = tree.weights if tree.weights is not None else spark.createDataFrame([], "key long, c long, weight double")
+    common = F.col("c") >= float(tree.least)  # at most 1 / share of each length
+    words, hot = _arrays(unigrams.where(common), "c"), _arrays(weights.where(common), "weight")
+    scoring = _score(tree.n, tree.v, words, hot, Sieve(weights.select("key"), weights.count()), len(tree.runs))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
-    first = written(base.mapInArrow(_score(tree), "rk long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, cold array<long>"), "scored")
+    first = written(base.mapInArrow(scoring, "rk long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, cold array<long>, far array<long>"), "scored")
     cold = first.select("rk", F.explode("cold").alias("key"))
     met = cold.join(unigrams.hint("merge"), "key").groupBy("rk").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("gain"))
+    far = first.select("rk", F.explode("far").alias("key"))
+    deep = far.join(weights.where(~common).select("key", "weight").hint("merge"), "key").groupBy("rk").agg(F.sum("weight").alias("deep"))
     each = F.size("cold") * float(np.log10(tree.n + tree.v + 1))
     gain = F.coalesce("gain", F.lit(0.0)) - each
-    return first.join(met, "rk", "left").select(
+    return first.join(met, "rk", "left").join(deep, "rk", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(tree.n)).cast("long").alias("train_tokens"),
-        (F.col("base") + gain).alias("base_score"), (F.col("score") + gain).alias("score"),
+        (F.col("base") + gain).alias("base_score"), (F.col("score") + gain + F.coalesce("deep", F.lit(0.0))).alias("score"),
     )
 
 

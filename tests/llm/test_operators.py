@@ -358,6 +358,44 @@ def test_suffix_tree_cases(cases, empty):
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == r.score == 0 for r in rows)
 
 
+def tree_by_hand(texts, depth, least=suffix_lm.MIN_COUNT):
+    """log10 of a word after the words before it, by dictionaries over all runs."""
+    runs = Counter(t[i : i + k] for t in texts for k in range(1, depth + 2) for i in range(len(t) - k + 1))
+    n, v = sum(map(len, texts)), sum(len(r) == 1 for r in runs)
+    after, states = {}, {}
+    for r, c in runs.items():
+        if len(r) > 1 and c >= least:
+            after.setdefault(r[:-1], {})[r[-1]] = c
+
+    def log_p(context, w):
+        if not context:
+            return np.log10((runs[(w,)] + 1) / (n + v + 1))
+        given, passed = state(context)
+        return given[w] if w in given else passed + log_p(context[1:], w)
+
+    def state(context):
+        if context not in states:
+            kept, total = after.get(context, {}), runs[context]
+            below = {w: log_p(context[1:], w) for w in kept}
+            gain = 2 * sum(c * (np.log(c / total) - below[w] * np.log(10)) for w, c in kept.items())
+            left, rest = total - sum(c - suffix_lm.DISCOUNT for c in kept.values()), 1 - sum(10 ** x for x in below.values())
+            if kept and gain > len(kept) + 4 * np.sqrt(2 * len(kept)) and left > 0 and rest > 1e-9:
+                states[context] = {w: np.log10((c - suffix_lm.DISCOUNT) / total) for w, c in kept.items()}, np.log10(left / total / rest)
+            else:
+                states[context] = {}, 0.0
+        return states[context]
+
+    return lambda t: sum(log_p(t[max(0, i - depth) : i], w) for i, w in enumerate(t)), states
+
+
+def test_rare_contexts_count_whatever_the_share(spark, prose):
+    df = table(spark, prose).repartition(3)
+    by_hand, _ = tree_by_hand([(*t.split(), "</s>") for _, t in prose], 2)
+    tree, unigrams = suffix_lm.fit(df, F.lit(True), depth=2, share=0.02)
+    got = {r.doc_id: r.score for r in suffix_lm.score(df, tree, unigrams, F.lit(False)).collect()}
+    assert got == pytest.approx({i: by_hand((*t.split(), "</s>")) for i, t in prose})
+
+
 # Nearest neighbours --------------------------------------------------------------------------------
 
 
