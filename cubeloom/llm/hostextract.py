@@ -33,7 +33,6 @@ from cubeloom.llm.texthash import mix
 RUN, GROUP_PAGES = 8, 2_000
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
-MARKED = r"(?i)<(article|main)[\s>/]|\brole\s*=\s*[\"']?main\b"
 RAW = frozenset("script style textarea title noscript template svg math iframe object xmp".split())
 SKIP = frozenset("nav footer aside form button select menu dialog audio video canvas head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -201,17 +200,13 @@ def _token_hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word) >> 2
 
 
-def _marked(batches):
+def _read(batches):
     for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
-        texts = ["\n\n".join(blocks(h or "")[0]) for h in batch.column(2).to_pylist()]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-
-def _unmarked(batches):
-    for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
-        own = [blocks(h or "")[0] for h in batch.column(2).to_pylist()]
+        found = [blocks(h or "") for h in batch.column(2).to_pylist()]
+        texts = ["\n\n".join(own) if marked else None for own, marked in found]
+        rest = [None if marked else own for own, marked in found]
         hosts = [_host(u) for u in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(own, pa.list_(pa.string()))], names=["page_id", "url", "host", "blocks"])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(texts, pa.string()), pa.array(rest, pa.list_(pa.string()))], names=["page_id", "url", "host", "text", "blocks"])
 
 
 def _tokens(own: list[str]) -> np.ndarray:
@@ -267,11 +262,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         raise ValueError("run must be a power of two")
     out = "page_id long, url string, text string, n_chars long"
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    marked = F.col("html").rlike(MARKED)
-    direct = base.where(marked).mapInArrow(_marked, out)
-
-    read = base.where(~marked).mapInArrow(_unmarked, "page_id long, url string, host string, blocks array<string>")
-    rest = written(read.withColumn("rk", F.monotonically_increasing_id()), "unmarked")
+    read = written(base.mapInArrow(_read, "page_id long, url string, host string, text string, blocks array<string>").withColumn("rk", F.monotonically_increasing_id()), "read")
+    direct = read.where("text is not null").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    rest = read.where("text is null").drop("text")
     groups = rest.groupBy("host").agg(F.ceil(F.count("*") / group_pages).alias("groups"))
     dealt = rest.join(groups, "host").withColumn("grp", F.pmod(F.xxhash64("rk"), F.col("groups")))
     arrays = written(dealt.groupBy("host", "grp").applyInArrow(_array(run), "rk long, page_id long, url string, host string, blocks array<string>, mask array<boolean>, runs array<long>"), "arrays")

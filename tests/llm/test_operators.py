@@ -599,6 +599,15 @@ def test_host_arrays_remove_what_pages_share(spark, group):
     assert got == {**dict(enumerate(own)), 99: f"{own[0]}\n\n{notice}"}
 
 
+def test_pages_that_only_seem_marked_meet_the_host(spark):
+    rng = random.Random(5)
+    notice = "this site belongs to nobody and shows the very same words on every page"
+    own = [" ".join("".join(rng.choices(string.ascii_lowercase, k=7)) for _ in range(30)) for _ in range(4)]
+    marks = ["<script>var a='<article>'</script>", "<!-- <main> -->", "<article></article>", "<nav><article>No</article></nav>"]
+    rows = [(k, "http://host.example/", f"<html><body>{m}<p>{t}</p><p>{notice}</p></body></html>") for k, (t, m) in enumerate(zip(own, marks))]
+    assert {r.page_id: r.text for r in hostextract.extract(pages(spark, rows)).collect()} == dict(enumerate(own))
+
+
 def test_covered_equals_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(30):
