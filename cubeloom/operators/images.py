@@ -57,26 +57,51 @@ def _basis(t: np.ndarray, order: int) -> np.ndarray:
 def _line(data: np.ndarray, factor: float, order: int) -> np.ndarray:
     n = len(data)
     m = max(1, round(n * factor))
-    at = np.arange(m) * ((n - 1) / (m - 1) if m > 1 else 0)
+    return _at(data, 0, np.arange(m) * ((n - 1) / (m - 1) if m > 1 else 0), order)
+
+
+def _at(data: np.ndarray, low: int, at: np.ndarray, order: int) -> np.ndarray:
+    """The spline through samples at low, low + 1, ... at the places `at`."""
+    n = len(data)
     knots = np.arange(n)
     weights = data
     if order > 1:  # coefficients that interpolate the samples
         weights = np.linalg.solve(_basis(knots[:, None] - knots[None, :], order), data.reshape(n, -1)).reshape(data.shape)
     if order == 0:
-        return data[np.minimum(n - 1, np.floor(at + 0.5).astype(int))]
-    return np.tensordot(_basis(at[:, None] - knots[None, :], order), weights, 1)
+        return data[np.minimum(n - 1, np.floor(at - low + 0.5).astype(int))]
+    return np.tensordot(_basis(at[:, None] - (low + knots[None, :]), order), weights, 1)
 
 
-def zoom(df: DataFrame, factor: float, order: int, width: int, height: int, keys: list[str], value: str) -> DataFrame:
-    """Images resampled one by one; an image is bounded by width x height."""
+def zoom(df: DataFrame, factor: float, order: int, width: int, height: int, keys: list[str], value: str, rows: int = 256, halo: int = 48) -> DataFrame:
+    """Images of width x height resampled in blocks of rows, each read with a halo: what
+    a sample changes in a cubic falls by 0.27 a row, at order 5 by 0.43. A block is bounded
+    by width x (rows + 2 halo)."""
+    if not 0 <= order <= 5:
+        raise ValueError("order is 0 to 5")
     ship(df.sparkSession)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
+    same = abs(factor - 1) < 1e-2
+    last = max(0, height - 1) // rows
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((width, height))
-        image[pdf["x"], pdf["y"]] = pdf[value]
-        made = spline(image, factor, order)
+        block = int(pdf["block"].iloc[0])
+        low, high = max(0, block * rows - halo), min(height, (block + 1) * rows + halo)
+        image, cells = np.zeros((width, high - low)), pdf[pdf["x"].notna()]
+        image[cells["x"].astype(int), cells["y"].astype(int) - low] = cells[value]
+        m = height if same else max(1, round(height * factor))
+        at = np.arange(m) * ((height - 1) / (m - 1) if m > 1 else 0)
+        begin, end = np.searchsorted(at, [block * rows, (block + 1) * rows])
+        end = m if block == last else end
+        if same:
+            made = image[:, begin - low : end - low]
+        else:
+            made = _at(_line(image, factor, order).T, low, at[begin:end], order).T
         x, y = np.indices(made.shape)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * made.size for k in keys}, "x": x.ravel(), "y": y.ravel(), value: made.ravel()})
-
-    return df.groupBy(*keys).applyInPandas(run, f"{fields}, x int, y int, {value} double")
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * made.size for k in keys}, "x": x.ravel(), "y": y.ravel() + begin, value: made.ravel()})
+
+    edge = lambda c: F.least(F.lit(last), F.greatest(F.lit(0), F.floor(c / rows))).cast("int")
+    cells = df.select(*keys, "x", "y", value, F.explode(F.sequence(edge(F.col("y") - halo), edge(F.col("y") + halo))).alias("block"))
+    cells = cells.where(F.col("y").between(F.col("block") * rows - halo, (F.col("block") + 1) * rows + halo - 1))
+    empty = df.select(*keys).distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    every = cells.unionByName(empty, allowMissingColumns=True)
+    return every.groupBy(*keys, "block").applyInPandas(run, f"{fields}, x int, y int, {value} double")

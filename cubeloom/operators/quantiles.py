@@ -87,19 +87,35 @@ class P2:
 def p2(df: DataFrame, keys: list[str], order: list[str], value: str, b: int = 4) -> DataFrame:
     """P2 percentiles of each group's values in order. The recurrence depends on the
     order and does not merge, so a group is one task; it streams through constant
-    state. Use sketched() where groups are large."""
+    state; groups that a batch holds whole advance together. Use sketched() where
+    groups are large."""
     ship(df.sparkSession)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
 
     def run(batches):
         key, state = None, None
         for pdf in batches:
-            for row in zip(*[pdf[c] for c in (*keys, value)]):
-                if row[:-1] != key:
+            columns, v = [pdf[c] for c in keys], pdf[value].to_numpy(float)
+            change = np.arange(len(pdf)) == 0
+            for c in columns:
+                change[1:] |= c.to_numpy()[1:] != c.to_numpy()[:-1]
+            starts = np.append(np.flatnonzero(change), len(pdf))
+            sizes = np.diff(starts)
+            inner = starts[1:-2]  # groups that begin and end in this batch
+            for size in np.unique(sizes[1:-1]):
+                of = inner[sizes[1:-1] == size]
+                many = P2(b, (len(of),))
+                for row in v[of + np.arange(size)[:, None]]:
+                    many.add(row)
+                yield pd.DataFrame({**{k: c.iloc[of].to_numpy() for k, c in zip(keys, columns)}, "percentiles": many.percentiles().T.tolist()})
+            for k in sorted({0, len(sizes) - 1}) if len(pdf) else ():
+                own = tuple(c.iloc[starts[k]] for c in columns)
+                if own != key:
                     if state is not None:
                         yield _row(keys, key, state)
-                    key, state = row[:-1], P2(b)
-                state.add(row[-1])
+                    key, state = own, P2(b)
+                for x in v[starts[k] : starts[k + 1]]:
+                    state.add(x)
         if state is not None:
             yield _row(keys, key, state)
 

@@ -413,7 +413,7 @@ def _(spark, d):
 
 @query("agg16_p2_quantiles")
 def _(spark, d):
-    return quantiles.p2(dense(spark, d).df.where("layer < 3"), ["layer", "x", "y"], ["mz"], "signal")
+    return quantiles.p2(dense(spark, d).df, ["layer", "x", "y"], ["mz"], "signal")
 
 
 @query("agg16_sketched_quantiles")
@@ -580,7 +580,9 @@ def _(spark, d):
 
 @query("fn6_zoom_spline")
 def _(spark, d):
-    return images.zoom(dense(spark, d).df.where("mz = 3 and y < 20").select("layer", "x", "y", "signal"), 2.0, 3, 25, 20, ["layer"], "signal")
+    image = dense(spark, d).df.where("mz = 3").select("layer", "x", "y", "signal")
+    height = image.agg(F.coalesce(F.max("y") + 1, F.lit(0))).first()[0]
+    return images.zoom(image, 2.0, 3, 25, height, ["layer"], "signal")
 
 
 @query("fn7_axis_scaling", f"{DENSE} select distinct x, {sql_fixed('x * cast(5 as double)')} as um, layer, {sql_fixed('layer + 1')} as number from dense")

@@ -46,6 +46,19 @@ def test_p2_of_groups(spark):
     assert len(got) == 2 and all(np.allclose(r.percentiles, [0.02, 0.5232, 4.402, 11.29, 38.62], rtol=1e-3) for r in got)
 
 
+def test_p2_of_groups_of_many_sizes(spark):
+    rng = np.random.default_rng(6)
+    groups = {g: rng.normal(size=rng.choice([1, 4, 5, 9, 64])) for g in range(300)} | {300: rng.normal(size=25_000)}
+    df = spark.createDataFrame([(g, i, float(x)) for g, v in groups.items() for i, x in enumerate(v)], "g int, i int, v double")
+    got = {r.g: r.percentiles for r in quantiles.p2(df, ["g"], ["i"], "v").collect()}
+    assert len(got) == 301
+    for g, v in groups.items():
+        p = quantiles.P2(4)
+        for x in v:
+            p.add(x)
+        assert got[g] == pytest.approx(p.percentiles())
+
+
 def test_exact_counts_absent_cells(spark):
     rng = np.random.default_rng(5)
     block = rng.integers(0, 4, (3, 7, 9)) * rng.integers(0, 50, (3, 7, 9))

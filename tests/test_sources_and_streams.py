@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cubeloom import queries as Q
 from cubeloom.cube import Axis, Cube
 from cubeloom.operators import images
 from cubeloom.operators import massquery as M
@@ -100,6 +101,30 @@ def test_spline():
         images.spline(ramp, 2, 6)
 
 
+def test_tall_images_are_zoomed_whole(spark):
+    rng = np.random.default_rng(2)
+    tall = rng.integers(0, 99, (3, 70)) * (rng.random((3, 70)) < 0.5)
+    cells = spark.createDataFrame([(g, x, y, float(tall[x, y])) for g in (1, 2) for x in range(3) for y in range(70) if tall[x, y] and (g == 1 or y < 9)], "g int, x int, y int, v double")
+    for order in (0, 1, 3):
+        made = images.zoom(cells, 2.0, order, 3, 70, ["g"], "v", rows=8, halo=40).collect()
+        for g, image in ((1, tall), (2, np.where(np.arange(70) < 9, tall, 0))):
+            want, got = images.spline(image, 2.0, order), np.full((6, 140), np.nan)
+            for r in made:
+                if r.g == g:
+                    got[r.x, r.y] = r.v
+            assert np.allclose(got, want)
+
+
+def test_whole_cubes_are_zoomed_and_measured(spark):
+    d = "/root/testdata/sf0.1"
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet")
+    top, n, labels = vectors.selectExpr("max(vec_id)", "count(distinct vec_id)", "count(distinct label)").first()
+    zoomed = Q.QUERIES["fn6_zoom_spline"](spark, d)
+    assert zoomed.groupBy("layer").count().select("count").distinct().collect() == [(50 * 2 * (top // 25 + 1),)]
+    assert zoomed.select("layer").distinct().count() == labels
+    assert Q.QUERIES["agg16_p2_quantiles"](spark, d).count() == n
+
+
 def test_guard_and_timer(tmp_path):
     with pytest.raises(RuntimeError), sinks.FileGuard(str(tmp_path / "x")):
         (tmp_path / "x").write_text("1")
