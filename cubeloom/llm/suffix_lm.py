@@ -1,7 +1,7 @@
 """A probabilistic suffix tree over words, grown level by level and used to score texts.
 
 Root: add-one unigrams over the whole vocabulary of the training documents. Deeper
-states: contexts of up to DEPTH words. A context and the followers it keeps must occur
+states: contexts of up to DEPTH words, fewer where no longer one could be retained. A context and the followers it keeps must occur
 at least MIN_COUNT times, whatever the size of the corpus, so the levels grow with it;
 they stay tables and nothing of their size is collected. A candidate is retained if the
 distribution of its followers diverges from that of its longest retained suffix: twice
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from cubeloom.llm import texthash
 from cubeloom.llm.runtime import ship, written
 
-MIN_COUNT, SHARE, DISCOUNT, DEPTH = 3, 1e-6, 0.5, 2
+MIN_COUNT, SHARE, DISCOUNT, DEPTH = 3, 1e-6, 0.5, 5
 MOST_BITS = 1 << 28
 END = np.uint64(0x3C79AC492BA7B653)
 SLICE = 600
@@ -189,8 +189,8 @@ def _count_words(batches):
 
 
 def _count_level(sieve: Sieve, alive: Sieve | None, length: int):
-    """Counts runs of `length` words, both of whose parts are frequent, if they give a
-    word after a context that is alive or are themselves a context that may be."""
+    """Counts runs of `length` words that give a word after a context that is alive, both
+    of their parts being frequent, or are themselves a context that may be alive."""
 
     def run(batches):
         counts = _Counts()
@@ -201,9 +201,11 @@ def _count_level(sieve: Sieve, alive: Sieve | None, length: int):
                     later = alive.has(keys)
                 if k == length - 1:
                     frequent, part = sieve.has(keys) & whole, keys
-            ok = whole & frequent & np.append(frequent[1:], False)
-            if later is not None:
-                ok &= np.append(later[1:], False) | np.append(later[2:], [False] * min(2, len(later)))
+            ok = whole & np.append(frequent[1:], False)
+            if later is None:
+                ok &= frequent
+            else:
+                ok &= (frequent & np.append(later[1:], False)) | np.append(later[2:], [False] * min(2, len(later)))
             counts.add(keys[ok], part[ok], part[1:][ok[:-1]])
             yield from counts.full("prefix", "suffix")
         yield from counts.batches("prefix", "suffix")
@@ -267,7 +269,7 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
         found = counted.where(F.col("c") >= min_count).mapInArrow(_keyed, "key long, prefix long, suffix long, c long")
         tops = below.select(F.col("key").alias("prefix"), F.col("c").alias("total"))
         lows = below.select(F.col("key").alias("suffix"), F.col("logp").alias("below"), F.col("live").alias("asked"))
-        met = written(found.join(tops.hint("merge"), "prefix").join(lows.hint("merge"), "suffix"), "runs")
+        met = written(found.join(tops.hint("merge"), "prefix", "left").join(lows.hint("merge"), "suffix"), "runs")
         states = written(_states(met.where("asked")), "states")
         runs = written(_resolved(met, states), "level")
         tree.runs.append(runs)
@@ -275,6 +277,7 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
         weights += [runs.where("delta is not null").select("key", "c", F.col("delta").alias("weight")), states.where("retained").select("key", "c", F.col("passed").alias("weight"))]
         going = states.where("alive").select("key")
         many = going.count()
+        docs.sparkSession.sparkContext._jvm.System.gc()  # frees the shuffle files of written tables
         if not many:
             break
         alive = Sieve(going, many)
@@ -330,6 +333,7 @@ def score(docs: DataFrame, tree: Tree, unigrams: DataFrame, held_out: Column, id
     scoring = _score(tree.n, tree.v, words, hot, Sieve(weights.select("key"), weights.count()), len(tree.runs))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
     first = written(base.mapInArrow(scoring, "rk long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, cold array<long>, far array<long>"), "scored")
+    spark.sparkContext._jvm.System.gc()
     cold = first.select("rk", F.explode("cold").alias("key"))
     met = cold.join(unigrams.hint("merge"), "key").groupBy("rk").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("gain"))
     far = first.select("rk", F.explode("far").alias("key"))

@@ -396,6 +396,22 @@ def test_rare_contexts_count_whatever_the_share(spark, prose):
     assert got == pytest.approx({i: by_hand((*t.split(), "</s>")) for i, t in prose})
 
 
+def test_long_contexts_are_retained(spark):
+    rng, texts = random.Random(8), []
+    for _ in range(200):  # the word after "k a b c" tells k
+        words = [w for _ in range(6) for k in [rng.choice("rstu")] for w in (k, "a", "b", "c", k.upper() + "x", *rng.choices("mnop", k=2))]
+        texts.append(" ".join(words).lower())
+    texts += ["one licence line that " + " ".join(f"w{k}" for k in range(30))] * 9
+    by_hand, states = tree_by_hand([(*t.split(), "</s>") for t in texts], suffix_lm.DEPTH)
+    df = table(spark, list(enumerate(texts))).repartition(3)
+    for share in (suffix_lm.SHARE, 0.05):
+        tree, unigrams = suffix_lm.fit(df, F.lit(True), share=share)
+        got = {r.doc_id: r.score for r in suffix_lm.score(df, tree, unigrams, F.lit(False)).collect()}
+        assert got == pytest.approx({k: by_hand((*t.split(), "</s>")) for k, t in enumerate(texts)})
+    assert any(kept for s, (kept, _) in states.items() if len(s) == 4)
+    assert tree.levels[3][0].size
+
+
 # Nearest neighbours --------------------------------------------------------------------------------
 
 
