@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,17 +40,20 @@ def padded(n: Column, width: Column) -> Column:
     return F.lpad(n.cast("string"), width, "0")
 
 
-def piecewise_edges(low: float, high: float, count: int, positions: tuple[float, ...] = (15, 85, 100), volumes: tuple[float, ...] = (5, 90, 5), downsample: int = 10) -> list[float]:
-    """Bin edges in linear pieces: up to each position (percent of the span) lies its
-    volume (percent) of the edges; the span's end closes them."""
-    if len(positions) != len(volumes):
-        raise ValueError("positions and volumes differ in number")
-    if max(positions) != 100:
-        raise ValueError("the last position is not 100")
-    count //= downsample
-    ends = [low] + [low + (high - low) * p / 100 for p in positions]
-    out: list[float] = []
-    for a, b, v in zip(ends, ends[1:], volumes):
-        n = int(count * v / 100)
-        out += [a + (b - a) * k / n for k in range(n)]
-    return [*out, high]
+#: Where the pieces of an axis end (percent of its span), their shares of
+#: the edges (percent), and how many bins become one.
+PIECE_ENDS, PIECE_SHARES, BINS_A_PIECE = (15, 85, 100), (5, 90, 5), 10
+
+
+def piecewise_edges(low: float, high: float, count: int, ends: tuple[float, ...] = PIECE_ENDS, shares: tuple[float, ...] = PIECE_SHARES, downsample: int = BINS_A_PIECE) -> list[float]:
+    """Bin edges that lie closer where an axis matters: the k-th edge belongs to the
+    piece whose cumulated share holds k and lies linearly inside it; `high` closes."""
+    if len(ends) != len(shares) or max(ends, default=0) != 100:
+        raise ValueError(f"pieces that end at {ends} percent cannot share {shares}")
+    many = (count // downsample * np.asarray(shares, float) / 100).astype(int)
+    before = np.cumsum(many) - many
+    begin, length = np.concatenate(([0], ends[:-1])) / 100, np.diff(ends, prepend=0) / 100
+    k = np.arange(many.sum())
+    piece = np.repeat(np.arange(len(many)), many)
+    inside = begin[piece] + length[piece] * (k - before[piece]) / many[piece]
+    return [*(low + (high - low) * inside).tolist(), high]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import math
 from dataclasses import dataclass
@@ -88,29 +89,21 @@ class Chunks:
 
 def from_max_items(shape: tuple[int, ...], items: int, priorities: tuple[int, ...], least_chunks: tuple[int, ...] | None = None) -> Chunks:
     """The chunk with at most `items` cells: dimensions of the smallest priority number
-    grow first, equal ones share by their extent."""
-    if items < 1:
-        raise ValueError("a chunk holds at least one item")
-    if len(priorities) != len(shape):
-        raise ValueError("a priority for each dimension is needed")
-    extent = [max(1, s // max(1, min(n, s))) for s, n in zip(shape, least_chunks or [1] * len(shape))]
-    chunk, budget = [1] * len(shape), float(items)
-    for group in ties(priorities):
-        size = [extent[d] for d in group]
-        capacity = math.prod(size)
-        if capacity <= budget:
-            share = size
-        else:
-            weight = [e / min(size) for e in size]
-            scale = (budget / math.prod(weight)) ** (1 / len(group))
-            share = [math.ceil(w * scale) for w in weight]
-            while math.prod(share) > budget and any(s > 1 for s in share):
-                share = [max(1.0, s - w / max(weight)) for s, w in zip(share, weight)]
-            share = [math.floor(s) if math.prod(map(math.ceil, share)) > budget else math.ceil(s) for s in share]
-            share = [min(s, e) for s, e in zip(share, size)]
-        for d, s in zip(group, share):
-            chunk[d] = max(1, int(s))
-        budget = max(budget / math.prod(chunk[d] for d in group), 1.0)
+    take what they can, equal ones in proportion to their extents."""
+    if items < 1 or len(priorities) != len(shape):
+        raise ValueError(f"no chunk of {items} items with priorities {priorities} of shape {shape}")
+    most = [s // min(max(n, 1), s) for s, n in zip(shape, least_chunks or (1,) * len(shape))]
+    chunk = [1] * len(shape)
+    for tie in ties(priorities):
+        longest = max(most[d] for d in tie)
+        room = items // math.prod(chunk)
+
+        def scaled(k: int) -> list[int]:  # all extents as k is to the longest
+            return [-(-most[d] * k // longest) for d in tie]
+
+        k = bisect.bisect_right(range(1, longest + 1), room, key=lambda k: math.prod(scaled(k)))
+        for d, length in zip(tie, scaled(max(k, 1))):
+            chunk[d] = length
     return Chunks(tuple(shape), tuple(chunk))
 
 
