@@ -17,6 +17,11 @@ AXIS_SCHEMA = "axis string, dim int, idx int, value double, unit string, axis_ty
 EXACT, BINNED = "EXACT", "BINNED"
 
 
+def constants(values) -> Column:
+    """Numbers as one constant of the plan, however many."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
 @dataclass(frozen=True)
 class Axis:
     """A labelled axis over one dimension: label = start + idx * step, or `values`."""
@@ -33,8 +38,7 @@ class Axis:
     def label(self, index: Column) -> Column:
         """The label of an index, rounded to the axis's type before it is compared."""
         if self.values is not None:
-            table = F.array(*[F.lit(float(v)) for v in self.values])
-            return F.element_at(table, index + 1).cast(self.dtype).cast("double")
+            return F.element_at(constants(self.values), index.cast("int") + 1).cast(self.dtype).cast("double")
         return (F.lit(float(self.start)) + index * F.lit(float(self.step))).cast(self.dtype).cast("double")
 
     def labels(self, size: int) -> list[float]:
@@ -142,6 +146,23 @@ def from_spectra(df: DataFrame, pixel: tuple[str, ...], spectrum: str, last: str
     return df.select(*pixel, F.posexplode(spectrum).alias(last, "signal"))
 
 
+def concat(cubes: list[Cube], dim: str) -> Cube:
+    """Cubes one after the other along a dimension; the others agree in size."""
+    first, df, total = cubes[0], None, 0
+    for c in cubes:
+        if c.dims != first.dims or any(c.size(d) != first.size(d) for d in c.dims if d != dim):
+            raise ValueError(f"cubes of shapes {first.shape} and {c.shape} do not fit along {dim}")
+        part = c.df.select(*[(F.col(d) + total).cast(c.df.schema[d].dataType).alias(d) if d == dim else d for d in c.dims], F.col(c.value).alias(first.value))
+        df, total = part if df is None else df.unionByName(part), total + c.size(dim)
+    shape = tuple(total if d == dim else s for d, s in zip(first.dims, first.shape))
+    return Cube(df, first.dims, shape, first.value, tuple(a for a in first.axes if a.dim != dim or a.values is None))
+
+
+def without(left: Cube, right: Cube, dim: str) -> DataFrame:
+    """The indices of a dimension that hold cells of the left cube and none of the right."""
+    return left.df.select(dim).distinct().join(right.df.select(dim).distinct(), dim, "left_anti")
+
+
 def same_structure(first: Cube, second: Cube) -> None:
     """Raises ValueError unless shape, default axes and axis sets agree."""
     if first.shape != second.shape:

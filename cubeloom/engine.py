@@ -50,7 +50,26 @@ def convert(cube: Cube, path: str, options: ConvertOptions = ConvertOptions(), m
 
 
 def query(source: readers.CubeReader | Cube, spec: massquery.QuerySpec) -> massquery.QueryResult:
-    return massquery.query(source if isinstance(source, Cube) else source.cube(), spec)
+    """A query. Of a stored cube, ranges read the layout that covers their box with the
+    fewest chunks, and totals those stored with it if the query has no slices."""
+    if isinstance(source, Cube):
+        return massquery.query(source, spec)
+    cube = source.cube()
+    if not isinstance(source, readers.StoredReader):
+        return massquery.query(cube, spec)
+    box = massquery.spec_box(cube, spec)
+    whole = all((a, b) == (0, s) for (a, b), s in zip(box, cube.shape))
+    return massquery.query(source.layout(massquery.range_hull(box, spec.ranges)), spec, source.totals() if whole else None, source.layout(box))
+
+
+def export(result: massquery.QueryResult, cube: Cube, folder: str) -> None:
+    """Images and spectra of a query as text files."""
+    sinks.write_query(result, cube, folder)
+
+
+def kendrick(result: massquery.QueryResult, cube: Cube, formula: str = "CH2", scale: str = "QUAD") -> DataFrame:
+    """The Kendrick plot of each layer's total spectrum."""
+    return massquery.kendrick_points(result.total_spectrum, cube, chem.formula_mass(chem.common_isotopes(cube.df.sparkSession), formula), scale)
 
 
 def bulk_query(sources: dict[str, readers.CubeReader | Cube], spec: massquery.QuerySpec) -> DataFrame:

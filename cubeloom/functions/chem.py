@@ -93,3 +93,9 @@ def relative_size(intensity: Column, largest: Column, scale: str) -> Column:
     """Marker sizes: QUAD (s / max)^2, LINEAR s / max, LOG ln s / ln max."""
     kinds = {"QUAD": lambda: F.pow(F.try_divide(intensity, largest), 2), "LINEAR": lambda: F.try_divide(intensity, largest), "LOG": lambda: F.try_divide(F.ln(intensity), F.ln(largest))}
     return kinds[scale]()
+
+
+def top_isotopes(isotopes: DataFrame) -> DataFrame:
+    """The most abundant isotope of each symbol, the lightest of equal ones."""
+    best = F.max_by(F.struct("nominal", "accurate", "abundance"), F.struct("abundance", -F.col("accurate"))).alias("b")
+    return isotopes.groupBy("symbol").agg(best).select("symbol", "b.*")

@@ -12,23 +12,23 @@ from pyspark.sql import functions as F
 UNITS = ("b", "Kb", "Mb", "Gb", "Tb", "Pb", "Eb")
 
 
-def format_bytes(n: Column) -> Column:
-    """1024-based size with a unit; whole numbers have no decimals, others two."""
+def format_bytes(n: Column, digits: int = 2) -> Column:
+    """1024-based size with a unit; whole numbers have no decimals, others `digits`."""
     size = F.abs(n.cast("double"))
     level = F.lit(0)
     for k in range(1, len(UNITS)):
         level = F.when(size >= 1024.0**k, F.lit(k)).otherwise(level)
     value = n.cast("double") / F.pow(F.lit(1024.0), level)
-    number = F.when(value == F.rint(value), F.format_string("%d", F.rint(value).cast("long"))).otherwise(F.format_string("%.2f", F.bround(value, 2)))
+    number = F.when(value == F.rint(value), F.format_string("%d", F.rint(value).cast("long"))).otherwise(F.format_string(f"%.{digits}f", F.bround(value, digits)))
     return F.concat(number, F.element_at(F.array(*[F.lit(u) for u in UNITS]), level + 1))
 
 
 def parse_bytes(text: str) -> int:
-    """The number of bytes of '1.5Kb' and the like, rounded up."""
-    m = re.fullmatch(r"\s*([0-9]*\.?[0-9]+)\s*([KMGTPE]?)b?\s*", text, re.I)
-    if not m:
+    """The number of bytes of '1.5Kb' and the like, rounded up; a unit is needed."""
+    m = re.fullmatch(r"\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?)\s*([A-Z]?b)\s*", text)
+    if not m or m.group(2) not in UNITS:
         raise ValueError(f"not a size: {text!r}")
-    return math.ceil(float(m.group(1)) * 1024 ** "_KMGTPE".index(m.group(2).upper() or "_"))
+    return math.ceil(float(m.group(1)) * 1024 ** UNITS.index(m.group(2)))
 
 
 def count_digits(n: Column) -> Column:

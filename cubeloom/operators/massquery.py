@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.cube import Cube
+from cubeloom.functions import chem
+from cubeloom.operators import images
 from cubeloom.operators.slicing import closed_bounds, resolve_index
 
 #: Beyond so many ranges they are exploded to bins and meet the cube by a hash join.
@@ -192,6 +194,8 @@ class QuerySpec:
     accumulator: Accumulator = Accumulator.TIC
     accumulate: bool = False
     origin: Origin = Origin.TOP_LEFT
+    subpixels: float = 1.0  # output pixels for every pixel, by a spline of that order
+    interpolation: int = 0
 
 
 @dataclass(frozen=True)
@@ -204,19 +208,72 @@ class QueryResult:
     empty: tuple[MassRange, ...]
 
 
-def query(cube: Cube, spec: QuerySpec) -> QueryResult:
+def spec_box(cube: Cube, spec: QuerySpec) -> tuple[tuple[int, int], ...]:
+    """The box of cells that a query looks at: its slices, and of the masses the hull of
+    its ranges where no total is asked (see query)."""
+    return tuple(resolve_index(cube.size(d), *cut) for d, cut in zip(cube.dims, (spec.layers, spec.xs, spec.ys, spec.mass)))
+
+
+def range_hull(box: tuple[tuple[int, int], ...], ranges: tuple[MassRange, ...]) -> tuple[tuple[int, int], ...]:
+    kept, _ = not_empty(list(ranges))
+    if not kept:
+        return box
+    (a, b), lo, hi = box[-1], min(r.lo for r in kept), max(r.hi for r in kept)
+    return (*box[:-1], (max(a, lo), max(max(a, lo), min(b, hi))))
+
+
+def in_box(cube: Cube, box: tuple[tuple[int, int], ...]) -> Cube:
     condition = F.lit(True)
-    for dim, cut in zip(cube.dims, (spec.layers, spec.xs, spec.ys, spec.mass)):
-        a, b = resolve_index(cube.size(dim), *cut)
+    for dim, (a, b) in zip(cube.dims, box):
         if (a, b) != (0, cube.size(dim)):
             condition = condition & (F.col(dim) >= a) & (F.col(dim) < b)
-    cut = cube.where(condition)
-    ranges = list(spec.ranges)
-    images, spectra = range_images(cut, ranges), range_spectra(cut, ranges)
-    source = spec.accumulator.value
-    scaled = oriented(scale_by_spectrum(images, spectra, spec.scaling, source), cube.size("x"), cube.size("y"), spec.origin)
-    summed = accumulate_images(images, list(cube.dims[:-1]), spec.accumulator) if spec.accumulate and ranges else None
+    return cube.where(condition)
+
+
+def resampled(df: DataFrame, spec: QuerySpec, cube: Cube, keys: list[str], value: str) -> DataFrame:
+    """Images with `subpixels` pixels for every one; what is outside them is 0."""
+    if abs(spec.subpixels - 1) < 1e-2:
+        return df
+    return images.zoom(df.select(*keys, "x", "y", value), spec.subpixels, spec.interpolation, cube.size("x"), cube.size("y"), keys, value)
+
+
+def query(cube: Cube, spec: QuerySpec, totals: tuple[DataFrame, DataFrame] | None = None, for_totals: Cube | None = None) -> QueryResult:
+    """All outputs of a query. totals: the total image and spectrum (tic, max) of the
+    query's box if they are known already; for_totals: what to make them from, where
+    that is another layout than that for the ranges."""
+    box = spec_box(cube, spec)
+    cut, ranges = in_box(cube, box), list(spec.ranges)
+    made, spectra = range_images(cut, ranges), range_spectra(cut, ranges)
+    source, width, height, layer = spec.accumulator.value, cube.size("x"), cube.size("y"), cube.dims[0]
+    turned = lambda df, keys, value: resampled(oriented(df, width, height, spec.origin), spec, cube, keys, value)
+    scaled = turned(scale_by_spectrum(made, spectra, spec.scaling, source), ["range_id", layer], "scaled")
+    summed = accumulate_images(made, list(cube.dims[:-1]), spec.accumulator) if spec.accumulate and ranges else None
     if summed is not None:
-        summed = oriented(normalise(summed, "signal", spec.scaling, [cube.dims[0]]), cube.size("x"), cube.size("y"), spec.origin)
-    normal = lambda df: normalise(df, source, spec.scaling, [cube.dims[0]])
-    return QueryResult(scaled, spectra, normal(total_image(cut)), normal(total_spectrum(cut)), summed, tuple(not_empty(ranges)[1]))
+        summed = turned(normalise(summed, "signal", spec.scaling, [layer]), [layer], "scaled")
+    whole = in_box(for_totals, box) if for_totals else cut
+    image, spectrum = totals or (total_image(whole), total_spectrum(whole))
+    image = turned(normalise(image, source, spec.scaling, [layer]), [layer], "scaled")
+    return QueryResult(scaled, spectra, image, normalise(spectrum, source, spec.scaling, [layer]), summed, tuple(not_empty(ranges)[1]))
+
+
+def kendrick_points(spectrum: DataFrame, cube: Cube, base_mass: float, scale: str = "QUAD", value: str = "scaled") -> DataFrame:
+    """The points of a Kendrick plot of each layer's total spectrum: mass, nominal
+    Kendrick mass, mass defect and the size of the marker, relative to the layer."""
+    layer, mz = cube.dims[0], cube.dims[-1]
+    mass = cube.default_axis(mz).label(F.col(mz)).cast("double")
+    _, knm, defect = chem.kendrick(mass, base_mass)
+    tops = spectrum.groupBy(layer).agg(F.max(value).alias("_top"))
+    return spectrum.join(tops, layer).select(layer, mz, mass.alias("mass"), knm.alias("nominal"), defect.alias("defect"), chem.relative_size(F.col(value), F.col("_top"), scale).alias("size"))
+
+
+def colour_ticks(image: DataFrame, value: str, keys: list[str], many: int = 6) -> DataFrame:
+    """Evenly spaced ticks between the least and the largest pixel of each image."""
+    ends = image.groupBy(*keys).agg(F.min(value).cast("double").alias("_a"), F.max(value).cast("double").alias("_b"))
+    ticks = F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda k: F.col("_a") + (F.col("_b") - F.col("_a")) * k / (many - 1))
+    return ends.select(*keys, ticks.alias("ticks"))
+
+
+def spectrum_points(spectrum: DataFrame, cube: Cube, value: str) -> DataFrame:
+    """A spectrum as it is drawn: layer, mass, value, and whether the mass is a marker."""
+    mz = cube.dims[-1]
+    return spectrum.select(cube.dims[0], cube.default_axis(mz).label(F.col(mz)).cast("double").alias("mass"), F.col(value).cast("double").alias(value))

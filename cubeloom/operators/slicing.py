@@ -234,3 +234,9 @@ def resolve_index(size: int, start: int | None, stop: int | None) -> tuple[int,
 def closed_bounds(labels: list[float], low: float, high: float) -> tuple[int, int]:
     """Indices of low <= label <= high."""
     return bisect.bisect_left(labels, low), bisect.bisect_right(labels, high)
+
+
+def iterate(cube: Cube, dims: list[str], aggregates: dict[str, Column]) -> DataFrame:
+    """A row for every index of the chosen dimensions that has cells, with aggregates
+    over its part of the cube."""
+    return cube.df.groupBy(*dims).agg(*[c.alias(n) for n, c in aggregates.items()])

@@ -242,3 +242,15 @@ def reduced(shape: tuple[int, ...], axes: tuple[int, ...]) -> tuple[int, ...]:
 
 def slice_length(s: slice) -> int:
     return len(range(s.start or 0, s.stop, s.step or 1))
+
+
+def slice_range(cut: slice) -> range:
+    """The indices of a slice that has an end."""
+    if cut.stop is None:
+        raise ValueError(f"{cut} has no end")
+    return range(cut.start or 0, cut.stop, cut.step or 1)
+
+
+def slice_len(cut: slice) -> int:
+    """How many whole steps a slice has."""
+    return (cut.stop - (cut.start or 0)) // (cut.step or 1)

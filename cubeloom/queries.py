@@ -5,13 +5,15 @@ Ratios and percentiles are compared as fixed-point integers.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom import cube as C
+from cubeloom import engine
 from cubeloom.functions import chem, text
 from cubeloom.operators import images, ingest, massquery as M, quantiles, slicing as S
 from cubeloom.plans import chunking
@@ -64,6 +66,20 @@ def coo(spark: SparkSession, sf_dir: str) -> C.Cube:
     return C.Cube(merged(spark, sf_dir), ("x", "y", "bin"), (32, 8, 128))
 
 
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: under spark.checkpoint.dir, the warehouse
+    where that is unset."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(spark: SparkSession, d: str) -> readers.StoredReader:
+    """The dense cube written in both layouts with its totals, and opened again."""
+    path = workspace(spark, "cube")
+    engine.convert(dense(spark, d), path)
+    return readers.open_stored(spark, path)
+
+
 # Scans -------------------------------------------------------------------------
 
 
@@ -85,8 +101,7 @@ def _(spark, d):
 
 @query("src6_stored_totals", f"{DENSE} select layer, mz, 'tic' as accumulator, cast(sum(signal) as bigint) as signal from dense where layer = 1 group by layer, mz")
 def _(spark, d):
-    totals = sinks.unpivoted(M.total_spectrum(dense(spark, d)), ["layer", "mz"])
-    return totals.where("accumulator = 'tic' and layer = 1")
+    return stored(spark, d).accumulated_spectrum("tic", 1).select("layer", "mz", "accumulator", "signal")
 
 
 @query("src7_box_scan", f"{DENSE} select * from dense where layer < 5 and x >= 5 and x < 15 and y < 10 and mz >= 8 and mz < 24")
@@ -157,10 +172,10 @@ def _(spark, d):
     return sinks.min_max_normalised(df, "name", "signal").select("layer", "x", "y", "mz", fixed(F.col("normalised")).alias("normalised"))
 
 
-@query("snk11_image_text", f"{DENSE} select y, " + ", ".join(f"cast(coalesce(sum(signal) filter (where x = {k}), 0) as bigint) as x{k}" for k in range(6)) + " from dense where mz = 5 and x < 6 group by y")
+@query("snk11_image_text", f"{DENSE} select y, " + ", ".join(f"cast(coalesce(sum(signal) filter (where x = {k}), 0) as bigint) as x{k}" for k in range(25)) + " from dense where mz = 5 group by y")
 def _(spark, d):
-    made = sinks.image_matrix(dense(spark, d).df.where("mz = 5 and x < 6"), 6)
-    return made.select("y", *[F.col(str(k)).alias(f"x{k}") for k in range(6)])
+    made = sinks.image_matrix(dense(spark, d).df.where("mz = 5"), 25)
+    return made.select("y", *[F.col(str(k)).alias(f"x{k}") for k in range(25)])
 
 
 # Slicing ---------------------------------------------------------------------------
@@ -275,7 +290,7 @@ def _(spark, d):
 
 @query("flt19_iterate_axis", f"{DENSE} select layer, cast(count(*) as bigint) as n, cast(sum(signal) as bigint) as signal from dense group by layer")
 def _(spark, d):
-    return dense(spark, d).df.groupBy("layer").agg(F.count("*").alias("n"), F.sum("signal").alias("signal"))
+    return S.iterate(dense(spark, d), ["layer"], {"n": F.count("*"), "signal": F.sum("signal")})
 
 
 @query("snk13_slice_loops", f"{DENSE} select layer, {sql_fixed('1 + layer')} as layer_label, x, cast(sum(signal) as bigint) as signal from dense where layer >= 1 and layer < 5 group by layer, x")
@@ -287,11 +302,11 @@ def _(spark, d):
 # Joins ------------------------------------------------------------------------------
 
 
-@query("jn1_axis_labels", f"{DENSE} select layer, x, y, mz, {sql_fixed(MZ)} as mass, signal from dense where x < 4")
+@query("jn1_axis_labels", f"{DENSE} select layer, x, y, mz, {sql_fixed(MZ)} as mass, signal from dense")
 def _(spark, d):
     cube = dense(spark, d)
     axis = cube.axis_table(spark).where("axis = 'mz'").select(F.col("idx").alias("mz"), "value")
-    return cube.df.where("x < 4").join(axis, "mz").select("layer", "x", "y", "mz", fixed(F.col("value")).alias("mass"), "signal")
+    return cube.df.join(axis, "mz").select("layer", "x", "y", "mz", fixed(F.col("value")).alias("mass"), "signal")
 
 
 @query("jn2_overlapping_ranges", f"{DENSE}, {RANGE_SQL} select range_id, layer, x, y, mz, signal from dense join ranges on mz >= lo and mz < hi")
@@ -482,7 +497,7 @@ def _(spark, d):
 
 @query("win6_adjacent_difference", f"{MERGED} select x, y, bin, cast(bin - lag(bin) over (partition by x, y order by bin) as integer) as step from coo")
 def _(spark, d):
-    return merged(spark, d).select("x", "y", "bin", (F.col("bin") - F.lag("bin").over(Window.partitionBy("x", "y").orderBy("bin"))).alias("step"))
+    return ingest.steps(merged(spark, d).select("x", "y", "bin"), ["x", "y"], "bin")
 
 
 @query("win7_median_spacing", f"{DENSE}, v as (select distinct layer, y from dense), s as (select layer, y - lag(y) over (partition by layer order by y) as step from v) select layer, {sql_fixed('quantile_cont(step, 0.5)')} as spacing from s where step is not null group by layer")
@@ -537,14 +552,14 @@ def _(spark, d):
 
 @query("set3_concatenate", f"{DENSE} select layer, x, y, mz, signal from dense where layer = 1 union all select layer, x, y, cast(mz + 64 as integer), signal from dense where layer = 1")
 def _(spark, d):
-    one = dense(spark, d).df.where("layer = 1")
-    return one.unionByName(one.withColumn("mz", F.col("mz") + 64))
+    one = dense(spark, d).where("layer = 1")
+    return C.concat([one, one], "mz").df
 
 
 @query("set4_same_cells", f"{DENSE}, a as (select mz from dense where layer = 1), b as (select mz from dense where layer = 2 and mz < 60) select distinct mz from a where mz not in (select mz from b)")
 def _(spark, d):
-    df = dense(spark, d).df
-    return df.where("layer = 1").select("mz").distinct().exceptAll(df.where("layer = 2 and mz < 60").select("mz").distinct())
+    cube = dense(spark, d)
+    return C.without(cube.where("layer = 1"), cube.where("layer = 2 and mz < 60"), "mz")
 
 
 # Functions ------------------------------------------------------------------------------------------
@@ -730,3 +745,63 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mass-range images, scaled by their spectra and turned to the lower left origin."""
     result = M.query(dense(spark, sf_dir), M.QuerySpec(tuple(RANGES), scaling=M.Norm.TIC, origin=M.Origin.BOTTOM_LEFT))
     return result.images.withColumn("scaled", fixed(F.col("scaled")))
+
+
+@query("query_stored", f"{IMAGES_SQL} select range_id, layer, x, y, tic, max from images")
+def _(spark, d):
+    """Ranges read from the stored layout that covers their box with the fewest chunks."""
+    return engine.query(stored(spark, d), M.QuerySpec(tuple(RANGES))).images.select("range_id", "layer", "x", "y", "tic", "max")
+
+
+@query("query_total_image", f"{DENSE}, t as (select layer, x, y, cast(sum(signal) as bigint) as tic from dense group by layer, x, y) select layer, cast(24 - x as integer) as x, y, {sql_fixed('tic / cast(max(tic) over (partition by layer) as double)')} as scaled from t")
+def _(spark, d):
+    result = engine.query(stored(spark, d), M.QuerySpec((), scaling=M.Norm.MAX, origin=M.Origin.TOP_RIGHT))
+    return result.total_image.select("layer", "x", "y", fixed(F.col("scaled")).alias("scaled"))
+
+
+@query("query_kendrick", f"{DENSE}, s as (select layer, mz, sum(signal) as tic from dense group by layer, mz), k as (select *, {MZ} * (14 / cast(14.01565 as double)) as km, max(tic) over (partition by layer) as top from s) select layer, mz, {sql_fixed('round_even(km, 0)')} as nominal, {sql_fixed('km - round_even(km, 0)')} as defect, {sql_fixed('(tic / cast(top as double)) * (tic / cast(top as double))')} as size from k")
+def _(spark, d):
+    cube = dense(spark, d)
+    points = engine.kendrick(engine.query(cube, M.QuerySpec(())), cube)
+    return points.select("layer", "mz", *[fixed(F.col(c)).alias(c) for c in ("nominal", "defect", "size")])
+
+
+@query("query_colour_ticks", f"{DENSE}, t as (select layer, x, y, sum(signal) as tic from dense group by layer, x, y), e as (select layer, min(tic) as lo, max(tic) as hi from t group by layer) select layer, cast(k as integer) as k, {sql_fixed('lo + (hi - lo) * k / cast(5 as double)')} as tick from e, range(6) r(k)")
+def _(spark, d):
+    ticks = M.colour_ticks(M.total_image(dense(spark, d)), "tic", ["layer"])
+    return ticks.select("layer", F.posexplode("ticks").alias("k", "t")).select("layer", "k", fixed(F.col("t")).alias("tick"))
+
+
+@query("query_subpixels")
+def _(spark, d):
+    """Images with two pixels for every one along each axis, by a linear spline."""
+    cube = dense(spark, d)
+    height = cube.df.agg(F.coalesce(F.max("y") + 1, F.lit(1))).first()[0]
+    cube = C.Cube(cube.df, cube.dims, (cube.shape[0], cube.shape[1], height, cube.shape[3]), cube.value, cube.axes)
+    return engine.query(cube, M.QuerySpec(tuple(RANGES[:1]), subpixels=2.0, interpolation=1)).images
+
+
+@query("jn4_convert_points", f"{MERGED} select x, y, bin, signal, {sql_fixed('exact')} as exact, n from coo")
+def _(spark, d):
+    """From raw points to a cube in one call."""
+    cube, _ = ingest.convert_points(C.lineitem_points(spark, d), ("x", "y", "bin"), (32, 8, 128), {"bin": ("exact", C.lineitem_edges())})
+    return cube.df.withColumn("exact", fixed(F.col("exact")))
+
+
+@query("agg12_first_value", f"{POINTS} select x, y, cast(sum(signal) as bigint) as signal, {sql_fixed('min(exact)')} as low, {sql_fixed('max(exact)')} as high from pts group by x, y")
+def _(spark, d):
+    """The first and the last row of a cell by the order that the caller gives."""
+    points = C.lineitem_points(spark, d).withColumn("low", F.col("exact")).withColumn("high", F.col("exact"))
+    merged = ingest.merge_duplicates(points, ["x", "y"], {"low": "first", "high": "last"}, order=["exact"])
+    return merged.select("x", "y", "signal", fixed(F.col("low")).alias("low"), fixed(F.col("high")).alias("high"))
+
+
+@query("srt6_top_isotope", f"with iso(symbol, accurate, abundance) as (values {_ISOTOPES}), n as (select *, row_number() over (partition by symbol order by abundance desc, accurate) as n from iso) select symbol, {sql_fixed('accurate')} as accurate from n where n = 1")
+def _(spark, d):
+    return chem.top_isotopes(chem.common_isotopes(spark)).where("symbol <> 'E'").select("symbol", fixed(F.col("accurate")).alias("accurate"))
+
+
+@query("fn10_digits", "select o_orderkey, case when n < 1024 then cast(n as varchar) || 'b' when n % 1024 = 0 then cast(n // 1024 as varchar) || 'Kb' else printf('%.1fKb', n / 1024.0) end as size from (select o_orderkey, o_orderkey % 4096 as n from orders)")
+def _(spark, d):
+    t = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.expr("o_orderkey % 4096").alias("n"))
+    return t.select("o_orderkey", text.format_bytes(F.col("n"), 1).alias("size"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from cubeloom.cube import Cube
+from cubeloom.cube import Axis, Cube
 from cubeloom.plans.chunking import Box, Chunks, choose_layout
 from cubeloom.shipping import ship
 
@@ -69,6 +69,19 @@ class StoredReader(CubeReader):
     def layout(self, box: Box) -> Cube:
         return self._cube.with_df(self.spark.read.parquet(f"{self.path}/{choose_layout(self.layouts, box)}").select(*self._cube.dims, self._cube.value))
 
+    def points(self) -> DataFrame:
+        """Cells with every column that was stored: exact values and item counts."""
+        return self.spark.read.parquet(f"{self.path}/{next(iter(self.layouts))}").drop("chunk_id")
+
+    def totals(self) -> tuple[DataFrame, DataFrame]:
+        """The stored total image and total spectrum: tic and max of every key."""
+        *pixel, last = self._cube.dims
+        wide = []
+        for name, keys in (("total_images", pixel), ("total_spectra", [self._cube.dims[0], last])):
+            t = self.spark.read.parquet(f"{self.path}/{name}")
+            wide.append(t.groupBy(*keys).agg(*[F.max(F.when(F.col("accumulator") == a, F.col("signal"))).alias(a) for a in ("tic", "max")]))
+        return wide[0], wide[1]
+
     def spectrum(self, layer: int, x: int, y: int) -> DataFrame:
         return FrameReader(self.layout(((layer, layer + 1), (x, x + 1), (y, y + 1), (0, self._cube.shape[-1])))).spectrum(layer, x, y)
 
@@ -85,6 +98,19 @@ class StoredReader(CubeReader):
         return self._total("total_images", accumulator, layer)
 
 
+def open_stored(spark: SparkSession, path: str) -> StoredReader:
+    """The reader of a cube that sinks.write_cube has written: its layouts, its shape
+    and its axes with their labels come from the tables beside it."""
+    rows = spark.read.parquet(f"{path}/layouts").collect()  # a row for each layout
+    shape, dims, value = tuple(rows[0]["shape"]), tuple(rows[0]["dims"]), rows[0]["value"]
+    labels: dict[tuple, dict[int, float]] = {}
+    for r in spark.read.parquet(f"{path}/axes").collect():  # a row for each label
+        labels.setdefault((r["axis"], dims[r["dim"]], r["unit"], r["axis_type"]), {})[r["idx"]] = r["value"]
+    axes = tuple(Axis(name, dim, unit=unit, kind=kind, values=tuple(v[k] for k in sorted(v))) for (name, dim, unit, kind), v in labels.items())
+    cube = Cube(spark.read.parquet(f"{path}/{rows[0]['layout']}").select(*dims, value), dims, shape, value, axes)
+    return StoredReader(spark, path, cube, {r["layout"]: Chunks(shape, tuple(r["chunk"])) for r in rows})
+
+
 class ChunkSource(ABC):
     """A custom source: subclass it, register it, read it with the format of its name."""
 

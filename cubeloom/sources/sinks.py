@@ -30,12 +30,27 @@ def write_cube(cube: Cube, path: str, layouts: dict[str, tuple[Chunks, list[str]
     for name, (chunks, order) in layouts.items():
         placed = cube.df.withColumn("chunk_id", chunks.id_column(list(cube.dims)))
         placed.repartitionByRange("chunk_id", *order).sortWithinPartitions("chunk_id", *order).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
-    unpivoted(total_image(cube), list(cube.dims[:-1])).write.mode("overwrite").parquet(f"{path}/total_images")
-    unpivoted(total_spectrum(cube), [cube.dims[0], cube.dims[-1]]).write.mode("overwrite").parquet(f"{path}/total_spectra")
+    refresh_totals(cube, path)
+    shapes = [(name, list(chunks.chunk), list(cube.shape), list(cube.dims), cube.value) for name, (chunks, _) in layouts.items()]
+    spark.createDataFrame(shapes, "layout string, chunk array<int>, shape array<int>, dims array<string>, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/layouts")
     cube.axis_table(spark).write.mode("overwrite").parquet(f"{path}/axes")
     write_metadata(spark, metadata or {}, f"{path}/metadata")
 
 
+def append_cells(cells: DataFrame, cube: Cube, path: str, layouts: dict[str, tuple[Chunks, list[str]]]) -> None:
+    """More cells of a stored cube, dense or sparse, for every layout. Totals stay as
+    they were until refresh_totals()."""
+    for name, (chunks, order) in layouts.items():
+        placed = cells.withColumn("chunk_id", chunks.id_column(list(cube.dims)))
+        placed.repartitionByRange("chunk_id", *order).sortWithinPartitions("chunk_id", *order).write.mode("append").option("compression", "zstd").parquet(f"{path}/{name}")
+
+
+def refresh_totals(cube: Cube, path: str) -> None:
+    """Totals anew from a cube, read from one of its layouts."""
+    unpivoted(total_image(cube), list(cube.dims[:-1])).write.mode("overwrite").parquet(f"{path}/total_images")
+    unpivoted(total_spectrum(cube), [cube.dims[0], cube.dims[-1]]).write.mode("overwrite").parquet(f"{path}/total_spectra")
+
+
 def flatten(tree: dict, path: str = "") -> list[tuple[str, str, str]]:
     """A nested dict as rows: groups are paths, leaves are attributes."""
     out = []
@@ -139,6 +154,27 @@ def write_text(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", " ").csv(path)
 
 
+def write_query(result, cube: Cube, folder: str) -> None:
+    """A query's images and spectra as text: rows of pixels, and "mass value" lines."""
+    layer, mz = cube.dims[0], cube.dims[-1]
+
+    def image(df: DataFrame, keys: list[str], path: str) -> None:
+        rows = df.groupBy(*keys, "y").agg(F.array_sort(F.collect_list(F.struct("x", "scaled"))).alias("_r"))
+        line = F.concat_ws(" ", F.transform("_r", lambda p: p["scaled"].cast("string"))).alias("value")
+        rows.repartition(*keys).sortWithinPartitions(*keys, "y").select(*keys, line).write.mode("overwrite").partitionBy(*keys).text(path)
+
+    def spectrum(df: DataFrame, keys: list[str], value: str, path: str) -> None:
+        line = F.concat_ws(" ", cube.default_axis(mz).label(F.col(mz)).cast("string"), F.col(value).cast("string")).alias("value")
+        df.repartition(*keys).sortWithinPartitions(*keys, mz).select(*keys, line).write.mode("overwrite").partitionBy(*keys).text(path)
+
+    image(result.images, ["range_id", layer], f"{folder}/images")
+    image(result.total_image, [layer], f"{folder}/total_image")
+    if result.accumulated is not None:
+        image(result.accumulated, [layer], f"{folder}/accumulated")
+    spectrum(result.spectra, ["range_id", layer], "tic", f"{folder}/spectra")
+    spectrum(result.total_spectrum, [layer], "scaled", f"{folder}/total_spectrum")
+
+
 class FileGuard:
     """Deletes outputs if the block fails, and requires them if it does not."""
 

@@ -3,10 +3,12 @@ dropping of points that were seen before."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cubeloom.operators.quantiles import P2
@@ -82,3 +84,24 @@ def merge_into(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -
 
 def totals(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return spark.read.parquet(path).groupBy(*keys).agg(F.sum("tic").alias("tic"), F.max("max").alias("max"))
+
+
+class Progress(StreamingQueryListener):
+    """Calls `report(done, rows)` as the batches of a stream end: how many ended so far
+    and the rows of the last one. Add it with spark.streams.addListener."""
+
+    def __init__(self, report: Callable[[int, int], None]):
+        self.report, self.done = report, 0
+
+    def onQueryStarted(self, event) -> None:
+        self.done = 0
+
+    def onQueryProgress(self, event) -> None:
+        self.done += 1
+        self.report(self.done, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

@@ -97,3 +97,13 @@ def test_accumulations_validate(spark):
     for named in ({"": ("x",)}, {"a": ("z",)}, {"a": ("x",), "b": ("x",)}):
         with pytest.raises(ValueError):
             ingest.accumulations(cube, named)
+
+
+@pytest.mark.parametrize("many", [3, 200, 1000])
+def test_bins_by_search(spark, many):
+    edges = sorted(np.random.default_rng(many).uniform(0, 10, many).tolist())
+    values = [*np.random.default_rng(1).uniform(-1, 11, 200).tolist(), *edges[:20], None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", ingest.bin_left(F.col("v"), edges).alias("k"), ingest.upper_edge(ingest.bin_left(F.col("v"), edges), edges).alias("e")).collect()
+    for r in rows:
+        k = 0 if r.v is None else int(np.searchsorted(edges[:-2], r.v))
+        assert r.k == k and r.e == edges[k + 1]

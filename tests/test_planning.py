@@ -17,6 +17,22 @@ def test_max_items(priorities, items, want):
     assert K.from_max_items(CUBE, items, priorities).chunk == want
 
 
+@pytest.mark.parametrize(("shape", "items", "want"), [((100,) * 3, 10, (10, 1, 1)), ((100,) * 3, 200, (50, 4, 1)), ((10,) * 3, 1000, (5, 5, 5)), ((10,) * 3, 5, (5, 1, 1))])
+def test_max_items_of_at_least_two_chunks(shape, items, want):
+    assert K.from_max_items(shape, items, (1, 2, 3), (2, 2, 2)).chunk == want
+
+
+def test_extents_share_in_proportion():
+    assert K.from_max_items((10, 3), 8, (1, 1)).chunk == (4, 2)
+
+
+def test_slices_as_ranges():
+    assert K.slice_range(slice(5)) == range(5) and K.slice_range(slice(1, 5, 2)) == range(1, 5, 2) and K.slice_range(slice(None, 6, 2)) == range(0, 6, 2)
+    assert (K.slice_len(slice(5)), K.slice_len(slice(1, 5)), K.slice_len(slice(1, 5, 2))) == (5, 4, 2)
+    with pytest.raises(ValueError):
+        K.slice_range(slice(3, None))
+
+
 @pytest.mark.parametrize(("priorities", "least", "want"), [((1, 2, 3), 10, (10, 1, 1)), ((1, 2, 3), 200, (100, 2, 1)), ((1, 1, 2), 10, (4, 4, 1)), ((1, 1, 2), 200, (15, 15, 1)), ((1, 1, 1), 200, (6, 6, 6))])
 def test_min_chunks(priorities, least, want):
     assert K.from_min_chunks(CUBE, least, priorities).counts == want
@@ -75,7 +91,7 @@ def test_small_tools():
     for bad in (((4, 3, 4),), ((3, 4),), ((),)):
         with pytest.raises(ValueError):
             K.uniform(bad)
-    assert text.parse_bytes("1.5Kb") == 1536 and text.parse_bytes("7") == 7 and text.parse_bytes("0.1b") == 1
+    assert text.parse_bytes("1.5Kb") == 1536 and text.parse_bytes("7b") == 7 and text.parse_bytes("2Mb") == 2 << 20 and text.parse_bytes("0.1b") == 1
     edges = text.piecewise_edges(0, 100, 1000)
     assert edges[0] == 0 and edges[-1] == 100 and len(edges) == 101 and (np.diff(edges) > 0).all()
     with pytest.raises(ValueError):

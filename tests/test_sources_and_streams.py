@@ -157,3 +157,25 @@ def test_streams(spark, tmp_path):
     assert {r.n for r in last} == {100} and all(r.p[0] == -3 and r.p[-1] == 13 for r in last)
     layers = streams.window_layers(df, "ts", "12 hours", ["kind"], "value")
     assert sum(r.n for r in layers.collect()) == 300
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    from cubeloom.streaming import cubes
+
+    seen = []
+    listener = cubes.Progress(lambda done, rows: seen.append((done, rows)))
+    spark.streams.addListener(listener)
+    try:
+        for k in range(2):
+            spark.range(3).selectExpr("id as x", "id as signal").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = cubes.read_stream(spark, f"{tmp_path}/in", "x long, signal long")
+        cubes.run_to_end(cubes.running_totals(stream, ["x"]), "progress_sink", "complete")
+        import time
+
+        for _ in range(50):
+            if sum(r for _, r in seen) >= 6:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sum(r for _, r in seen) == 6
