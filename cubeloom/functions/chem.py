@@ -16,9 +16,18 @@ C 12 12.000000 98.90; C 13 13.003355 1.10; N 14 14.003074 99.63; N 15 15.000109
 F 19 18.998403 100.00; Na 23 22.989770 100.00; Mg 24 23.985045 78.90; Mg 25 24.985839 10.00; Mg 26 25.982595 11.10; Al 27 26.981541 100.00;
 Si 28 27.976928 92.23; Si 29 28.976496 4.67; Si 30 29.973772 3.10; P 31 30.973763 100.00; S 32 31.972072 95.02; S 33 32.971459 0.75; S 34 33.967868 4.21; S 36 35.967079 0.020;
 Cl 35 34.968853 75.77; Cl 37 36.965903 24.23; K 39 38.963708 93.20; K 40 39.963999 0.012; K 41 40.961825 6.73;
-Fe 54 53.939612 5.80; Fe 56 55.934939 91.72; Fe 57 56.935396 2.20; Fe 58 57.933278 0.28; Br 79 78.918336 50.69; Br 81 80.916290 49.31; I 127 126.904477 100.00
+Ca 40 39.962591 96.95; Ca 42 41.958622 0.65; Ca 43 42.958770 0.14; Ca 44 43.955485 2.086; Ca 46 45.953689 0.004; Ca 48 47.952532 0.19;
+Ti 46 45.952633 8.00; Ti 47 46.951765 7.30; Ti 48 47.947947 73.80; Ti 49 48.947871 5.50; Ti 50 49.944786 5.40;
+Cr 50 49.946046 4.35; Cr 52 51.940510 83.79; Cr 53 52.940651 9.50; Cr 54 53.938882 2.36; Mn 55 54.938046 100.00;
+Fe 54 53.939612 5.80; Fe 56 55.934939 91.72; Fe 57 56.935396 2.20; Fe 58 57.933278 0.28; Co 59 58.933198 100.00;
+Ni 58 57.935347 68.27; Ni 60 59.930789 26.10; Ni 61 60.931059 1.13; Ni 62 61.928346 3.59; Ni 64 63.927968 0.91; Cu 63 62.929599 69.17; Cu 65 64.927792 30.83;
+Zn 64 63.929145 48.60; Zn 66 65.926035 27.90; Zn 67 66.927129 4.10; Zn 68 67.924846 18.80; Zn 70 69.925325 0.60; As 75 74.921596 100.00;
+Se 74 73.922477 0.90; Se 76 75.919207 9.00; Se 77 76.919908 7.60; Se 78 77.917304 23.50; Se 80 79.916521 49.60; Se 82 81.916709 9.40; Br 79 78.918336 50.69; Br 81 80.916290 49.31;
+Ag 107 106.905095 51.84; Ag 109 108.904754 48.16;
+Sn 112 111.904826 0.97; Sn 114 113.902784 0.65; Sn 115 114.903348 0.36; Sn 116 115.901744 14.70; Sn 117 116.902954 7.70; Sn 118 117.901607 24.30; Sn 119 118.903310 8.60;
+Sn 120 119.902199 32.40; Sn 122 121.903440 4.60; Sn 124 123.905271 5.60; I 127 126.904477 100.00
 """
-COMPOUNDS = ("CH2", "H2O", "NaCl", "Fe2O3", "LiBO2", "C60", "C6H12O6")
+COMPOUNDS = ("CH2", "H2O", "NaCl", "SnCl2", "Fe2O3", "LiBO2", "C60", "C6H12O6")
 
 
 def common_isotopes(spark: SparkSession) -> DataFrame:

@@ -649,27 +649,38 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").groupBy("p_size").agg(F.ceil(F.first("p_size") / F.lit(7.0)).alias("chunks"), F.count("*").alias("n")).select("p_size", "chunks", "n")
 
 
-PLANS = [((1, 2, 3), 10), ((1, 2, 3), 200), ((1, 1, 2), 10), ((1, 1, 2), 200), ((1, 1, 1), 200)]
+def plans(spark, make) -> DataFrame:
+    """A row for every number of items or chunks from 1 to 600, in a shape of its own."""
+    rows = [(n, 4 + n % 9, 3 + n % 7, 2 + n % 5, *make((4 + n % 9, 3 + n % 7, 2 + n % 5), n)) for n in range(1, 601)]
+    return spark.createDataFrame(rows, "n int, s int, t int, u int, a int, b int, c int")
 
 
-def plans(spark, make) -> DataFrame:
-    rows = [(k, *make(n, p)) for k, (p, n) in enumerate(PLANS)]
-    return spark.createDataFrame(rows, "plan int, a int, b int, c int")
+PLANS_SQL = "p as (select cast(n as integer) as n, cast(4 + n % 9 as integer) as s, cast(3 + n % 7 as integer) as t, cast(2 + n % 5 as integer) as u from range(1, 601) r(n))"
 
 
-@query("chk2_max_items", "select * from (values (0, 10, 1, 1), (1, 100, 2, 1), (2, 3, 3, 1), (3, 14, 14, 1), (4, 5, 5, 5)) t(plan, a, b, c)")
+@query("chk2_max_items", f"with {PLANS_SQL}, a as (select *, least(s, n) as a from p), b as (select *, least(t, n // a) as b from a) select n, s, t, u, cast(a as integer) as a, cast(b as integer) as b, cast(least(u, n // (a * b)) as integer) as c from b")
 def _(spark, d):
-    return plans(spark, lambda n, p: chunking.from_max_items((100, 100, 100), n, p).chunk)
+    return plans(spark, lambda shape, n: chunking.from_max_items(shape, n, (1, 2, 3)).chunk)
+
+
+@query("chk2_max_items_of_equals", f"with {PLANS_SQL}, k as (select n, s, t, u, x as k, s * x + greatest(s, t, u) - 1 as s1, t * x + greatest(s, t, u) - 1 as t1, u * x + greatest(s, t, u) - 1 as u1, greatest(s, t, u) as m from p, range(1, 13) r(x)), c as (select n, s, t, u, k, s1 // m as a, t1 // m as b, u1 // m as c from k where k <= m) select n, s, t, u, cast(max_by(a, k) as integer) as a, cast(max_by(b, k) as integer) as b, cast(max_by(c, k) as integer) as c from c where a * b * c <= n group by n, s, t, u")
+def _(spark, d):
+    return plans(spark, lambda shape, n: chunking.from_max_items(shape, n, (1, 1, 1)).chunk)
+
+
+def _cut_sql(size: str, least: str) -> str:
+    """How many chunks the largest chunk gives that still makes `least` of them."""
+    return f"(select min((({size}) + x - 1) // x) from range(1, 13) r(x) where x <= ({size}) and (({size}) + x - 1) // x >= ({least}))"
 
 
-@query("chk3_min_chunks", "select * from (values (0, 10, 1, 1), (1, 100, 2, 1), (2, 4, 4, 1), (3, 15, 15, 1), (4, 6, 6, 6)) t(plan, a, b, c)")
+@query("chk3_min_chunks", f"with {PLANS_SQL}, a as (select *, least(s, n) as a from p), b as (select *, least(t, (n + a - 1) // a) as b from a), c as (select *, least(u, (n + a * b - 1) // (a * b)) as c from b) select n, s, t, u, cast({_cut_sql('s', 'a')} as integer) as a, cast({_cut_sql('t', 'b')} as integer) as b, cast({_cut_sql('u', 'c')} as integer) as c from c")
 def _(spark, d):
-    return plans(spark, lambda n, p: chunking.from_min_chunks((100, 100, 100), n, p).counts)
+    return plans(spark, lambda shape, n: chunking.from_min_chunks(shape, n, (1, 2, 3)).counts)
 
 
-@query("chk6_normalised", "select * from (values (0, 5, 5, 1)) t(plan, a, b, c)")
+@query("chk6_normalised", f"with {PLANS_SQL} select n, s, t, u, " + ", ".join(f"cast(({x} + ({x} + ({c}) - 1) // ({c}) - 1) // (({x} + ({c}) - 1) // ({c})) as integer) as {y}" for x, y, c in (("s", "a", "1 + n % s"), ("t", "b", "1 + n // 3 % t"), ("u", "c", "1 + n // 5 % u"))) + " from p")
 def _(spark, d):
-    return spark.createDataFrame([(0, *chunking.Chunks((10, 10, 1), (7, 7, 1)).normalised().chunk)], "plan int, a int, b int, c int")
+    return plans(spark, lambda shape, n: chunking.Chunks(shape, tuple(1 + n // k % x for k, x in zip((1, 3, 5), shape))).normalised().chunk)
 
 
 @query("chk7_chunk_boxes", "select cast(a * 8 as integer) as x_lo, cast(least(a * 8 + 8, 25) as integer) as x_hi, cast(b * 30 as integer) as mz_lo, cast(least(b * 30 + 30, 64) as integer) as mz_hi from range(4) t(a), range(3) u(b)")
