@@ -10,9 +10,11 @@ recipes, the root over its documents and its range of ids.
     chunks/kind=chunk   digest, payload (ids as little-endian unsigned 16 bits), n
     recipes             doc_id, pid, local_start, n_tokens, recipe, root
     manifest            pid, first_id, last_id, docs, ids, base, root
+    store               root, over the rows of the manifest
 
 Reading checks every payload against its digest, every recipe against its root and
-length, and every manifest row against its recipes; a difference is an error.
+length, every manifest row against its recipes and the manifest against the store's
+root; a difference, or a row or file that is gone, is an error.
 
 Defined cases: null and empty texts are the end id alone. Null doc_ids come before
 all others. Rows that repeat a doc_id are stored one by one, ordered by root. An
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +71,26 @@ def merkle(leaves: list[bytes]) -> bytes:
     return row[0] if row else b""
 
 
-def _split(recipe: bytes) -> list[bytes]:
-    return [recipe[k : k + DIGEST] for k in range(0, len(recipe), DIGEST)]
+class Forest:
+    """merkle() of leaves that come one by one: holds one finished tree for each size."""
+
+    def __init__(self) -> None:
+        self.trees: list[tuple[int, bytes]] = []  # (height, root), heights descending
+
+    def add(self, leaf: bytes) -> None:
+        height, node = 0, hashlib.blake2b(b"\0" + leaf, digest_size=DIGEST).digest()
+        while self.trees and self.trees[-1][0] == height:
+            node = hashlib.blake2b(b"\1" + self.trees.pop()[1] + node, digest_size=DIGEST).digest()
+            height += 1
+        self.trees.append((height, node))
+
+    def root(self) -> bytes:
+        """A smaller tree at the end moves up until it meets a larger one."""
+        trees = [node for _, node in self.trees]
+        while len(trees) > 1:
+            right = trees.pop()
+            trees[-1] = hashlib.blake2b(b"\1" + trees[-1] + right, digest_size=DIGEST).digest()
+        return trees[0] if trees else b""
 
 
 _STAGE = "kind string, digest binary, payload binary, n int, doc_id long, recipe binary, root binary"
@@ -77,15 +98,15 @@ _STAGE = "kind string, digest binary, payload binary, n int, doc_id long, recipe
 
 def _chunked(encoder, end_id: int):
     def run(batches):
-        encode = encoder()
-        end = np.array([end_id], "<u2").tobytes()
+        encode = encoder().encode
         pid, seen, row = TaskContext.get().partitionId(), set(), 0
-        for batch in (b.slice(k, 200) for b in batches for k in range(0, b.num_rows, 200)):
-            raws = [encode(t or "") + end for t in batch.column(1).to_pylist()]
-            flat = b"".join(raws)
-            at = np.concatenate(([0], np.cumsum([len(r) // 2 for r in raws])))
+        parts = ((b.column(0).slice(k, len(at) - 1), ids, at) for b in batches for k, ids, at in encode([t or "" for t in b.column(1).to_pylist()]))
+        for docs, own, ends_at in ((d.slice(k, 500), i, at[k : k + 501]) for d, i, at in parts for k in range(0, len(d), 500)):
+            at = ends_at - ends_at[0] + np.arange(len(ends_at))
+            ids = np.insert(own[ends_at[0] : ends_at[-1]], ends_at[1:] - ends_at[0], end_id)
+            flat = ids.tobytes()
             out: list[tuple] = []
-            for doc, lo, ends in zip(batch.column(0).to_pylist(), at.tolist(), cuts(np.frombuffer(flat, "<u2"), at)):
+            for doc, lo, ends in zip(docs.to_pylist(), at.tolist(), cuts(ids, at)):
                 last, digests = lo, []
                 for e in ends:
                     payload = flat[2 * last : 2 * e]
@@ -113,21 +134,22 @@ def _numbered(batches):
 
 
 def _sealed(batches):
-    """The manifest row of the recipes of one task."""
-    pid, first, last, docs, ids, roots = -1, None, None, 0, 0, hashlib.blake2b(digest_size=DIGEST)
+    """The manifest row of each file of recipes (pid, doc_id, n, root; by position): the
+    Merkle root over its documents' roots."""
+    pid, first, last, docs, ids, tree = -1, None, None, 0, 0, Forest()
     for batch in batches:
-        for doc, p, _, n, recipe, root in zip(*(c.to_pylist() for c in batch.columns)):
+        for p, doc, n, root in zip(*(c.to_pylist() for c in batch.columns)):
             if p != pid and pid >= 0:
-                yield _seal(pid, first, last, docs, ids, roots)
-                docs, ids, roots, first = 0, 0, hashlib.blake2b(digest_size=DIGEST), None
+                yield _seal(pid, first, last, docs, ids, tree)
+                docs, ids, tree, first = 0, 0, Forest(), None
             pid, first, last, docs, ids = p, doc if first is None else first, doc, docs + 1, ids + n
-            roots.update(root)
+            tree.add(root)
     if pid >= 0:
-        yield _seal(pid, first, last, docs, ids, roots)
+        yield _seal(pid, first, last, docs, ids, tree)
 
 
-def _seal(pid, first, last, docs, ids, roots):
-    values = ((pid, pa.int32()), (first, pa.int64()), (last, pa.int64()), (docs, pa.int64()), (ids, pa.int64()), (roots.digest(), pa.binary()))
+def _seal(pid, first, last, docs, ids, tree):
+    values = ((pid, pa.int32()), (first, pa.int64()), (last, pa.int64()), (docs, pa.int64()), (ids, pa.int64()), (tree.root(), pa.binary()))
     return pa.record_batch([pa.array([v], k) for v, k in values], names=["pid", "first_id", "last_id", "docs", "ids", "root"])
 
 
@@ -135,21 +157,37 @@ _SEAL = "pid int, first_id long, last_id long, docs long, ids long, root binary"
 
 
 def write(docs: DataFrame, path: str, encoder, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the store of docs under path. encoder() gives, in a worker, a function
-    from text to the bytes of its ids as 16-bit integers."""
+    """Writes the store of docs under path. encoder() gives, in a worker, a
+    pieces.Cutter with 16-bit ids."""
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     staged = base.mapInArrow(_chunked(encoder, end_id), _STAGE)
-    once = staged.selectExpr("*", "row_number() over (partition by kind, digest order by n) as copy").where("copy = 1").drop("copy")
+    dealt = staged.repartition("kind", "digest")  # so that rows are sorted once, after they moved
+    once = dealt.selectExpr("*", "row_number() over (partition by kind, digest order by n) as copy").where("copy = 1").drop("copy")
     once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/chunks")
     rows = spark.read.schema(_STAGE).parquet(f"{path}/chunks").where("kind = 'doc'").select("doc_id", "n", "recipe", "root")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "root")
     numbered = ordered.mapInArrow(_numbered, "doc_id long, pid int, local_start long, n_tokens long, recipe binary, root binary")
     numbered.write.option("compression", "zstd").parquet(f"{path}/recipes")
-    seals = _recipes(spark, path).repartition("pid").sortWithinPartitions("pid", "local_start").mapInArrow(_sealed, _SEAL)
+    seals = _seals(spark, path)
     manifest = seals.selectExpr("*", "coalesce(sum(ids) over (order by pid rows between unbounded preceding and 1 preceding), 0) as base")
     manifest.write.parquet(f"{path}/manifest")  # a row for each file of recipes
+    spark.createDataFrame([(_store_root(spark, path),)], "root binary").coalesce(1).write.parquet(f"{path}/store")
+
+
+def _seals(spark: SparkSession, path: str) -> DataFrame:
+    rows = _recipes(spark, path).select("pid", "local_start", "doc_id", "n_tokens", "root")
+    return rows.repartition("pid").sortWithinPartitions("pid", "local_start").select("pid", "doc_id", "n_tokens", "root").mapInArrow(_sealed, _SEAL)
+
+
+def _store_root(spark: SparkSession, path: str) -> bytes:
+    """The Merkle root over the manifest, a row for each file of recipes."""
+    tree = Forest()
+    rows = spark.read.schema(_SEAL + ", base long").parquet(f"{path}/manifest").orderBy("pid").select("pid", "docs", "ids", "base", "root")
+    for pid, docs, ids, base, root in rows.toLocalIterator():
+        tree.add(b"%d %d %d %d " % (pid, docs, ids, base) + bytes(root))
+    return tree.root()
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -179,16 +217,24 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(1)
+def _steps() -> np.ndarray:
+    """[k, j, b]: byte j with value b of a crc32 after 2^k more bytes (they add up by XOR)."""
+    power, out = np.array([0x00800000], np.uint64), np.empty((48, 4, 256), np.uint64)  # x^8
+    bytes_at = (np.arange(256, dtype=np.uint64)[None, :] << (np.arange(4, dtype=np.uint64) * np.uint64(8))[:, None]).ravel()
+    for k in range(len(out)):
+        out[k] = _times(np.broadcast_to(power, 1024).copy(), bytes_at).reshape(4, 256)
+        power = _times(power, power)
+    return out
+
+
 def shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     """The share of a part's crc32 in that of a whole with n_bytes after the part."""
-    power = np.array([0x00800000], np.uint64)  # x^8
-    out, n = crc.astype(np.uint64), n_bytes.astype(np.uint64)
-    while n.any():
-        odd = (n & np.uint64(1)).astype(bool)
-        if odd.any():
-            out[odd] = _times(np.broadcast_to(power, odd.sum()).copy(), out[odd])
-        power = _times(power, power)
-        n >>= np.uint64(1)
+    out, n = crc.astype(np.uint64), n_bytes.astype(np.int64)
+    for k in range(int(n.max(initial=0)).bit_length()):
+        at = np.flatnonzero(n >> k & 1)
+        v, t = out[at].astype(np.int64), _steps()[k]
+        out[at] = t[0][v & 255] ^ t[1][v >> 8 & 255] ^ t[2][v >> 16 & 255] ^ t[3][v >> 24]
     return out
 
 
@@ -197,14 +243,16 @@ def _joined(batches):
     for batch in (b.slice(k, 2000) for b in batches for k in range(0, b.num_rows, 2000)):
         if not batch.num_rows:
             continue
-        parts = [sorted(((x["pos"], x["digest"], x["crc"], x["n"]) for x in row)) for row in batch.column(2).to_pylist()]
-        size = np.array([len(p) for p in parts])
-        n = np.array([x[3] for p in parts for x in p], np.int64)
+        size = batch.column(2).value_lengths().to_numpy()
+        parts = batch.column(2).flatten()
+        order = np.lexsort((parts.field("pos").to_numpy(), np.repeat(np.arange(len(size)), size)))
+        n = parts.field("n").to_numpy()[order]
         first = np.cumsum(size) - size
         total = np.add.reduceat(n, first)
         after = np.repeat(np.cumsum(total), size) - np.cumsum(n)
-        crc = np.bitwise_xor.reduceat(shifted(np.array([x[2] for p in parts for x in p], np.int64), 4 * after), first)
-        root = [merkle([x[1] for x in p]) for p in parts]
+        crc = np.bitwise_xor.reduceat(shifted(parts.field("crc").to_numpy()[order], 4 * after), first)
+        digests = parts.field("digest").take(pa.array(order)).to_pylist()
+        root = [merkle(digests[a : a + k]) for a, k in zip(first.tolist(), size.tolist())]
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(crc.astype(np.int64)), pa.array(total), pa.array(root, pa.binary())], names=["pid", "local_start", "ids_crc32", "read_tokens", "read_root"])
 
 
@@ -216,10 +264,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     chunks = spark.read.schema(_STAGE).parquet(f"{path}/chunks").where("kind = 'chunk'").select("digest", "payload").mapInArrow(_checked, "digest binary, crc long, n long")
     recipes = _recipes(spark, path)
     said = spark.read.schema(_SEAL + ", base long").parquet(f"{path}/manifest")
-    seals = recipes.repartition("pid").sortWithinPartitions("pid", "local_start").mapInArrow(_sealed, _SEAL)
-    base = said.join(seals.select("pid", F.col("root").alias("read"), F.col("ids").alias("read_ids")), "pid", "left").select(
-        "pid", F.when((F.col("root") == F.col("read")) & (F.col("ids") == F.col("read_ids")), F.col("base")).otherwise(F.raise_error(F.lit("recipes do not match the manifest"))).alias("base")
-    )
+    if bytes(spark.read.schema("root binary").parquet(f"{path}/store").first()[0]) != _store_root(spark, path):
+        raise ValueError("the manifest does not match the store's root")
+    read_again = _seals(spark, path).select("pid", F.col("root").alias("read"), F.col("ids").alias("read_ids"), F.col("docs").alias("read_docs"))
+    same = (F.col("root") == F.col("read")) & (F.col("ids") == F.col("read_ids")) & (F.col("docs") == F.col("read_docs"))
+    base = said.join(read_again, "pid", "full").select("pid", F.when(F.coalesce(same, F.lit(False)), F.col("base")).otherwise(F.raise_error(F.lit("recipes do not match the manifest"))).alias("base"))
     digests = F.transform(F.sequence(F.lit(0), (F.length("recipe") / DIGEST).cast("int") - 1), lambda k: F.substring("recipe", k * DIGEST + 1, DIGEST))
     parts = recipes.select("pid", "local_start", F.posexplode(digests).alias("pos", "digest")).join(chunks, "digest", "left")
     whole = parts.groupBy("pid", "local_start").agg(F.collect_list(F.struct("pos", "digest", "crc", "n")).alias("parts"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cubeloom.llm.runtime import ship, written
 
-WINDOW = 1024
+WINDOW, BROADCAST_PIECES = 1024, 100_000
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CUT = "doc_id long, start long, length long, crc long, doc_tokens long, pid int, rank long, ids binary"
 
@@ -110,19 +110,21 @@ def plan(histogram: np.ndarray, window: int) -> dict:
         "lo": table[:, 1], "sequence": table[:, 2], "offset": table[:, 3],
         "first": np.searchsorted(table[:, 0], np.arange(window + 2)),
         "used": histogram - left, "at": np.cumsum(total) - total, "base": sequence,
-        "whole": stream // window, "bounds": np.concatenate([[0], np.cumsum(bounds)]).astype(np.int64),
+        "whole": stream // window, "streamed": int(left.sum()), "bounds": np.concatenate([[0], np.cumsum(bounds)]).astype(np.int64),
     }
 
 
 def _cut(encoder, end_id: int, window: int):
     def run(batches):
-        encode = encoder()
+        encode = encoder().encode
         pid = TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64)
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(np.frombuffer(encode(text or ""), np.uint16), np.uint16(end_id)).astype("<u4")
+            docs = batch.column(0).to_pylist()
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc, own in zip(docs, (ids[a:b] for _, ids, at in encode(texts) for a, b in zip(at[:-1].tolist(), at[1:].tolist()))):
+                ids = np.append(own, np.uint16(end_id)).astype("<u4")
                 for start in range(0, len(ids), window):
                     part = ids[start : start + window]
                     n = len(part)
@@ -144,11 +146,14 @@ def _batch(out):
 
 
 def _place(p: dict, window: int):
+    """Pieces with the place that the plan has for them; those of the greedy stream get
+    their position `at` in it instead."""
+
     def run(batches):
         for batch in batches:
             col = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
             length, rank = col["length"].to_numpy(), col["rank"].to_numpy() + col["before"].to_numpy()
-            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+            sequence, offset, at = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             full = length == window
             sequence[full] = rank[full]
             mine = ~full & (rank < p["used"][length])
@@ -158,27 +163,32 @@ def _place(p: dict, window: int):
                 k = lo + np.searchsorted(p["lo"][lo:hi], rank[here], "right") - 1
                 sequence[here] = p["sequence"][k] + rank[here] - p["lo"][k]
                 offset[here] = p["offset"][k]
-            rest = np.flatnonzero(~full & ~mine)
-            keep = np.flatnonzero(full | mine)
-            out = [col[n].to_numpy(zero_copy_only=False)[keep] for n in ("start", "length", "crc", "doc_tokens")]
-            doc = col["doc_id"].take(pa.array(keep))
-            yield pa.record_batch([doc, *(pa.array(x, pa.int64()) for x in (*out, sequence[keep], offset[keep]))], names=_NAMES)
+            rest = ~full & ~mine
+            at[rest] = p["at"][length[rest]] + (rank[rest] - p["used"][length[rest]]) * length[rest]
+            own = [batch.column(batch.schema.names.index(n)) for n in ("doc_id", "start", "length", "crc", "doc_tokens")]
+            yield pa.record_batch([*own, pa.array(sequence), pa.array(offset), pa.array(at, mask=~rest), col["pid"], col["rank"]], names=[*_NAMES, "at", "pid", "rank"])
+
+    return run
+
+
+def _streamed(p: dict, window: int):
+    """Cuts pieces of the greedy stream at the borders of its windows."""
+
+    def run(batches):
+        for batch in batches:
             rows: list[tuple] = []
-            for r in rest.tolist():
-                n = int(length[r])
-                at = int(p["at"][n] + (rank[r] - p["used"][n]) * n)
-                ids = np.frombuffer(col["ids"][r].as_py(), "<u2").astype("<u4")
+            for doc, start, n, tokens, at, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = np.frombuffer(raw, "<u2").astype("<u4")
                 begun = 0
                 while begun < n:
-                    pos = at + begun
-                    w, o = divmod(pos, window)
+                    w, o = divmod(at + begun, window)
                     if w < p["whole"]:
                         seq, off, room = p["base"] + w, o, window - o
                     else:
                         b = int(np.searchsorted(p["bounds"], o, "right")) - 1
                         seq, off, room = p["base"] + w + b, o - int(p["bounds"][b]), int(p["bounds"][b + 1]) - o
                     take = min(room, n - begun)
-                    rows.append((col["doc_id"][r].as_py(), col["start"][r].as_py() + begun, take, zlib.crc32(ids[begun : begun + take].tobytes()), col["doc_tokens"][r].as_py(), seq, off))
+                    rows.append((doc, start + begun, take, zlib.crc32(ids[begun : begun + take].tobytes()), tokens, seq, off))
                     begun += take
             yield pa.record_batch([pa.array(list(c), pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 7, names=_NAMES)
 
@@ -190,8 +200,8 @@ _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 def pack(docs: DataFrame, encoder, end_id: int = 0, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset. encoder() gives, in a worker, a function from text to the
-    bytes of its ids as 16-bit integers."""
+    sequence_id, offset. encoder() gives, in a worker, a pieces.Cutter with 16-bit
+    ids."""
     ship(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     cut = written(base.mapInArrow(_cut(encoder, end_id, window), _CUT), "cut")
@@ -200,5 +210,13 @@ def pack(docs: DataFrame, encoder, end_id: int = 0, window: int = WINDOW, id_col
     for n, many in counts.groupBy("length").agg(F.sum("n")).collect():  # a row for each length, at most `window`
         histogram[n] = many
     before = counts.selectExpr("pid", "length", "coalesce(sum(n) over (partition by length order by pid rows between unbounded preceding and 1 preceding), 0) as before")
-    ranked = cut.join(before, ["pid", "length"])
-    return ranked.mapInArrow(_place(plan(histogram, window), window), PLACED)
+    # Ids stay where they are: ranks move without them, and only what the plan leaves for
+    # the greedy stream meets its ids again.
+    ranked = cut.drop("ids").join(before, ["pid", "length"])
+    settled = plan(histogram, window)
+    placed = written(ranked.mapInArrow(_place(settled, window), f"{PLACED}, at long, pid int, rank long"), "placed")
+    few = settled["streamed"] <= BROADCAST_PIECES  # a plan that combines well leaves few
+    left = placed.where("at is not null").select("pid", "rank", "length", "doc_id", "start", "doc_tokens", "at")
+    ids = cut.where("ids is not null").select("pid", "rank", "length", "ids")
+    stream = (F.broadcast(left) if few else left).join(ids, ["pid", "rank", "length"]).select("doc_id", "start", "length", "doc_tokens", "at", "ids")
+    return placed.where("at is null").select(*_NAMES).unionByName(stream.mapInArrow(_streamed(settled, window), PLACED))

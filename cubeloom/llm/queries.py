@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.llm import ann, byte_bpe, fingerprint, hostextract, idstore, neardup, packing, pseudonym, suffix_lm, toxicity
-from cubeloom.llm.pieces import byte_level_encoder, tokenizer_encoder
+from cubeloom.llm.pieces import byte_level_encoder, word_encoder
 from cubeloom.llm.runtime import documents, scratch
 
 
@@ -21,7 +21,7 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
-    return packing.pack(documents(spark, sf_dir), lambda: byte_level_encoder(path, public_tokenizers.PATTERN, "<u2").encode)
+    return packing.pack(documents(spark, sf_dir), lambda: byte_level_encoder(path))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")
-    return idstore.store(documents(spark, sf_dir), scratch(spark, "idstore"), lambda: tokenizer_encoder(path, False, "<u2").encode, 2)
+    return idstore.store(documents(spark, sf_dir), scratch(spark, "idstore"), lambda: word_encoder(path), 2)
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
