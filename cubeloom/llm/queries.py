@@ -50,9 +50,15 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(documents(spark, sf_dir))
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The secret of spark.cubeloom.pseudonym.key; a public one, for demonstration and
+    tests only, where it is not set."""
+    return spark.conf.get("spark.cubeloom.pseudonym.key", "cubeloom-demonstration-key")
+
+
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return pseudonym.pseudonymise(docs, count="n_changed")
+    return pseudonym.pseudonymise(docs, pseudonym_key(spark), count="n_changed")
 
 
 def op9_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
