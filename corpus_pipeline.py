@@ -8,13 +8,12 @@ from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.llm import neardup, packing, pseudonym, toxicity
 from cubeloom.llm.pieces import byte_level_encoder
-from cubeloom.llm.queries import tokenizer_path
+from cubeloom.llm.queries import pseudonym_key, tokenizer_path
 from cubeloom.llm.runtime import documents, shared_dir
 
 
@@ -32,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms for personal data; n_chars follows the new text."""
-    out = pseudonym.pseudonymise(docs)
+    out = pseudonym.pseudonymise(docs, pseudonym_key(spark))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*docs.columns)
@@ -40,7 +39,7 @@ def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
-    return packing.pack(docs, lambda: byte_level_encoder(path, public_tokenizers.PATTERN, "<u2").encode)
+    return packing.pack(docs, lambda: byte_level_encoder(path))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("private_data", hide_private), ("packing", pack)]
