@@ -1,7 +1,8 @@
 """Document fingerprints by a homomorphic multiset hash, in DataFrame expressions only.
 
 A text is the multiset of its passages (sentences of paragraphs). Every passage is
-hashed to a wide vector: 256 lanes of one bit and four lanes of 32 bits. A
+hashed to a wide vector: 256 lanes of one bit and four lanes of 32 bits, from six hashes
+of the passage itself under different seeds. A
 fingerprint is the number of passages and the sum of their vectors, bit lanes modulo
 2^12 and wide lanes modulo 2^32. So it does not depend on the order of passages, and
 that of an edited text follows by adding and subtracting passages (add, subtract).
@@ -13,9 +14,10 @@ difference has as its mean square the size of the symmetric difference of the tw
 multisets, so 1 - |A - B| / (|A| + |B|) is estimated over 256 lanes. Equal multisets
 give 1.
 
-The text after a document, in ascending doc_id order, is found in ranges of RANGE
-ids, each sorted in one task; the first of the next range that has documents joins
-its predecessors there.
+The text after a document, in ascending doc_id order, is found in ranges of about RANGE
+rows, each sorted in one task: ids are cut at COARSE - 1 quantiles and evenly between
+two of them, so ranges follow the rows however ids are spread. The first of the next
+range that has documents joins its predecessors there.
 
 Defined cases: null text is empty and has no passages; two empty texts have likeness
 1. Rows with a null doc_id have no next document: their edited text lacks the part
@@ -32,7 +34,7 @@ from cubeloom.llm.runtime import written
 
 WORDS, PLANES, WIDE = 4, 12, 4
 GROUP, SHORT = 63, 6
-RANGE, BROADCAST_RANGES = 1024, 1 << 20
+RANGE, COARSE, BROADCAST_RANGES = 256, 128, 1 << 20
 PASSAGE = r"(?<=[.!?])\\s+|\\n+"
 _MASK = "4294967295L"
 
@@ -56,12 +58,12 @@ def fingerprint(text: str) -> Column:
     most steps need short carry chains only."""
     zero, step = ["0L as n"], ["acc.n + 1L as n"]
     for k in range(WIDE // 2):
-        h = f"xxhash64(u, {1000 + k})"
+        h = f"u[{WORDS + k}]"
         for name, part in ((f"w{2 * k}", h), (f"w{2 * k + 1}", f"shiftrightunsigned({h}, 32)")):
             zero.append(f"0L as {name}")
             step.append(f"(acc.{name} + ({part} & {_MASK})) & {_MASK} as {name}")
     for k in range(WORDS):
-        carry = f"xxhash64(u, {k})"
+        carry = f"u[{k}]"
         for q in range(SHORT):
             name = f"p{k}_{q}"
             zero.append(f"0L as {name}")
@@ -77,7 +79,8 @@ def fingerprint(text: str) -> Column:
     none = f"struct(0L as n, array_repeat(0L, {WIDE}) as wide, array_repeat(0L, {WORDS * PLANES}) as planes)"
     first = f"struct(x.n as n, x.wide as wide, flatten(transform(sequence(0, {WORDS - 1}), k -> concat(slice(x.planes, k * {SHORT} + 1, {SHORT}), array_repeat(0L, {PLANES - SHORT})))) as planes)"
     both = f"struct(acc.n + x.n as n, zip_with(acc.wide, x.wide, (v, w) -> (v + w) & {_MASK}) as wide, {total} as planes)"
-    return F.expr(f"transform(array(transform({passages(text)}, u -> xxhash64(u))), h -> aggregate({groups}, {none}, (acc, x) -> if(acc.n = 0, {first}, {both})))[0]")
+    hashes = ", ".join(f"xxhash64({k}, u)" for k in range(WORDS + WIDE // 2))
+    return F.expr(f"transform(array(transform({passages(text)}, u -> array({hashes}))), h -> aggregate({groups}, {none}, (acc, x) -> if(acc.n = 0, {first}, {both})))[0]")
 
 
 def as_text(fp: str) -> Column:
@@ -116,6 +119,24 @@ def subtract(a: str, b: str) -> Column:
     return _planewise(a, b, True)
 
 
+def _ranges(docs: DataFrame) -> tuple[Column, list]:
+    """(the range of a doc_id, ascending with it; what comes first after each of the
+    coarse parts): tables of at most COARSE rows come to the driver."""
+    marks = docs.agg(F.percentile_approx("doc_id", [k / COARSE for k in range(1, COARSE)], 10_000)).first()[0]
+    marks = sorted(set(marks or []))
+    part = F.expr(f"size(filter(array({', '.join(f'{m}L' for m in marks)}), x -> x <= doc_id))") if marks else F.lit(0)
+    rows = docs.groupBy(part.alias("part")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"), F.min(F.struct("doc_id", "tie")).alias("first")).collect()
+    low, width, after = [0.0] * (len(marks) + 1), [1.0] * (len(marks) + 1), [None] * (len(marks) + 1)
+    for r in rows:
+        low[r.part], width[r.part] = float(r.low), max(1.0, (r.high - r.low + 1) / max(1, r.n // RANGE))
+    order = sorted(rows, key=lambda r: r.part)
+    for k, r in enumerate(order):
+        after[r.part] = tuple(order[(k + 1) % len(order)].first)
+    arrays = [F.array(*[F.lit(float(x)) for x in xs]) for xs in (low, width)]
+    inside = F.floor((F.col("doc_id").cast("double") - F.get(arrays[0], part)) / F.get(arrays[1], part)).cast("long")
+    return (part.cast("long") * (1 << 44) + inside), after
+
+
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs (doc_id not null, tie, columns) with struct `next` of those columns of
     the next row by (doc_id, tie); after the last row comes the first.
@@ -123,16 +144,18 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     The first row of every range goes to the range before it as well, so texts are
     shuffled once. Which rows those are is a table of one row a range: broadcast up to
     BROADCAST_RANGES rows, joined by a shuffle beyond."""
-    first = docs.select(F.floor(F.col("doc_id") / RANGE).alias("range"), "doc_id", "tie").groupBy("range").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
-    order = "over (order by range rows between unbounded preceding and unbounded following)"
-    after = first.selectExpr("range", f"coalesce(lead(first) over (order by range), first_value(first) {order}) as f")
-    heads = written(after.select(F.col("range").alias("before"), F.col("f.doc_id").alias("doc_id"), F.col("f.tie").alias("tie")), "heads")
+    ids = docs.select("doc_id", "tie")
+    at, after = _ranges(ids)
+    first = ids.groupBy(at.alias("range")).agg(F.min(F.struct("doc_id", "tie")).alias("first")).withColumn("part", F.shiftright("range", 44))
+    last = F.get(F.array(*[F.struct(F.lit(a[0]).cast("long").alias("doc_id"), F.lit(a[1]).cast("long").alias("tie")) for a in (x or (None, None) for x in after)]), F.col("part").cast("int"))
+    nexts = first.select("range", F.coalesce(F.expr("lead(first) over (partition by part order by range)"), last).alias("f"))
+    heads = written(nexts.select(F.col("range").alias("before"), F.col("f.doc_id").alias("doc_id"), F.col("f.tie").alias("tie")), "heads")
     heads = F.broadcast(heads) if heads.count() <= BROADCAST_RANGES else heads
-    sent = docs.join(heads, ["doc_id", "tie"], "left").withColumn("range", F.floor(F.col("doc_id") / RANGE))
+    sent = docs.withColumn("range", at).join(heads, ["doc_id", "tie"], "left")
     sent = sent.select(*docs.columns, F.explode(F.expr("if(before is null, array(struct(range, 0 as guest)), array(struct(range, 0 as guest), struct(before as range, 1 as guest)))")).alias("at"))
     sent = sent.select(*docs.columns, "at.range", "at.guest")
-    nexts = sent.withColumn("next", F.expr(f"lead(struct({', '.join(columns)})) over (partition by range order by guest, doc_id, tie)"))
-    return nexts.where("guest = 0").select(*docs.columns, "next")
+    found = sent.withColumn("next", F.expr(f"lead(struct({', '.join(columns)})) over (partition by range order by guest, doc_id, tie)"))
+    return found.where("guest = 0").select(*docs.columns, "next")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
