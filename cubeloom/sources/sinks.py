@@ -77,25 +77,14 @@ def pixel_spectra(cube: Cube, mz: str | None = None) -> DataFrame:
 
 def write_imzml(cube: Cube, path: str, x: str = "x", y: str = "y", z: str = "layer", one_indexed: bool = True, mz: str | None = None) -> None:
     """An imzML / ibd pair, written by the driver as pixels stream by in x, y, z order:
-    the format is one binary file, so its writer is one process; pixels arrive one
-    partition at a time."""
+    the format is one binary file, so its writer is one process. Pixels arrive one
+    partition at a time, both files grow together and nothing else is kept."""
     if len({x, y, z}) < 3 or not {x, y, z} <= set(cube.dims[:-1]):
         raise ValueError(f"x, y and z must be three different pixel dimensions of {cube.dims}")
+    many = cube.df.select(*cube.dims[:-1]).distinct().count()
     rows = pixel_spectra(cube, mz).orderBy(x, y, z).toLocalIterator(prefetchPartitions=True)
     name, add = uuid.uuid4(), int(one_indexed)
     base = Path(path)
-    spectra = []
-    with base.with_suffix(".ibd").open("wb") as ibd:
-        ibd.write(name.bytes)
-        shared = None
-        for r in rows:
-            m, s = r["mz_values"], r["intensities"]
-            if mz or shared is None or shared[2] != m:
-                shared = (ibd.tell(), len(m), m)
-                ibd.write(struct.pack(f"<{len(m)}f", *m))
-            at = ibd.tell()
-            ibd.write(struct.pack(f"<{len(s)}f", *s))
-            spectra.append((r[x] + add, r[y] + add, r[z] + add, shared[0], shared[1], at, len(s)))
     kind = ("IMS:1000031", "processed") if mz else ("IMS:1000030", "continuous")
 
     def array(of: str, at: int, n: int) -> str:
@@ -104,12 +93,20 @@ def write_imzml(cube: Cube, path: str, x: str = "x", y: str = "y", z: str = "lay
     def group(of: str, accession: str, called: str) -> str:
         return f'<referenceableParamGroup id="{of}"><cvParam cvRef="MS" accession="{accession}" name="{called}"/><cvParam cvRef="MS" accession="MS:1000521" name="32-bit float"/><cvParam cvRef="MS" accession="MS:1000576" name="no compression"/><cvParam cvRef="IMS" accession="IMS:1000101" name="external data" value="true"/></referenceableParamGroup>'
 
-    with base.with_suffix(".imzML").open("w", encoding="utf-8") as out:
+    with base.with_suffix(".ibd").open("wb") as ibd, base.with_suffix(".imzML").open("w", encoding="utf-8") as out:
         out.write(f'<?xml version="1.0" encoding="UTF-8"?>\n<mzML xmlns="http://psi.hupo.org/ms/mzml" version="1.1"><fileDescription><fileContent><cvParam cvRef="IMS" accession="IMS:1000080" name="universally unique identifier" value="{{{name}}}"/><cvParam cvRef="IMS" accession="{kind[0]}" name="{kind[1]}"/><cvParam cvRef="MS" accession="MS:1000128" name="profile spectrum"/></fileContent></fileDescription>')
-        out.write(f'<referenceableParamGroupList count="2">{group("mzArray", "MS:1000514", "m/z array")}{group("intensityArray", "MS:1000515", "intensity array")}</referenceableParamGroupList><run id="run"><spectrumList count="{len(spectra)}">\n')
-        for k, (px, py, pz, m_at, m_n, s_at, s_n) in enumerate(spectra):
-            position = "".join(f'<cvParam cvRef="IMS" accession="IMS:100005{c}" name="position {n}" value="{v}"/>' for c, n, v in ((0, "x", px), (1, "y", py), (2, "z", pz)))
-            out.write(f'<spectrum id="spectrum={k + 1}" index="{k}" defaultArrayLength="0"><scanList count="1"><scan>{position}</scan></scanList><binaryDataArrayList count="2">{array("mzArray", m_at, m_n)}{array("intensityArray", s_at, s_n)}</binaryDataArrayList></spectrum>\n')
+        out.write(f'<referenceableParamGroupList count="2">{group("mzArray", "MS:1000514", "m/z array")}{group("intensityArray", "MS:1000515", "intensity array")}</referenceableParamGroupList><run id="run"><spectrumList count="{many}">\n')
+        ibd.write(name.bytes)
+        shared = None
+        for k, r in enumerate(rows):
+            m, s = r["mz_values"], r["intensities"]
+            if mz or shared is None or shared[1] != m:
+                shared = (ibd.tell(), m)
+                ibd.write(struct.pack(f"<{len(m)}f", *m))
+            at = ibd.tell()
+            ibd.write(struct.pack(f"<{len(s)}f", *s))
+            position = "".join(f'<cvParam cvRef="IMS" accession="IMS:100005{c}" name="position {n}" value="{r[v] + add}"/>' for c, n, v in ((0, "x", x), (1, "y", y), (2, "z", z)))
+            out.write(f'<spectrum id="spectrum={k + 1}" index="{k}" defaultArrayLength="0"><scanList count="1"><scan>{position}</scan></scanList><binaryDataArrayList count="2">{array("mzArray", shared[0], len(m))}{array("intensityArray", at, len(s))}</binaryDataArrayList></spectrum>\n')
         out.write("</spectrumList></run></mzML>\n")
 
 
