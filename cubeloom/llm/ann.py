@@ -1,13 +1,16 @@
 """Approximate nearest neighbours by adaptive dimension scan over inverted lists.
 
 Coarse centres come from k-means over a bounded sample (SAMPLE rows with the smallest
-hash of their id) and every vector is dealt to the list of its nearest centre. Lists
-are cut into blocks of about BLOCK vectors, so no task holds a whole list. Queries
+hash of their id) and every vector is dealt to the list of its nearest centre. There are
+about as many lists as the square root of the number of vectors, up to one for every
+PER_CENTRE vectors of the sample. Lists are cut into blocks of at most twice the usual
+list, and of BLOCK vectors at least, so no task holds a long list. Queries
 probe the lists of their nearest centres. In a block vectors stand rotated by a fixed
 random orthogonal matrix, in column blocks of WIDTH dimensions: after each column
 block a hypothesis test on the partial distance (at d of D dimensions the full
 distance is estimated as D / d times the partial one, with relative error EPSILON /
-sqrt(d)) abandons candidates that are farther than the query's current K-th best.
+sqrt(d)) abandons candidates that are farther than the query's current K-th best in the
+block, which is measured anew after every column block on the candidates that look nearest.
 Survivors are measured on their original vectors in double precision.
 
 How many lists to probe is fitted as well: the smallest number for which brute force
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cubeloom.llm.runtime import ship, written
 
-SAMPLE, LISTS, BLOCK, WIDTH, EPSILON, TARGET, TRIALS = 20_000, 256, 2_048, 16, 4.0, 0.97, 200
+SAMPLE, PER_CENTRE, BLOCK, WIDTH, EPSILON, TARGET, TRIALS = 20_000, 8, 512, 16, 4.0, 0.97, 200
 
 
 def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -40,11 +43,11 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Index:
     """centres (lists x D), rotation (D x D), probes."""
 
-    def __init__(self, sample: np.ndarray, k: int, lists: int = LISTS, target: float = TARGET, seed: int = 7):
+    def __init__(self, sample: np.ndarray, k: int, lists: int, target: float = TARGET, seed: int = 7):
         rng = np.random.default_rng(seed)
         n, d = sample.shape
         self.rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
-        lists = max(1, min(lists, int(n**0.5)))
+        lists = max(1, min(lists, n // PER_CENTRE))
         self.centres = sample[rng.choice(n, lists, replace=False)]
         for _ in range(10):
             at = self.assign(sample)
@@ -60,7 +63,7 @@ class Index:
         self.probes = int(depth[min(len(depth) - 1, int(np.ceil(target * len(depth))))]) + 1 if len(depth) else lists
 
     def assign(self, x: np.ndarray) -> np.ndarray:
-        return distances(x, self.centres).argmin(1)
+        return np.concatenate([distances(x[k : k + 2048], self.centres).argmin(1) for k in range(0, max(1, len(x)), 2048)])
 
     def probe(self, q: np.ndarray) -> np.ndarray:
         return np.argsort(distances(q, self.centres), axis=1, kind="stable")[:, : self.probes]
@@ -71,20 +74,20 @@ def scan(query: np.ndarray, rotated_query: np.ndarray, ids: np.ndarray, x: np.nd
     alive = np.flatnonzero(ids != own)
     if not len(alive):
         return []
-    first = columns[0][alive] - rotated_query[:width]
-    partial = np.einsum("ij,ij->i", first, first)
-    # the K-th best so far: measured on the candidates that look nearest
-    head = alive[np.argpartition(partial, k - 1)[:k]] if len(alive) > k else alive
-    best = np.sort(((x[head] - query) ** 2).sum(1))[-1] if len(alive) > k else np.inf
-    d, total = min(width, x.shape[1]), x.shape[1]
-    for c in columns[1:]:
-        keep = partial * (total / d) <= best * (1 + epsilon / np.sqrt(d)) ** 2
-        alive, partial = alive[keep], partial[keep]
+    best, total, d = np.inf, x.shape[1], 0
+    partial, heads = np.zeros(len(alive)), [alive[:0]]
+    for c in columns:
         step = c[alive] - rotated_query[d : d + c.shape[1]]
         partial = partial + np.einsum("ij,ij->i", step, step)
         d += c.shape[1]
-    alive = alive[partial <= best * (1 + 1e-9) + 1e-300]
-    alive = np.union1d(alive, head)
+        if len(alive) > k:
+            head = alive[np.argpartition(partial, k - 1)[:k]]
+            heads.append(head)
+            best = min(best, ((x[head] - query) ** 2).sum(1).max())
+        slack = (1 + epsilon / np.sqrt(d)) ** 2 if d < total else 1 + 1e-9
+        keep = partial * (total / d) <= best * slack + 1e-300
+        alive, partial = alive[keep], partial[keep]
+    alive = np.union1d(alive, np.concatenate(heads))
     exact = np.sqrt(((x[alive] - query) ** 2).sum(1))
     order = np.lexsort((ids[alive], exact))[:k]
     return [(float(exact[o]), int(ids[alive[o]])) for o in order]
@@ -96,19 +99,23 @@ def _valid(width: int | None, vector: str) -> Column:
     return ok & (F.size(v) == width) if width else ok
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, lists: int = LISTS, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, lists: int | None = None, block: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of every row for which `queries`,
     a condition on vec_id, holds. All rows are indexed."""
     spark = vectors.sparkSession
     ship(spark)
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & _valid(None, "v"))
     schema = "query_id long, rank int, vec_id long, score double"
-    rows = base.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).select("v").toArrow().column("v").to_pylist()  # the bound of the sample
+    n = base.count()
+    share = max(1, min(1 << 20, int(1.5 * sample / max(n, 1) * (1 << 20))))  # few more than the sample are sorted
+    drawn = base.where(F.shiftrightunsigned(F.xxhash64("vec_id", "v"), 44) < share)
+    rows = drawn.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).select("v").toArrow().column("v").to_pylist()  # the bound of the sample
     if not rows:
         return spark.createDataFrame([], schema)
     sizes = [len(r) for r in rows]
     width = max(set(sizes), key=sizes.count)
-    index = Index(np.array([r for r in rows if len(r) == width]), k, lists)
+    index = Index(np.array([r for r in rows if len(r) == width]), k, lists or int(n**0.5))
+    block = block or max(BLOCK, 2 * n // len(index.centres))
 
     def deal(batches):
         for batch in batches:
@@ -123,7 +130,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
 
     good = base.where(F.size("v") == width)
     dealt = written(good.mapInArrow(deal, "vec_id long, v array<double>, list int"), "lists")
-    blocks = dealt.groupBy("list").agg(F.ceil(F.count("*") / block).alias("blocks"))  # a row for each list, at most `lists`
+    blocks = dealt.groupBy("list").agg(F.ceil(F.count("*") / block).alias("blocks"))  # a row for each list
     placed = dealt.join(F.broadcast(blocks), "list").select("list", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), F.lit(0).alias("side"), "vec_id", "v")
     asked = good.where(queries).mapInArrow(ask, "query_id long, q array<double>, lists array<int>").select("query_id", "q", F.explode("lists").alias("list"))
     asked = asked.join(F.broadcast(blocks), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), F.lit(1).alias("side"), F.col("query_id").alias("vec_id"), F.col("q").alias("v"))
