@@ -117,9 +117,12 @@ def components(edges: DataFrame) -> DataFrame:
         if state[0] == 0 or tuple(state) == seen:
             return stars
         seen = tuple(state)
+        # Minima are written before they are joined, so that a join has no aggregate
+        # beneath it and the rows of a star with many arms can be split between tasks.
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        root = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = written(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
+        root = written(large.groupBy("a").agg(F.min("b").alias("m")), "root")
         small = large.join(root, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = written(small.unionByName(root.select("a", F.col("m").alias("b"))).where("a <> b").distinct().mapInArrow(_contract, pair).distinct(), "stars")
+        made = small.unionByName(root.select("a", F.col("m").alias("b"))).where("a <> b").mapInArrow(_contract, pair)
+        stars = written(made.distinct(), "stars")
