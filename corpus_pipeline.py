@@ -6,15 +6,13 @@ documents, the last one the packed pieces.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.llm import neardup, packing, pseudonym, toxicity
 from cubeloom.llm.pieces import byte_level_encoder
 from cubeloom.llm.queries import pseudonym_key, tokenizer_path
-from cubeloom.llm.runtime import documents, shared_dir
+from cubeloom.llm.runtime import documents, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +46,7 @@ ORACLE_SQL = None  # tests hold the stages against brute force
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")  # goes when the driver ends
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

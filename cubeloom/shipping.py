@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,7 +20,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
-    target = Path(tempfile.mkdtemp(prefix="cubeloom-")) / "cubeloom.zip"
+    folder = tempfile.mkdtemp(prefix="cubeloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "cubeloom.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted((_ROOT / "cubeloom").rglob("*.py")):
             z.write(p, p.relative_to(_ROOT).as_posix())
