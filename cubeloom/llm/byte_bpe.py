@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubeloom.llm.pieces import Cutter, byte_level, decoded
-from cubeloom.llm.runtime import ship
+from cubeloom.llm.runtime import relieved, ship
 
 TRANSITIONS = 400_000
 
@@ -259,13 +259,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         bpe = codec(path)
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             ids = list(bpe.encode_all([t or "" for t in batch.column(1).to_pylist()]))
             back = ["".join(bpe.decode(x)) if decode else None for x in ids]
             yield pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return base.mapInArrow(relieved(run), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,7 +275,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         bpe = codec(path)
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             n, one, two = [], [], []
             for ids in bpe.encode_all([t or "" for t in batch.column(1).to_pylist()]):
                 n.append(len(ids) // 4)
@@ -287,4 +287,4 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return base.mapInArrow(relieved(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubeloom.llm.runtime import ship
+from cubeloom.llm.runtime import relieved, ship
 from cubeloom.llm.texthash import mix
 
 SPAN, MIN, MAX, MASK, DIGEST = 16, 64, 2048, 0xFF, 16
@@ -100,7 +100,7 @@ def _chunked(encoder, end_id: int):
     def run(batches):
         encode = encoder().encode
         pid, seen, row = TaskContext.get().partitionId(), set(), 0
-        parts = ((b.column(0).slice(k, len(at) - 1), ids, at) for b in batches for k, ids, at in encode([t or "" for t in b.column(1).to_pylist()]))
+        parts = ((b.column(0).slice(k, len(at) - 1), ids, at) for whole in batches for b in (whole.slice(x, 1000) for x in range(0, whole.num_rows, 1000)) for k, ids, at in encode([t or "" for t in b.column(1).to_pylist()]))
         for docs, own, ends_at in ((d.slice(k, 500), i, at[k : k + 501]) for d, i, at in parts for k in range(0, len(d), 500)):
             at = ends_at - ends_at[0] + np.arange(len(ends_at))
             ids = np.insert(own[ends_at[0] : ends_at[-1]], ends_at[1:] - ends_at[0], end_id)
@@ -162,7 +162,7 @@ def write(docs: DataFrame, path: str, encoder, end_id: int, id_col: str = "doc_i
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    staged = base.mapInArrow(_chunked(encoder, end_id), _STAGE)
+    staged = base.mapInArrow(relieved(_chunked(encoder, end_id)), _STAGE)
     dealt = staged.repartition("kind", "digest")  # so that rows are sorted once, after they moved
     once = dealt.selectExpr("*", "row_number() over (partition by kind, digest order by n) as copy").where("copy = 1").drop("copy")
     once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/chunks")
@@ -261,7 +261,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     The crc32 of a document is put together from those of its chunks, so payloads
     do not move."""
     ship(spark)
-    chunks = spark.read.schema(_STAGE).parquet(f"{path}/chunks").where("kind = 'chunk'").select("digest", "payload").mapInArrow(_checked, "digest binary, crc long, n long")
+    chunks = spark.read.schema(_STAGE).parquet(f"{path}/chunks").where("kind = 'chunk'").select("digest", "payload").mapInArrow(relieved(_checked), "digest binary, crc long, n long")
     recipes = _recipes(spark, path)
     said = spark.read.schema(_SEAL + ", base long").parquet(f"{path}/manifest")
     if bytes(spark.read.schema("root binary").parquet(f"{path}/store").first()[0]) != _store_root(spark, path):
@@ -272,7 +272,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     digests = F.transform(F.sequence(F.lit(0), (F.length("recipe") / DIGEST).cast("int") - 1), lambda k: F.substring("recipe", k * DIGEST + 1, DIGEST))
     parts = recipes.select("pid", "local_start", F.posexplode(digests).alias("pos", "digest")).join(chunks, "digest", "left")
     whole = parts.groupBy("pid", "local_start").agg(F.collect_list(F.struct("pos", "digest", "crc", "n")).alias("parts"))
-    made = whole.mapInArrow(_joined, "pid int, local_start long, ids_crc32 long, read_tokens long, read_root binary")
+    made = whole.mapInArrow(relieved(_joined), "pid int, local_start long, ids_crc32 long, read_tokens long, read_root binary")
     full = recipes.select("doc_id", "pid", "local_start", "n_tokens", "root").join(made, ["pid", "local_start"], "left").join(base, "pid", "left")
     right = (F.col("root") == F.col("read_root")) & (F.col("n_tokens") == F.col("read_tokens"))
     return full.select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", F.when(right, F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a document does not match its recipe"))).alias("ids_crc32"))

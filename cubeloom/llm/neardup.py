@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubeloom.llm import texthash
-from cubeloom.llm.runtime import Forest, components, ship, written
+from cubeloom.llm.runtime import Forest, components, relieved, ship, written
 
 T, ROWS, WORDS, PERCENT = 240, 5, 5, 75
 BLOCK_SHINGLES = 3_000_000
@@ -168,10 +168,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, n_shingles, component_id, kept."""
     ship(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    made = written(base.mapInArrow(_sketched(t, rows, n_words), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketches")
+    made = written(base.mapInArrow(relieved(_sketched(t, rows, n_words)), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketches")
     live = made.where("n_shingles > 0 and doc_id is not null")
     key = ["h1", "h2", "n_shingles"]
-    reps = live.groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    # Written before it is joined: the join can then split a class of very many copies.
+    reps = written(live.groupBy(*key).agg(F.min("doc_id").alias("rep")), "reps")
     classes = written(live.select("doc_id", *key).join(reps, key).select("doc_id", "n_shingles", "rep"), "classes")
     repeated = classes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     heads = classes.where("doc_id = rep").select("doc_id").distinct()
@@ -185,7 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weights = classes.where("doc_id = rep").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
     blocks = inside.join(weights, "doc_id").groupBy("grp").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("nb"))
     placed = inside.join(blocks, "grp").select("doc_id", "grp", "nb", F.pmod(F.xxhash64("doc_id"), F.col("nb").cast("long")).cast("int").alias("block"))
-    verify = _verify(n_words, percent)
+    verify = relieved(_verify(n_words, percent))
 
     def decided(cells: DataFrame) -> DataFrame:
         full = cells.hint("merge").join(base, "doc_id").select("grp", "i", "j", "doc_id", "block", "text")  # members grow with the table

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.runtime import ship, written
+from cubeloom.llm.runtime import relieved, ship, written
 
 WINDOW, BROADCAST_PIECES = 1024, 100_000
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -119,7 +119,7 @@ def _cut(encoder, end_id: int, window: int):
         encode = encoder().encode
         pid = TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64)
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             out: list[list] = [[] for _ in range(8)]
             docs = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -132,7 +132,7 @@ def _cut(encoder, end_id: int, window: int):
                     for col, v in zip(out, (doc, start, n, zlib.crc32(raw), len(ids), pid, int(seen[n]), part.astype("<u2").tobytes() if n < window else None)):
                         col.append(v)
                     seen[n] += 1
-                if len(out[0]) > 20_000:
+                if len(out[0]) > 5_000:
                     yield _batch(out)
                     out = [[] for _ in range(8)]
             yield _batch(out)
@@ -204,7 +204,7 @@ def pack(docs: DataFrame, encoder, end_id: int = 0, window: int = WINDOW, id_col
     ids."""
     ship(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut = written(base.mapInArrow(_cut(encoder, end_id, window), _CUT), "cut")
+    cut = written(base.mapInArrow(relieved(_cut(encoder, end_id, window)), _CUT), "cut")
     counts = cut.groupBy("pid", "length").agg(F.count("*").alias("n"))
     histogram = np.zeros(window + 1, np.int64)
     for n, many in counts.groupBy("length").agg(F.sum("n")).collect():  # a row for each length, at most `window`

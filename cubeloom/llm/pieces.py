@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHARS, GROUP, KNOWN, LONGEST, LAST = 1 << 23, 512, 1 << 19, 64, "\u3000"
+CHARS, GROUP, KNOWN, LONGEST, LAST = 1 << 21, 512, 1 << 18, 64, "\u3000"
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 _ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
 

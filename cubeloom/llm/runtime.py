@@ -4,6 +4,8 @@ connected components."""
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import tempfile
 import uuid
 
@@ -15,10 +17,13 @@ from pyspark.sql import functions as F
 from cubeloom.shipping import ship
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder of spark.checkpoint.dir; one of our own where it is unset and all
+    executors are threads of this machine. A cluster has to name one."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='cubeloom-shared-')}"
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -46,7 +51,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table of written() that nothing reads any more."""
+    _remove(df.sparkSession, df._written_at)
+
+
+def relieved(run):
+    """A function over batches that gives freed memory back when it has ended: workers
+    live on, and what their allocators keep adds up beside the executor's heap."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return wrapped
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +95,7 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], raw[at[0] : at[-1]]
 
 
-__all__ = ["Forest", "components", "documents", "scratch", "shared_dir", "ship", "string_buffers", "written"]
+__all__ = ["Forest", "components", "discard", "documents", "relieved", "scratch", "shared_dir", "ship", "string_buffers", "written"]
 
 
 class Forest:
@@ -110,7 +137,7 @@ def components(edges: DataFrame) -> DataFrame:
     reaches, for every a other than b. Large-star and small-star rounds, each
     contracted inside partitions first and written, until nothing changes."""
     pair = "a long, b long"
-    stars = written(edges.select("a", "b").where("a <> b").mapInArrow(_contract, pair), "stars")
+    stars = written(edges.select("a", "b").where("a <> b").mapInArrow(relieved(_contract), pair), "stars")
     seen = None
     while True:
         state = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
@@ -124,5 +151,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
         root = written(large.groupBy("a").agg(F.min("b").alias("m")), "root")
         small = large.join(root, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        made = small.unionByName(root.select("a", F.col("m").alias("b"))).where("a <> b").mapInArrow(_contract, pair)
+        made = small.unionByName(root.select("a", F.col("m").alias("b"))).where("a <> b").mapInArrow(relieved(_contract), pair)
         stars = written(made.distinct(), "stars")
