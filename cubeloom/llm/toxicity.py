@@ -6,9 +6,10 @@ them by noisy-or, 1 - prod(1 - p). Weights are learned from document labels alon
 and the sentences that carry a document's score are located with their spans.
 
 Fitting uses a bounded sample of the labelled rows: the MAX_LABELLED with the
-smallest hash of doc_id. Features are the MAX_FEATURES words and word beginnings
-whose document frequencies differ most between the labels (log odds over their
-standard error). Scoring covers every whole text.
+smallest hash of doc_id, one row of each. Features are the words and word beginnings
+whose document frequencies in the sample differ most between the labels (log odds over
+their standard error, at least LEAST_Z), at most `max_features` of them. Scoring covers
+every whole text.
 
 Defined cases: null and empty texts, or texts without a word, are bags of no
 sentences: score 0. Null doc_ids never train and are never held out. Labels that are
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.runtime import ship
+from cubeloom.llm.runtime import relieved, ship, written
 
 MAX_LABELLED, MAX_FEATURES, LEAST_Z = 20_000, 4_096, 3.0
 BEGINNINGS = (4, 5)
@@ -144,7 +145,7 @@ def noisy_or(bags: list[list[int]], plain: np.ndarray, toxic: np.ndarray, n_feat
     return w, float(bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> Model:
     """A model from the labelled rows for whose ids `training`, a condition on
     doc_id, holds."""
     ship(docs.sparkSession)
@@ -154,16 +155,17 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, id_c
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # the bound of the sample
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = base.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    one = base.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    sample = written(one.select("text", "toxic"), "labelled")  # read three times below
     n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return Model({}, 0.0, 1.0 if 1 in n else 0.0)
-    counts = sample.mapInArrow(_counted, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg >= 3")
+    counts = sample.mapInArrow(relieved(_counted), "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg >= 3")
     odds = F.log((F.col("pos") + 0.5) / (n[1] + 1.0)) - F.log((F.col("neg") + 0.5) / (n[0] + 1.0))
     z = F.abs(odds / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5)))
-    top = counts.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).select("feature").collect()
+    top = counts.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(max_features).select("feature").collect()
     number = {r[0]: k for k, r in enumerate(top)}
-    bags = sample.mapInArrow(_bags(number), "toxic int, bag array<int>, plain long").toArrow()  # max_labelled rows, chosen features only
+    bags = sample.mapInArrow(relieved(_bags(number)), "toxic int, bag array<int>, plain long").toArrow()  # max_labelled rows, chosen features only
     w, bias = noisy_or(bags.column("bag").to_pylist(), bags.column("plain").to_numpy().astype(float), bags.column("toxic").to_numpy(), len(number))
     return Model({f: float(w[k]) for f, k in number.items()}, bias)
 
@@ -182,7 +184,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.record_batch([batch.column(0), pa.array(value, pa.float64()), pa.array([int(s >= 0.5) for s in value], pa.int32()), pa.array(spans, kind)], names=["doc_id", "score", "predicted", "offending"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, score double, predicted int, offending array<struct<start: int, end: int, score: double>>")
+    return base.mapInArrow(relieved(run), "doc_id long, score double, predicted int, offending array<struct<start: int, end: int, score: double>>")
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -195,4 +197,4 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str
             keep = [model.score(t or "")[0] < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(relieved(run), docs.schema)
