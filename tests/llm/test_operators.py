@@ -5,13 +5,16 @@ import hashlib
 import random
 import re
 import string
+import struct
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -22,7 +25,7 @@ from cubeloom.llm.runtime import components, scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, rank int, `range` int, h1 long, fp string, key string, _private string"
 LONG = " ".join(f"word{k % 997} and{k % 13}" for k in range(12_000))
-CASES = [(1, "One two three four five six.\nSeven eight nine."), (2, None), (3, ""), (4, "  \t\n "), (5, LONG), (6, "One two three four five six.\nSeven eight nine."), (6, "One two three four five six.\nSeven eight nine."), (None, "Nobody's text, with words in it."), (7, "Kurz."), (8, "漢字 é 😀\x1c\xa0x  y \n z")]
+CASES = [(1, "One two three four five six.\nSeven eight nine."), (2, None), (3, ""), (4, "  \t\n "), (5, LONG), (6, "One two three four five six.\nSeven eight nine."), (6, "One two three four five six.\nSeven eight nine."), (None, "Nobody's text, with words in it."), (7, "Kurz."), (8, "漢字 é 😀\x1c\xa0x  y \n z"), (9, "a <|endoftext|> b<|startoftext|>")]
 
 
 def table(spark, rows):
@@ -40,40 +43,82 @@ def empty(spark):
 
 
 def byte_encoder():
-    return pieces.byte_level_encoder(P.path("byte_bpe_50k.json"), P.PATTERN, "<u2").encode
+    return pieces.byte_level_encoder(P.path("byte_bpe_50k.json"))
 
 
 def word_encoder():
-    return pieces.tokenizer_encoder(P.path("word_bpe_49k.json"), False, "<u2").encode
+    return pieces.word_encoder(P.path("word_bpe_49k.json"))
 
 
-def library(name, texts, end):
+@lru_cache
+def library_file(name, keep_special):
     tok = Tokenizer.from_file(P.path(name))
-    tok.encode_special_tokens = True
+    tok.encode_special_tokens = keep_special
+    return tok
+
+
+def library(name, texts, end, keep_special=False):
+    tok = library_file(name, keep_special)
     return [[*e.ids, end] for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
-ODD = ["a", "b", "the ", " ", "  ", "\n", "'s", "'", "é", "É", "漢字", "😀", "1", "2024", "ing", "\t", "<|endoftext|>", "aaaa", "=====", "\xa0", "\x85", "\x1c", "Foo,", "--", "İ", "ΑΣ", "ß", ".", "ſ"]
+ODD = ["a", "b", "the ", " ", "  ", "\n", "'s", "'", "é", "É", "漢字", "😀", "1", "2024", "ing", "\t", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "'re", "'LL", "ve", "aaaa", "=====", "\xa0", "\x85", "\x1c", "Foo,", "--", "İ", "ΑΣ", "ß", ".", "ſ", "e\u0301", "\u0301", "Σ", "Ⅷ", "½", "\u2003", "\u200b", "\u3000", "\ufeff", "\u180e", "ǅ", "и\u0306", "؉", "१"]
 odd_texts = st.lists(st.sampled_from(ODD), max_size=25).map("".join)
 
 
+def test_a_cluster_has_to_name_the_shared_folder():
+    from unittest.mock import MagicMock
+
+    from cubeloom.llm.runtime import shared_dir
+
+    fake = MagicMock()
+    fake.sparkContext.getConf().get.return_value = None
+    fake.sparkContext.getCheckpointDir.return_value = None
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        fake.sparkContext.master = master
+        with pytest.raises(ValueError):
+            shared_dir(fake)
+    fake.sparkContext.getConf().get.return_value = "hdfs://x/y/"
+    assert shared_dir(fake) == "hdfs://x/y"
+
+
 # Encoders ------------------------------------------------------------------------
 
 
-@settings(max_examples=200, deadline=None)
-@given(odd_texts)
-def test_piece_encoders_equal_the_library(text):
-    assert np.frombuffer(byte_encoder()(text), "<u2").tolist() == library("byte_bpe_50k.json", [text], 0)[0][:-1]
-    assert np.frombuffer(word_encoder()(text), "<u2").tolist() == library("word_bpe_49k.json", [text], 0)[0][:-1]
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(odd_texts, st.text(max_size=20)), min_size=1, max_size=4))
+def test_encoders_equal_the_library(texts):
+    texts = [t.encode("utf-8", "replace").decode() for t in texts]
+    for name, make in (("byte_bpe_50k.json", pieces.byte_level_encoder), ("word_bpe_49k.json", pieces.word_encoder)):
+        for keep in (False, True):
+            got = [ids[a:b].tolist() for _, ids, at in make(P.path(name), keep_special=keep).encode(texts) for a, b in zip(at[:-1], at[1:])]
+            assert got == [e[:-1] for e in library(name, texts, 0, keep)]
+
+
+def test_added_tokens_are_those_of_the_library():
+    assert byte_encoder().one("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+    assert word_encoder().one("a <|endoftext|> b").tolist() == [320, 49407, 321]
 
 
-def test_cache_turnover_changes_nothing():
-    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    small = pieces.PieceEncoder(*pieces._library(P.path("word_bpe_49k.json"), False, "<u2")[:2], entries=5)
+def test_parts_change_nothing(monkeypatch):
     rng = random.Random(1)
-    for _ in range(50):
-        text = " ".join("".join(rng.choices("abcDE.", k=rng.randint(1, 4))) for _ in range(30))
-        assert np.frombuffer(small.encode(text), "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids
+    texts = [" ".join("".join(rng.choices("abcDE.'s1\n", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    want = library("word_bpe_49k.json", texts, 0)
+    for chars, group, known in ((1, 3, 5), (100, 1, 40), (100, 7, 1 << 19), (1 << 20, 512, 1 << 19)):
+        monkeypatch.setattr(pieces, "CHARS", chars)
+        monkeypatch.setattr(pieces, "GROUP", group)
+        monkeypatch.setattr(pieces, "KNOWN", known)
+        pieces.word_encoder.cache_clear()
+        rows = [[*ids[a:b].tolist(), 0] for _, ids, at in word_encoder().encode(texts) for a, b in zip(at[:-1], at[1:])]
+        assert rows == want
+
+
+def test_white_space_that_only_the_library_knows_is_met_one_by_one():
+    closes = np.zeros(1 << 16, bool)
+    closes[9] = True
+    bulk = lambda texts: [[1, 9, 9, 9] for _ in texts]  # noqa: E731  one end too many
+    ids, start, size = pieces._grouped(bulk, lambda piece: [len(piece), 9], " ", closes, True, "<u2", np.frombuffer(b"abcde", np.uint8), np.array([0, 2, 5]))
+    assert ids.tolist() == [2, 9, 3, 9] and start.tolist() == [0, 2] and size.tolist() == [2, 2]
 
 
 RANKS = byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
@@ -84,7 +129,7 @@ OWN = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special
 @given(st.one_of(odd_texts, st.text(max_size=40)))
 def test_transducer_equals_tiktoken(text):
     text = text.encode("utf-8", "replace").decode()
-    bpe = byte_bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    bpe = byte_bpe.codec(P.path("byte_bpe_50k.tiktoken"))
     ids = bpe.encode(text)
     assert np.frombuffer(ids, "<u4").tolist() == OWN.encode_ordinary(text)
     assert "".join(bpe.decode(ids, block=1)) == text
@@ -107,12 +152,32 @@ def test_utf8_stream():
         s.finish()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=12), st.integers(1, 5))
+def test_utf8_stream_accepts_what_is_utf8(raw, step):
+    raw = raw if len(raw) % 3 else raw.decode("latin-1").encode()
+
+    def run():
+        s = byte_bpe.Utf8Stream()
+        out = "".join([s.feed(raw[k : k + step]) for k in range(0, len(raw), step)])
+        s.finish()
+        return out
+
+    try:
+        want = raw.decode()
+    except UnicodeDecodeError:
+        with pytest.raises(UnicodeDecodeError):
+            run()
+    else:
+        assert run() == want
+
+
 def test_byte_bpe_cases(cases, empty):
-    rows = byte_bpe.digests(cases, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    rows = byte_bpe.digests(cases, P.path("byte_bpe_50k.tiktoken")).collect()
     want = Counter((i, len(ids := OWN.encode_ordinary(t or "")), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in CASES)
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows) == want
-    assert byte_bpe.digests(empty, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
-    full = byte_bpe.encode(cases, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).where("doc_id = 8").first()
+    assert byte_bpe.digests(empty, P.path("byte_bpe_50k.tiktoken")).count() == 0
+    full = byte_bpe.encode(cases, P.path("byte_bpe_50k.tiktoken")).where("doc_id = 8").first()
     assert full.decoded == dict(CASES)[8] and len(full.ids) == 4 * full.n_tokens
 
 
@@ -290,6 +355,56 @@ def test_toxicity_learns_and_locates(spark, moody):
     assert kept.columns == df.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in rows if not r.predicted}
 
 
+def test_noisy_or_is_the_gradient_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    bags = [[[int(f) for f in rng.choice(4, rng.integers(1, 3), replace=False)] for _ in range(rng.integers(0, 4))] for _ in range(12)]
+    plain, toxic = rng.integers(0, 3, 12).astype(float), rng.integers(0, 2, 12)
+
+    def loss(w):  # by loops: the mean negative log likelihood and the decay
+        total = 0.0
+        for sentences, none, t in zip(bags, plain, toxic):
+            clean = 1.0
+            for s in sentences:
+                clean *= 1 - 1 / (1 + np.exp(-(w[4] + sum(w[f] for f in s))))
+            clean *= (1 - 1 / (1 + np.exp(-w[4]))) ** none
+            total -= np.log(max(1 - clean, 1e-300)) if t else np.log(clean)
+        return (total + 5e-3 * (w[:4] ** 2).sum()) / len(bags)
+
+    keep = [k for k in range(12) if bags[k] or plain[k] or not toxic[k]]
+    bags, plain, toxic = [bags[k] for k in keep], plain[keep], toxic[keep]
+    w, at = np.append(np.zeros(4), -5.0), 1e-5
+    m = v = np.zeros(5)
+    for step in range(1, 21):
+        grad = np.array([(loss(w + at * e) - loss(w - at * e)) / (2 * at) for e in np.eye(5)])
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    flat = [[x for s in b for x in (*s, -1)] for b in bags]
+    got, bias = toxicity.noisy_or(flat, plain, toxic, 4, steps=20)
+    assert [*got, bias] == pytest.approx(w.tolist(), abs=1e-3)
+
+
+def test_scores_equal_a_loop_over_sentences():
+    rng = random.Random(3)
+    model = toxicity.Model({"bad": 4.0, "badl*": 2.0, "good": -3.0, "bade*": 1.0}, -4.0)
+    for _ in range(200):
+        text = "".join(rng.choice(["bad", "badly", "Bade ", "good", " ", ". ", "\n", "!", "x", "baden"]) for _ in range(rng.randint(0, 12)))
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", text):
+            words = set(re.findall(r"\w+", sentence.lower()))
+            if words:
+                told = sum(model.weights.get(f, 0) for w in words for f in [w] + [w[:k] + "*" for k in (4, 5) if len(w) >= k])
+                clean *= 1 - 1 / (1 + np.exp(-(told - 4.0)))
+        assert model.score(text)[0] == pytest.approx(1 - clean, abs=1e-9)
+
+
+def test_labels_that_are_null_or_disagree(spark):
+    docs = [(k, ("vexa " if k % 2 else "") + " ".join(f"w{j}" for j in range(k % 5 + 1)) + ".") for k in range(200)] + [(1, None)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)] + [(0, None), (None, 1), (3, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(table(spark, docs), labels, max_features=3)
+    assert len(model.weights) <= 3 and model.weights["vexa"] > 0
+    assert {r.doc_id: r.predicted for r in toxicity.score(table(spark, docs[:200]), model).collect()} == {k: k % 2 for k in range(200)}
+
+
 def test_toxicity_cases(spark, cases, empty, moody):
     docs, labels = moody
     model = toxicity.fit(table(spark, docs), labels)
@@ -332,18 +447,15 @@ def test_suffix_tree(spark, prose):
         assert r.base_score == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in words[i]))
     tested = [r for r in rows.values() if r.held_out]
     assert sum(r.score for r in tested) > sum(r.base_score for r in tested) + 10
-    assert tree.levels[0][0].size and tree.levels[1][0].size
+    assert all(tree.states[k].where("retained").count() for k in (0, 1))
 
 
-def test_states_are_distributions(spark, prose):
-    tree, _ = suffix_lm.fit(table(spark, prose), F.lit(True))
-    m = len(tree.words)
-    others = 1 - (10**tree.root).sum()  # rare words and the unknown one
-    for depth, states in ((1, range(m)), (2, range(len(tree.pairs)))):
-        for s in states:
-            passed = tree.levels[0][2][s if depth == 1 else tree.pairs[s] % m] + (tree.levels[1][2][s] if depth == 2 else 0)
-            total = (10 ** tree._log_p(depth, np.full(m, s), np.arange(m))).sum() + others * 10**passed
-            assert total == pytest.approx(1)
+def test_states_are_distributions(prose):
+    texts = [(*t.split(), "</s>") for _, t in prose]
+    _, states, log_p = tree_by_hand(texts, 3)
+    words = {w for t in texts for w in t} | {"unknown"}
+    for context in [s for s in states if len(s) < 4][:400]:
+        assert sum(10 ** log_p(context, w) for w in words) == pytest.approx(1)
 
 
 def test_suffix_tree_cases(cases, empty):
@@ -385,15 +497,16 @@ def tree_by_hand(texts, depth, least=suffix_lm.MIN_COUNT):
                 states[context] = {}, 0.0
         return states[context]
 
-    return lambda t: sum(log_p(t[max(0, i - depth) : i], w) for i, w in enumerate(t)), states
+    return lambda t: sum(log_p(t[max(0, i - depth) : i], w) for i, w in enumerate(t)), states, log_p
 
 
-def test_rare_contexts_count_whatever_the_share(spark, prose):
+def test_rare_contexts_count_whatever_is_looked_up(spark, prose):
     df = table(spark, prose).repartition(3)
-    by_hand, _ = tree_by_hand([(*t.split(), "</s>") for _, t in prose], 2)
-    tree, unigrams = suffix_lm.fit(df, F.lit(True), depth=2, share=0.02)
-    got = {r.doc_id: r.score for r in suffix_lm.score(df, tree, unigrams, F.lit(False)).collect()}
-    assert got == pytest.approx({i: by_hand((*t.split(), "</s>")) for i, t in prose})
+    by_hand, *_ = tree_by_hand([(*t.split(), "</s>") for _, t in prose], 2)
+    tree, unigrams = suffix_lm.fit(df, F.lit(True), depth=2)
+    for lookups in (3, 40, suffix_lm.LOOKUPS):
+        got = {r.doc_id: r.score for r in suffix_lm.score(df, tree, unigrams, F.lit(False), lookups=lookups).collect()}
+        assert got == pytest.approx({i: by_hand((*t.split(), "</s>")) for i, t in prose})
 
 
 def test_long_contexts_are_retained(spark):
@@ -402,14 +515,14 @@ def test_long_contexts_are_retained(spark):
         words = [w for _ in range(6) for k in [rng.choice("rstu")] for w in (k, "a", "b", "c", k.upper() + "x", *rng.choices("mnop", k=2))]
         texts.append(" ".join(words).lower())
     texts += ["one licence line that " + " ".join(f"w{k}" for k in range(30))] * 9
-    by_hand, states = tree_by_hand([(*t.split(), "</s>") for t in texts], suffix_lm.DEPTH)
+    by_hand, states, _ = tree_by_hand([(*t.split(), "</s>") for t in texts], suffix_lm.DEPTH)
     df = table(spark, list(enumerate(texts))).repartition(3)
-    for share in (suffix_lm.SHARE, 0.05):
-        tree, unigrams = suffix_lm.fit(df, F.lit(True), share=share)
-        got = {r.doc_id: r.score for r in suffix_lm.score(df, tree, unigrams, F.lit(False)).collect()}
+    tree, unigrams = suffix_lm.fit(df, F.lit(True))
+    for lookups in (suffix_lm.LOOKUPS, 20):
+        got = {r.doc_id: r.score for r in suffix_lm.score(df, tree, unigrams, F.lit(False), lookups=lookups).collect()}
         assert got == pytest.approx({k: by_hand((*t.split(), "</s>")) for k, t in enumerate(texts)})
     assert any(kept for s, (kept, _) in states.items() if len(s) == 4)
-    assert tree.levels[3][0].size
+    assert tree.states[3].where("retained").count()
 
 
 # Nearest neighbours --------------------------------------------------------------------------------
@@ -449,6 +562,13 @@ def test_nearest_recall_and_scores(spark):
     assert found / total >= 0.9
 
 
+def test_nearest_ties_and_further_columns(spark):
+    rows = [(k, [float(k % 3 + 1), 1.0], k, k, "x") for k in range(0, 30)] + [(100, [2.0, 1.0], 0, 0, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, list int, block int, v string")
+    got = [(r.rank, r.vec_id, r.score) for r in ann.search(df, F.col("vec_id") == 100, k=8).orderBy("rank").collect()]
+    assert got == [(n + 1, k, 0.0) for n, k in enumerate(range(1, 24, 3))]
+
+
 def test_nearest_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 0), (100, [1.0, 0.0], 0), (1, [0.0, 0.0], 0), (2, None, 0), (3, [nan, 1.0], 0), (4, [inf, 1.0], 0), (5, [None, 1.0], 0), (None, [1.0, 1.0], 0), (6, [1.0, 2.0, 3.0], 0), (7, [0.0, 2.0], 0)]
@@ -474,6 +594,51 @@ def test_fingerprints(spark):
     assert rows[docs[4][0]].fingerprint == rows[docs[5][0]].fingerprint and rows[docs[4][0]].near_next == 1
 
 
+def spark_hash(k, text):
+    seed = xxhash.xxh64_intdigest(struct.pack("<i", k), seed=42)
+    return xxhash.xxh64_intdigest(text.encode(), seed=seed)
+
+
+def brute_fingerprint(text):
+    units = [u for u in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n+", text) if u.strip(" ")]
+    lanes = [0] * 256
+    wide = [0] * 4
+    for u in units:
+        for k in range(4):
+            h = spark_hash(k, u)
+            for b in range(64):
+                lanes[64 * k + b] += h >> b & 1
+        for k in range(2):
+            h = spark_hash(4 + k, u)
+            wide[2 * k] = (wide[2 * k] + (h & 0xFFFFFFFF)) & 0xFFFFFFFF
+            wide[2 * k + 1] = (wide[2 * k + 1] + (h >> 32)) & 0xFFFFFFFF
+    planes = [sum((lanes[64 * k + b] >> p & 1) << b for b in range(64)) for k in range(4) for p in range(12)]
+    return len(units), lanes, f"{len(units):x}-{''.join(f'{w:08x}' for w in wide)}-{''.join(f'{x:016x}' for x in planes)}"
+
+
+def brute_likeness(a, b):
+    if a[0] + b[0] == 0:
+        return 1.0
+    signed = [((2 * (x - y) - (a[0] - b[0]) + 2048) % 4096) - 2048 for x, y in zip(a[1], b[1])]
+    return max(0.0, min(1.0, 1 - sum(d * d for d in signed) / 256 / (a[0] + b[0])))
+
+
+@pytest.mark.parametrize("spread", ["dense", "sparse", "uneven"])
+def test_fingerprints_equal_sums_by_loops(spark, spread, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE", 4)
+    monkeypatch.setattr(fingerprint, "COARSE", 5)
+    rng = random.Random(10)
+    ids = {"dense": range(60), "sparse": sorted({rng.randint(-(2**63), 2**63 - 1) for _ in range(60)}), "uneven": [-(2**63), *range(50), *(10**k for k in range(4, 12)), 2**63 - 1]}[spread]
+    docs = [(i, " ".join("".join(rng.choices("abé", k=2)) + rng.choice(["", ".", "!\n", "\n\n"]) for _ in range(rng.choice([0, 3, 30, 90])))) for i in ids]
+    rows = {r.doc_id: r for r in fingerprint.fingerprints(table(spark, docs).repartition(4)).collect()}
+    for k, (i, t) in enumerate(docs):
+        after, n = docs[(k + 1) % len(docs)][1], len(t) // 2
+        own, edited, other = (brute_fingerprint(x) for x in (t, t[: len(t) - n] + after[:n], after))
+        r = rows[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (own[2], edited[2])
+        assert (r.near_edited, r.near_next) == pytest.approx((brute_likeness(own, edited), brute_likeness(own, other)))
+
+
 def test_fingerprint_cases(cases, empty):
     rows = fingerprint.fingerprints(cases).collect()
     assert len(rows) == len(CASES)
@@ -499,6 +664,9 @@ def test_fingerprint_algebra(spark):
 # Pseudonyms ----------------------------------------------------------------------------------------------
 
 
+KEY = "a secret of the tests"
+
+
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
     return sum(d[::2] + [sum(divmod(2 * x, 10)) for x in d[1::2]]) % 10 == 0
@@ -506,7 +674,7 @@ def luhn(s):
 
 def test_pseudonyms(spark):
     rows = [(1, "Mail ann.90@mail2.example.com, card 4179672074533673 or 4179 6720 7453 3673, host 79.31.107.87!! +1 (911) 555-1477."), (2, 'token = "586908a7d09b9e9c999a9eb99999999a999bdde0" 2024-02-29 29.02.2024 30.02.2024 ann.90@mail2.example.com'), (3, "clean 4179672074533674 999.1.1.1 12345 1.2.3 half-life 3.5")]
-    got = {r.doc_id: r for r in pseudonym.pseudonymise(table(spark, rows), count="n").collect()}
+    got = {r.doc_id: r for r in pseudonym.pseudonymise(table(spark, rows), KEY, count="n").collect()}
     assert (got[1].n, got[2].n, got[3].n) == (5, 4, 0) and got[3].text == rows[2][1]
     for gone in ("ann.90@", "4179672074533673", "79.31.107.87", "555-1477", "586908a7", "2024-02-29"):
         assert gone not in got[1].text + got[2].text
@@ -517,23 +685,90 @@ def test_pseudonyms(spark):
     iso, dotted = re.search(r"\d{4}-\d\d-\d\d", got[2].text).group(), re.findall(r"\d\d\.\d\d\.\d{4}", got[2].text)
     assert dotted[0] == "{2}.{1}.{0}".format(*iso.split("-")) and dotted[1] == "30.02.2024"
     assert all(int(o) < 256 for o in re.search(r"\d+\.\d+\.\d+\.\d+", got[1].text).group().split("."))
-    other = pseudonym.pseudonymise(table(spark, rows), key="another").where("doc_id = 1").first().text
+    other = pseudonym.pseudonymise(table(spark, rows), "another").where("doc_id = 1").first().text
     assert other != got[1].text
 
 
 def test_pseudonyms_are_permutations(spark):
     days = spark.range(146_097).selectExpr("date_format(date_add(date'1800-01-01', cast(id as int)), 'yyyy-MM-dd') as m")
-    r = days.select(F.expr(pseudonym.pseudonym("m")).alias("p")).agg(F.count_distinct("p"), F.min("p"), F.max("p")).first()
+    r = days.select(F.expr(pseudonym.pseudonym("m", KEY)).alias("p")).agg(F.count_distinct("p"), F.min("p"), F.max("p")).first()
     assert tuple(r) == (146_097, "1800-01-01", "2199-12-31")
-    small = spark.range(10_000).selectExpr("lpad(cast(id as string), 4, '0') as m").select(F.expr(pseudonym.permuted("m", "phone")).alias("p"))
+    small = spark.range(10_000).selectExpr("lpad(cast(id as string), 4, '0') as m").select(F.expr(pseudonym.permuted("m", "phone", KEY)).alias("p"))
     assert small.distinct().count() == 10_000
 
 
+def noise(kind, r, other):
+    return int(hashlib.sha256(f"{KEY}{kind}:{r}:{other}".encode()).hexdigest()[:12], 16)
+
+
+def brute_permuted(value, kind, letters=26, wide=False):
+    """The Feistel network over strings, by loops."""
+    half = len(value) // 2
+    sides = [list(value[:half]), list(value[half:])]
+    classes = [(48, 57), (97, 96 + letters), (65, 64 + letters)] + (pseudonym.alphabets() if wide else [])
+    for r in range(1, pseudonym.ROUNDS + 1):
+        one, two = (0, 1) if r % 2 else (1, 0)
+        seed = hashlib.sha256(f"{KEY}{kind}:{r}:{''.join(sides[two])}".encode()).hexdigest()
+        for i, c in enumerate(sides[one]):
+            low, high = next(((a, b) for a, b in classes if a <= ord(c) <= b), (ord(c), ord(c)))
+            if wide and low == high == ord(c) and ord(c) > 127 and not any(a == ord(c) == b for a, b in classes):
+                low, high = ord(c) - ord(c) % 64, ord(c) - ord(c) % 64 + 63
+            block = hashlib.sha256(f"{seed}:{i // 12}".encode()).hexdigest()
+            sides[one][i] = chr(low + (ord(c) - low + int(block[i % 12 * 5 :][:5], 16)) % (high - low + 1))
+    return "".join(sides[0] + sides[1])
+
+
+def brute_number(n, first, second, kind):
+    a, b = divmod(n, second)
+    for r in range(1, pseudonym.ROUNDS + 1):
+        if r % 2:
+            a = (a + noise(kind, r, b)) % first
+        else:
+            b = (b + noise(kind, r, a)) % second
+    return a * second + b
+
+
+def test_pseudonyms_equal_a_network_by_loops(spark):
+    import datetime as dt
+
+    rng = random.Random(8)
+    mails = ["".join(rng.choices("abzAZ019._-éÉßжЯάшЀ名前ひカ한ƀ𐐀", k=rng.randint(1, 30))) + "x" for _ in range(60)]
+    secrets = ["".join(rng.choices("0123456789abcdef", k=rng.randint(31, 60))) + "7a" for _ in range(20)]
+    ips = [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(20)]
+    start = dt.date(1800, 1, 1)
+    days = [str(start + dt.timedelta(rng.randrange(146_097))) for _ in range(20)]
+    want = {f"{m}@ex.org": f"{brute_permuted(m, 'email', wide=True)}@ex.org" for m in mails} | {m: brute_permuted(m, "secret", 6) for m in secrets}
+    for m in ips:
+        n = brute_number(int.from_bytes(bytes(map(int, m.split(".")))), 65536, 65536, "ip")
+        want[m] = ".".join(map(str, n.to_bytes(4)))
+    for m in days:
+        want[m] = str(start + dt.timedelta(brute_number((dt.date.fromisoformat(m) - start).days, 27, 5411, "date")))
+    got = spark.createDataFrame([(m,) for m in want], "m string").select("m", F.expr(pseudonym.pseudonym("m", KEY)).alias("p")).collect()
+    assert {r.m: r.p for r in got} == want
+
+
+def test_names_in_other_scripts_do_not_stay(spark):
+    rows = [(1, "An иван.петров@example.com, ann@example.com; 李小龍@例.example.com"), (2, "ж@a.b"), (3, "иван@localhost")]
+    got = {r.doc_id: r for r in pseudonym.pseudonymise(table(spark, rows), KEY, count="n").collect()}
+    assert "иван" not in got[1].text and "ann@" not in got[1].text and got[1].n == 2
+    assert re.fullmatch(r"An [а-я]{4}\.[а-я]{6}@example\.com, [a-z]{3}@example\.com; 李小龍@例\.example\.com", got[1].text)
+    assert got[3].n == 0
+
+
+def test_long_texts_without_ends(spark):
+    import time
+
+    rows = [(k, c * 50_000) for k, c in enumerate(["a", "1", "a.", "ab@", "1 ", "f0", "(1", "+1 ", "1.", "a@b.c"])]
+    start = time.time()
+    got = {r.doc_id: r.text for r in pseudonym.pseudonymise(table(spark, rows), KEY).collect()}
+    assert time.time() - start < 60 and all(got[k] == t for k, t in rows[:3])
+
+
 def test_pseudonym_cases(cases, empty):
-    out = pseudonym.pseudonymise(cases)
+    out = pseudonym.pseudonymise(cases, KEY)
     assert out.columns == cases.columns
     assert Counter((r.doc_id, r.text) for r in out.select("doc_id", "text").collect()) == Counter(CASES)
-    assert pseudonym.pseudonymise(empty).count() == 0
+    assert pseudonym.pseudonymise(empty, KEY).count() == 0
 
 
 # Id store ------------------------------------------------------------------------------------------------------
@@ -568,6 +803,28 @@ def test_id_store_keeps_shared_chunks_once_and_finds_damage(spark):
         idstore.read(spark, bad).collect()
 
 
+def test_id_store_finds_what_is_gone(spark):
+    docs = [(k, f"a text of its own {k} " * 30) for k in range(8)]
+    for gone in ("manifest", "recipes"):
+        path = scratch(spark, "test")
+        idstore.write(table(spark, docs).repartition(2), path, word_encoder, 2)
+        idstore.read(spark, path).collect()
+        rows = spark.read.parquet(f"{path}/{gone}")
+        left = spark.createDataFrame(rows.orderBy("pid").collect()[1:], rows.schema)
+        left.write.mode("overwrite").parquet(f"{path}/{gone}")
+        with pytest.raises(Exception, match="do(es)? not match"):
+            idstore.read(spark, path).collect()
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.binary(max_size=9), max_size=40))
+def test_forest_is_the_merkle_tree(leaves):
+    tree = idstore.Forest()
+    for x in leaves:
+        tree.add(x)
+    assert tree.root() == idstore.merkle(leaves)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.binary(max_size=300), min_size=1, max_size=6))
 def test_crc_of_parts(parts):
@@ -624,6 +881,59 @@ def test_pages_that_only_seem_marked_meet_the_host(spark):
     assert {r.page_id: r.text for r in hostextract.extract(pages(spark, rows)).collect()} == dict(enumerate(own))
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body class='has-sidebar'><article><p>kept</p>", ["kept"]),
+        ("<article class='post related-posts'><p>kept</p></article>", ["kept"]),
+        ("<div class='no-comments'><article><p>kept</p></article></div>", ["kept"]),
+        ("<nav><a>No</a><div><article><p>kept</p></article></div>", ["kept"]),
+        ("<div><nav>No</div><article><p>kept</p></article>", ["kept"]),
+        ("<p title=don't>one</p><p>it's two</p>", ["one", "it's two"]),
+        ("<article></article><p>not marked</p>", ["not marked"]),
+        ("<main><div class='breadcrumbs'>No</div><article><header><h1>T</h1></header><p>a<p>b<ul><li>x<li>y</ul></article><section class='comments'><article><p>No</p></article></section></main>", ["T", "a", "b", "x", "y"]),
+        ("a < b and <3 c <b>d</b>", ["a < b and <3 c d"]),
+        ("<ul><li class=ad>No<li>yes</ul>", ["yes"]),
+        ("<article><p class=share>No<p>yes<table><tr><td>a<td>b<tr><td>c</table></article>", ["yes", "a", "b", "c"]),
+        ("<header><h1>No</h1><main><p>y</p></main></header>", ["y"]),
+        ('<a href=x title="a > b">link</a>', ["link"]),
+    ],
+)
+def test_blocks(page, want):
+    assert hostextract.blocks(page)[0] == want
+
+
+def test_long_pages(spark):
+    text = " ".join(f"w{k}" for k in range(150_000))
+    got = hostextract.extract(pages(spark, [(1, "http://a.example/", f"<article><p>{text}</p></article>"), (2, "http://a.example/", f"<p>{text} end</p>")])).collect()
+    assert {r.page_id: r.text for r in got}[1] == text
+
+
+def test_reading_takes_linear_time():
+    import time
+
+    begun = time.time()
+    for part in ("<a href=\"x ' ", "<", "<a ", "</p>", "<div>", "<!--", "<script>", "<a b='", '<p a="x" b=\'', "&amp;", "<nav>", "<a class=ad>", "<b>", "<p>x", "<li>", "< "):
+        hostextract.blocks(part * (500_000 // len(part)) + "<p>x</p>")
+    assert time.time() - begun < 30
+
+
+def test_loose_blocks_of_articles_go_if_they_repeat(spark):
+    rng = random.Random(6)
+    own = [" ".join("".join(rng.choices(string.ascii_lowercase, k=7)) for _ in range(30)) for _ in range(6)]
+    shared = "one passage that is quoted by every article of this host"
+    page = "<body><article><p>%s</p><p>%s</p><div>please read our other fine pages about very similar things</div></article>"
+    rows = [(k, "http://host.example/", page % (t, shared)) for k, t in enumerate(own)]
+    for group in (2000, 2):
+        assert {r.page_id: r.text for r in hostextract.extract(pages(spark, rows), group_pages=group).collect()} == {k: f"{t}\n\n{shared}" for k, t in enumerate(own)}
+
+
+def test_mirrors_do_not_empty_each_other(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(k, f"http://host.example/{k}", f"<p>{text}</p>") for k in range(3)]
+    assert {r.text for r in hostextract.extract(pages(spark, rows)).collect()} == {text}
+
+
 def test_covered_equals_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(30):

@@ -58,3 +58,21 @@ def test_stages(spark, corpus):
     packed = stages["packing"](spark, hidden, folder).collect()
     assert check_packed(packed, [(r.doc_id, r.text) for r in rows], 1024) == 0
     assert corpus_pipeline.run(spark, folder).agg(F.sum("length")).first()[0] == sum(r.length for r in packed)
+
+
+def test_odd_rows_and_no_rows(spark, tmp_path):
+    docs = [(None, "a text of nobody with some words"), (None, "a text of nobody with some words"), (1, None), (2, ""), (3, " \t"), (4, "one two three four five six seven"), (4, "one two three four five six seven"), (5, "one two three four five six seven")]
+    labels = [(4, 1, 0), (5, 1, None), (None, 1, 1), (99, 1, 1)]
+    for name, rows in (("odd", docs), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        table(spark, rows).write.parquet(f"{folder}/documents.parquet")  # further columns, some of whose names clash
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        kept = spark.read.parquet(f"{folder}/documents.parquet")
+        stages = dict(corpus_pipeline.STAGES)
+        for stage in list(stages)[:-1]:
+            kept = stages[stage](spark, kept, folder)
+            assert kept.columns == spark.read.parquet(f"{folder}/documents.parquet").columns
+        left = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+        want = [(i or 0, t or "") for i, t in rows if i != 5]
+        assert left == sorted(want)
+        assert corpus_pipeline.run(spark, folder).where("start = 0").count() == len(want)
