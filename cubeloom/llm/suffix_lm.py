@@ -10,11 +10,20 @@ standard deviations above what chance gives. A retained state gives a kept follo
 (c - DISCOUNT) / c(state) and passes the rest of its mass to its suffix, renormalised
 over what it does not keep, so every state is a distribution.
 
+Runs of up to TOGETHER words are counted level by level; longer ones, which mostly stand
+in repeated passages, in one more scan.
+
+Counts travel as blocks: every task sums its own, deals them into buckets by the hash of
+the run and sends each bucket's part as one compressed row; a bucket is summed in one go.
+There are as many buckets as keep each of them small, whatever the corpus, and no run or
+word fills one, for it is a single entry of every task's part.
+
 Texts are scored by sums: what a state passes on and what it changes for a follower are
 weights of the runs of words, and a text's score is its root score and the weights of
-all its runs. Rows meet the weights by a join on the run's hash. Runs that make up at
-least SHARE of the tokens are looked up beside the texts instead, which changes no
-score, and a bitmap of bounded size drops most of what the join would not find.
+all its runs. The most frequent words and runs, at most LOOKUPS of each, are looked up
+beside the texts, so no score depends on the bound: a task asks for what it lacks, once for each
+key, in blocks dealt like the counts; they meet the table's blocks, and the answers go
+back to the task's rows. A bitmap of bounded size drops most of what would not be found.
 
 Defined cases: null and empty texts are the end token alone. Null doc_ids are never
 held out and train. Rows that repeat a doc_id are counted and scored one by one.
@@ -24,19 +33,22 @@ matter.
 
 from __future__ import annotations
 
-from functools import cached_property, reduce
+import gc
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.llm import texthash
-from cubeloom.llm.runtime import ship, written
+from cubeloom.llm.runtime import discard, relieved, ship, written
 
-MIN_COUNT, SHARE, DISCOUNT, DEPTH = 3, 1e-6, 0.5, 5
+MIN_COUNT, DISCOUNT, DEPTH, TOGETHER, LOOKUPS = 3, 0.5, 5, 3, 1_500_000
 MOST_BITS = 1 << 28
+FLUSH, BUCKETS, BUCKET_TOKENS = 1_500_000, 1024, 1_000_000
+_CODEC = pa.Codec("zstd", compression_level=1)
 END = np.uint64(0x3C79AC492BA7B653)
 SLICE = 600
 
@@ -47,42 +59,96 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, at[1:], END), at + np.arange(len(at))
 
 
+def _grouped(keys: np.ndarray, counts: np.ndarray | None, more) -> tuple[np.ndarray, ...]:
+    """Distinct keys, how often (or the sum of counts), and the further columns of one
+    row of each."""
+    order = np.argsort(keys) if more or counts is not None else None
+    keys = np.sort(keys) if order is None else keys[order]
+    begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    many = np.diff(np.append(begin, len(keys))) if counts is None else np.add.reduceat(counts[order], begin) if len(begin) else counts[:0]
+    return keys[begin], many, *(x[order[begin]] for x in more)
+
+
+def _pack(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+def _unpack(data: bytes) -> bytes:
+    return _CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 class _Counts:
-    """Counts of keys, merged as they grow and handed on in parts where they do not
-    shrink. Further columns are those of a key's first row."""
+    """Counts of keys, merged as they grow and handed on in parts. Further columns are
+    those of a key's first row."""
 
-    def __init__(self) -> None:
-        self.parts, self.size = [], 0
+    def __init__(self, most: int = FLUSH) -> None:
+        self.parts, self.size, self.most = [], 0, most
 
     def add(self, keys: np.ndarray, *more: np.ndarray) -> None:
-        k, first, c = np.unique(keys, return_index=True, return_counts=True)
-        self.parts.append((k, c, *(x[first] for x in more)))
-        self.size += len(k)
+        self.parts.append(_grouped(keys, None, more))
+        self.size += len(self.parts[-1][0])
 
-    def full(self, *names: str):
-        if self.size > 1_500_000:
+    def full(self, k: int, buckets: int):
+        if self.size > self.most:
             self.parts = [self.merged()]
             self.size = len(self.parts[0][0])
-            if self.size > 750_000:
-                yield from self.batches(*names)
+            if self.size > self.most // 2:
+                yield self.blocks(k, buckets)
 
     def merged(self) -> tuple[np.ndarray, ...]:
         keys, counts, *more = map(np.concatenate, zip(*self.parts))
-        k, first, at = np.unique(keys, return_index=True, return_inverse=True)
-        return k, np.bincount(at, counts, len(k)).astype(np.int64), *(x[first] for x in more)
-
-    def batches(self, *names: str):
-        """The counts as c after the named columns: the key, or what came with it."""
-        if not self.parts:
-            return
-        k, c, *more = self.merged()
-        columns = more or [k]
-        if more:  # neighbours alike, for the shuffle's compression
-            order = np.argsort(more[0])
-            c, columns = c[order], [x[order] for x in more]
+        return _grouped(keys, counts, more)
+
+    def blocks(self, k: int, buckets: int) -> pa.RecordBatch:
+        """A row for each bucket: the columns behind a key (the key, if there are none)
+        and its count, ordered so that they compress well."""
+        keys, c, *columns = self.merged() if self.parts else _grouped(np.zeros(0, np.uint64), None, ())
+        columns = columns or [keys]
         self.parts, self.size = [], 0
-        for at in range(0, len(c), 200_000):
-            yield pa.record_batch([pa.array(x[at : at + 200_000].view(np.int64), pa.int64()) for x in (*columns, c)], names=[*names, "c"])
+        bucket = (keys >> np.uint64(32)) % np.uint64(buckets)
+        order = np.argsort(bucket << np.uint64(44) | columns[0] >> np.uint64(20))
+        bucket, c, columns = bucket[order], c[order].astype(np.uint64), [x[order] for x in columns]
+        begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(bucket)), bool), bucket[1:] != bucket[:-1])))
+        data = []
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)]):
+            raw = b"".join(x[a:b].tobytes() for x in (*columns, c))
+            data.append(_pack(raw))
+        return pa.record_batch([pa.array(np.full(len(begin), k, np.int32)), pa.array(bucket[begin].astype(np.int32)), pa.array(data, pa.binary())], names=["k", "bucket", "data"])
+
+
+def _summed(columns: int, least: int):
+    """Sums the blocks of each (k, bucket), which come one after the other: key, k, the
+    columns and c of keys that reach `least`."""
+
+    def close(k: int, data: list[bytes]):
+        parts = [np.frombuffer(_unpack(d), np.uint64).reshape(columns + 1, -1) for d in data]
+        *more, c = np.concatenate(parts, axis=1)
+        keys = above(*more) if columns > 1 else more[0]
+        keys, c, *more = _grouped(keys, c.astype(np.int64), more)
+        enough = c >= least
+        names = ["key", "k", *["prefix", "suffix"][: columns if columns > 1 else 0], "c"]
+        shown = [x[enough].view(np.int64) for x in (more if columns > 1 else [])]
+        return pa.record_batch([pa.array(keys[enough].view(np.int64)), pa.array(np.full(int(enough.sum()), k, np.int32)), *map(pa.array, shown), pa.array(c[enough])], names=names)
+
+    def run(batches):
+        at, data = None, []
+        for batch in batches:
+            for k, bucket, d in zip(*(x.to_pylist() for x in batch.columns)):
+                if (k, bucket) != at:
+                    if data:
+                        yield close(at[0], data)
+                    at, data = (k, bucket), []
+                data.append(d)
+        if data:
+            yield close(at[0], data)
+
+    return run
+
+
+def _counted(texts: DataFrame, count, columns: int, least: int) -> DataFrame:
+    """The counts that `count` makes of texts, summed over all tasks."""
+    dealt = texts.mapInArrow(relieved(count), "k int, bucket int, data binary").repartition("k", "bucket").sortWithinPartitions("k", "bucket")
+    return dealt.mapInArrow(relieved(_summed(columns, least)), f"key long, k int, {'prefix long, suffix long, ' if columns > 1 else ''}c long")
 
 
 def above(keys: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -124,53 +190,23 @@ class Tree:
     the contexts of k words with what they pass on (log10). weights: (key, c, weight) of
     runs; a text's score is its root score and the weights of all runs in it."""
 
-    def __init__(self, n: int, v: int, least: float, words: DataFrame):
-        self.n, self.v, self.least = n, v, least
+    def __init__(self, n: int, v: int, words: DataFrame):
+        self.n, self.v = n, v
         self.runs, self.states = [words], []
         self.weights: DataFrame | None = None
 
-    @cached_property
-    def _small(self) -> tuple:
-        """For small trees, as arrays: the word hashes, their root log10, and by level
-        the codes state * words + last word of all runs, each run's suffix state, and
-        (codes that retained states give, what they give, what each state passes on)."""
-        first = self.runs[0].toArrow().to_pandas().sort_values("key", ignore_index=True)
-        m = len(first)
-        state, last = dict(zip(first["key"], range(m))), dict(zip(first["key"], range(m)))
-        codes, suffixes, levels = [np.arange(m)], [np.zeros(m, int)], []
-        for runs, states in zip(self.runs[1:], self.states):
-            t = runs.toArrow().to_pandas()
-            t["code"] = t["prefix"].map(state) * m + t["suffix"].map(last)
-            t = t.sort_values("code", ignore_index=True)
-            passed = np.zeros(len(codes[-1]))
-            retained = states.where("retained").toArrow().to_pandas()
-            passed[retained["key"].map(state).astype(int)] = retained["passed"]
-            use = t[t["delta"].notna()]
-            levels.append((use["code"].to_numpy(), use["logp"].to_numpy(), passed))
-            codes.append(t["code"].to_numpy())
-            suffixes.append(t["suffix"].map(state).to_numpy())
-            last = dict(zip(t["key"], t["suffix"].map(last)))
-            state = dict(zip(t["key"], range(len(t))))
-        return first["key"].to_numpy().view(np.uint64), first["logp"].to_numpy(), codes, suffixes, levels
-
-    words = property(lambda self: self._small[0])
-    root = property(lambda self: self._small[1])
-    pairs = property(lambda self: self._small[2][1])
-    levels = property(lambda self: self._small[4])
-
-    def _log_p(self, depth: int, state: np.ndarray, follower: np.ndarray) -> np.ndarray:
-        keys, gives, passed = self.levels[depth - 1]
-        at = lookup(keys, state * len(self.words) + follower)
-        below = self.root[follower] if depth == 1 else self._log_p(depth - 1, self._small[3][depth - 1][state], follower)
-        return np.where(at >= 0, gives[np.maximum(at, 0)] if len(gives) else 0.0, passed[state] + below)
-
 
 def lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Index of each key, -1 if it is not there."""
+    """Index of each key, -1 if it is not there; keys are searched in their order, which
+    spares the caches."""
     if not len(sorted_keys):
         return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
+    order = np.argsort(keys)
+    ascending = keys[order]
+    at = np.minimum(np.searchsorted(sorted_keys, ascending), len(sorted_keys) - 1)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.where(sorted_keys[at] == ascending, at, -1)
+    return out
 
 
 def _slices(batches, column: int):
@@ -180,112 +216,245 @@ def _slices(batches, column: int):
             yield part, *_tokens(part.column(column))
 
 
-def _count_words(batches):
-    counts = _Counts()
-    for _, h, _at in _slices(batches, 0):
-        counts.add(h)
-        yield from counts.full("key")
-    yield from counts.batches("key")
+def _count_words(buckets: int):
+    def run(batches):
+        counts = _Counts()
+        for _, h, _at in _slices(batches, 0):
+            counts.add(h)
+            yield from counts.full(1, buckets)
+        yield counts.blocks(1, buckets)
+
+    return run
 
 
-def _count_level(sieve: Sieve, alive: Sieve | None, length: int):
-    """Counts runs of `length` words that give a word after a context that is alive, both
-    of their parts being frequent, or are themselves a context that may be alive."""
+def _count_runs(sieve: Sieve, short: int, lengths: range, buckets: int):
+    """Counts the runs of these lengths all of whose runs of `short` words are frequent."""
 
     def run(batches):
-        counts = _Counts()
+        counts = {k: _Counts(FLUSH // len(lengths)) for k in lengths}
         for _, h, at in _slices(batches, 0):
-            later = None  # whether the run of length - 2 words at a position is an alive context
-            for k, keys, whole in _runs(h, at, length):
-                if k == length - 2:
-                    later = alive.has(keys)
-                if k == length - 1:
-                    frequent, part = sieve.has(keys) & whole, keys
-            ok = whole & np.append(frequent[1:], False)
-            if later is None:
-                ok &= frequent
-            else:
-                ok &= (frequent & np.append(later[1:], False)) | np.append(later[2:], [False] * min(2, len(later)))
-            counts.add(keys[ok], part[ok], part[1:][ok[:-1]])
-            yield from counts.full("prefix", "suffix")
-        yield from counts.batches("prefix", "suffix")
+            ok = part = None
+            for k, keys, whole in _runs(h, at, lengths[-1]):
+                if k == short:
+                    ok = sieve.has(keys) & whole
+                elif k > short:
+                    ok = whole & ok & np.append(ok[1:], False)
+                    if k in counts:
+                        sel = np.flatnonzero(ok)
+                        counts[k].add(keys[sel], part[sel], part[sel + 1])
+                part = keys
+            for k, c in counts.items():
+                yield from c.full(k, buckets)
+        for k, c in counts.items():
+            yield c.blocks(k, buckets)
 
     return run
 
 
-def _keyed(batches):
-    for batch in batches:
-        prefix, suffix = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-        yield pa.record_batch([pa.array(above(prefix, suffix).view(np.int64)), *batch.columns], names=["key", "prefix", "suffix", "c"])
+_DOC, _ASK = 0, 1
+_SCORED = "kind int, pid int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, k int, bucket int, seq int, keys binary, rows binary"
+
+
+def _scored(many: int, **columns) -> pa.RecordBatch:
+    """Rows of _SCORED, null where no column is given."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+    fields = [f.split() for f in _SCORED.split(", ")]
+    return pa.record_batch([columns[n].cast(kinds[t]) if n in columns else pa.nulls(many, kinds[t]) for n, t in fields], names=[n for n, _ in fields])
 
 
-def _score(n: int, v: int, words: tuple, hot: tuple, sieve: Sieve, longest: int):
+class _Asks:
+    """What a task has to ask for: keys and the rows they stand in."""
+
+    def __init__(self, pid: int, k: int, buckets: int):
+        self.pid, self.k, self.buckets, self.seq, self.size, self.parts = pid, k, buckets, 0, 0, []
+
+    def add(self, keys: np.ndarray, rows: np.ndarray):
+        self.parts.append((keys, rows))
+        self.size += len(keys)
+        if self.size > FLUSH:
+            yield self.blocks()
+
+    def blocks(self) -> pa.RecordBatch:
+        """For each bucket the distinct keys, and of every place its key and its row."""
+        keys, rows = map(np.concatenate, zip(*self.parts)) if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.argsort((keys >> np.uint64(32)) % np.uint64(self.buckets) << np.uint64(44) | keys >> np.uint64(20))
+        keys, rows = keys[order], rows[order]
+        new = np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
+        bucket = (keys >> np.uint64(32)) % np.uint64(self.buckets)
+        begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), bucket[1:] != bucket[:-1])))
+        one, two = [], []
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(keys)]):
+            one.append(_pack(keys[a:b][new[a:b]].tobytes()))
+            two.append(_pack(np.stack([np.cumsum(new[a:b]) - 1, rows[a:b]]).astype(np.uint32).tobytes()))
+        n, self.parts, self.size, self.seq = len(begin), [], 0, self.seq + 1
+        same = {c: pa.array(np.full(n, v)) for c, v in (("kind", _ASK), ("pid", self.pid), ("k", self.k), ("seq", self.seq))}
+        return _scored(n, **same, bucket=pa.array(bucket[begin].astype(np.int32)), keys=pa.array(one, pa.binary()), rows=pa.array(two, pa.binary()))
+
+
+def _told(k: int, buckets: int):
+    """A table (key, value) as blocks: k, bucket, and (keys, values)."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, values = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            bucket = (keys >> np.uint64(32)) % np.uint64(buckets)
+            order = np.argsort(bucket)
+            bucket = bucket[order]
+            begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            data = [_pack(keys[x].tobytes() + values[x].tobytes()) for x in np.split(order, begin[1:])]
+            yield pa.record_batch([pa.array(np.full(len(begin), k, np.int32)), pa.array(bucket[begin].astype(np.int32)), pa.array(data, pa.binary())], names=["k", "bucket", "keys"])
+
+    return run
+
+
+def _answered(batches):
+    """Blocks of a table (pid -1, first) and of asks, by (k, bucket): for every ask the
+    values of its keys, NaN where there is none."""
+    at, told, table = None, [], None
+    for batch in batches:
+        out = []
+        for k, bucket, pid, seq, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if (k, bucket) != at:
+                at, told, table = (k, bucket), [], None
+            raw = _unpack(data)
+            if pid < 0:
+                told.append((np.frombuffer(raw[: len(raw) // 2], np.uint64), np.frombuffer(raw[len(raw) // 2 :], float)))
+                continue
+            if table is None:
+                names, values = map(np.concatenate, zip(*told)) if told else (np.zeros(0, np.uint64), np.zeros(0))
+                order = np.argsort(names)
+                table = names[order], np.append(values[order], np.nan)
+            out.append((k, bucket, pid, seq, _pack(table[1][lookup(table[0], np.frombuffer(raw, np.uint64))].tobytes())))
+        columns = list(zip(*out)) if out else [()] * 5
+        yield pa.record_batch([*(pa.array(c, pa.int32()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=["k", "bucket", "pid", "seq", "data"])
+
+
+def _gathered(batches):
+    """For each (pid, k, bucket, seq) the answers (side 0) and then the places (side 1):
+    what every row of a task gets."""
+    pid, sums, values = None, None, b""
+
+    def close():
+        rows = np.flatnonzero(sums[0] > 0)
+        return pa.record_batch([pa.array(np.full(len(rows), pid, np.int32)), pa.array(rows), pa.array(sums[1][rows].astype(np.int64)), pa.array(sums[2][rows]), pa.array(sums[3][rows])], names=["pid", "row", "more", "gain", "deep"])
+
+    for batch in batches:
+        for p, k, side, data in zip(*(batch.column(c).to_pylist() for c in (0, 1, 4, 5))):
+            if p != pid:
+                if pid is not None:
+                    yield close()
+                pid, sums = p, np.zeros((4, 0))
+            if side == 0:
+                values = np.frombuffer(_unpack(data), float)
+                continue
+            which, rows = np.frombuffer(_unpack(data), np.uint32).reshape(2, -1)
+            got = values[which]
+            rows, got = rows[~np.isnan(got)], got[~np.isnan(got)]
+            if not len(rows):
+                continue
+            if rows.max() >= sums.shape[1]:
+                sums = np.pad(sums, ((0, 0), (0, int(rows.max()) + 1024 - sums.shape[1])))
+            n = sums.shape[1]
+            many = np.bincount(rows, minlength=n)
+            sums[0] += many
+            if k == 1:
+                sums[1] += many
+            sums[2 if k == 1 else 3] += np.bincount(rows, got, n)
+    if pid is not None:
+        yield close()
+
+
+def _score(n: int, v: int, words: tuple, hot: tuple, sieves: tuple, longest: int, all_words: bool, all_runs: bool, buckets: int):
+    """all_words, all_runs: nothing is left to ask for. sieves: of words, of runs."""
     root = np.log10((words[1] + 1) / (n + v + 1))
 
     def run(batches):
-        pid, row = TaskContext.get().partitionId(), 0
+        pid, begun = TaskContext.get().partitionId(), 0
+        cold, far = _Asks(pid, 1, buckets), _Asks(pid, 2, buckets)
         for part, h, at in _slices(batches, 1):
+            row = begun + np.repeat(np.arange(len(at) - 1), np.diff(at))
             w = lookup(words[0], h)
             known = w >= 0
             base = np.where(known, root[np.maximum(w, 0)] if len(root) else 0.0, 0.0)
-            total, far, of = base.copy(), [], []
+            if not all_words:
+                ask = np.flatnonzero(~known)
+                ask = ask[sieves[0].has(h[ask])]
+                yield from cold.add(h[ask], row[ask])
+            total = base.copy()
             for _, keys, whole in _runs(h, at, longest):
-                met = np.flatnonzero(whole & sieve.has(keys))
+                met = np.flatnonzero(whole & sieves[1].has(keys))
                 found = lookup(hot[0], keys[met])
-                total[met[found >= 0]] += hot[1][found[found >= 0]]
-                far.append(keys[met[found < 0]])
-                of.append(met[found < 0])
-            first = at[:-1]
-            of = np.searchsorted(at, np.concatenate(of), "right") - 1
-            order = np.argsort(of, kind="stable")
-            where = np.searchsorted(of[order], np.arange(len(at)))
-            met_later = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(np.concatenate(far)[order].view(np.int64), pa.int64()))
-            cold = np.concatenate(([0], np.cumsum(np.add.reduceat((~known).astype(np.int64), first))))
-            unknown = pa.ListArray.from_arrays(pa.array(cold, pa.int32()), pa.array(h[~known].view(np.int64), pa.int64()))
-            sums = (np.add.reduceat(x, first) for x in (known.astype(np.int64), base, total))
-            yield pa.record_batch(
-                [pa.array((pid << 40) + row + np.arange(len(first))), part.column(0), part.column(2), pa.array(np.diff(at)), *map(pa.array, sums), unknown, met_later],
-                names=["rk", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "cold", "far"],
-            )
-            row += len(first)
+                hit = found >= 0
+                total[met[hit]] += hot[1][found[hit]]
+                if not all_runs:
+                    yield from far.add(keys[met[~hit]], row[met[~hit]])
+            sums = [np.add.reduceat(x, at[:-1]) for x in (known.astype(np.int64), base, total)]
+            m = len(at) - 1
+            yield _scored(
+                m, kind=pa.array(np.full(m, _DOC)), pid=pa.array(np.full(m, pid)), row=pa.array(begun + np.arange(m)), doc_id=part.column(0), held_out=part.column(2),
+                n_tokens=pa.array(np.diff(at)), n_known=pa.array(sums[0]), base=pa.array(sums[1]), score=pa.array(sums[2]),
+            )
+            begun += m
+        yield cold.blocks()
+        yield far.blocks()
 
     return run
 
 
-def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_count: int = MIN_COUNT, share: float = SHARE) -> tuple[Tree, DataFrame]:
+def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_count: int = MIN_COUNT) -> tuple[Tree, DataFrame]:
     """(the tree, the table (key, c) of all training tokens) from the rows of docs
     where `training` holds."""
     ship(docs.sparkSession)
     texts = docs.where(training).select(F.col(text_col).cast("string").alias("text"))
-    unigrams = written(texts.mapInArrow(_count_words, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "unigrams")
+    unigrams = written(_counted(texts, _count_words(_buckets(texts)), 1, 1).select("key", "c"), "unigrams")
     n, v = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    buckets = max(BUCKETS, n // BUCKET_TOKENS)
     root = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
-    tree = Tree(n, v, max(min_count, share * n), unigrams.where(F.col("c") >= min_count).select("key", "c", root.alias("logp"), F.lit(True).alias("live")))
-    weights, alive = [], None
+    words = unigrams.where(F.col("c") >= min_count).select("key", "c", root.alias("logp"), F.lit(True).alias("live"))
+    tree, weights, frequent = Tree(n, v, words), [], {1: words.select("key", "c")}
+
+    def counted(lengths: range) -> None:
+        short = lengths[0] - 1
+        sieve = Sieve(frequent[short].select("key"), frequent[short].count())
+        made = written(_counted(texts, _count_runs(sieve, short, lengths, buckets), 2, min_count), "frequent")
+        frequent.update({k: made.where(F.col("k") == k).drop("k") for k in lengths})
+
     for length in range(2, depth + 2):
-        below = tree.runs[-1]
-        sieve = Sieve(below.select("key"), below.count())
-        counted = texts.mapInArrow(_count_level(sieve, alive, length), "prefix long, suffix long, c long").groupBy("prefix", "suffix").agg(F.sum("c").alias("c"))
-        found = counted.where(F.col("c") >= min_count).mapInArrow(_keyed, "key long, prefix long, suffix long, c long")
-        tops = below.select(F.col("key").alias("prefix"), F.col("c").alias("total"))
-        lows = below.select(F.col("key").alias("suffix"), F.col("logp").alias("below"), F.col("live").alias("asked"))
-        met = written(found.join(tops.hint("merge"), "prefix", "left").join(lows.hint("merge"), "suffix"), "runs")
-        states = written(_states(met.where("asked")), "states")
+        if length not in frequent:
+            counted(range(length, (length if length <= TOGETHER else depth + 1) + 1))
+            _free(docs.sparkSession)
+        tops = frequent[length - 1].select(F.col("key").alias("prefix"), F.col("c").alias("total"))
+        lows = tree.runs[-1].where("live").select(F.col("key").alias("suffix"), F.col("logp").alias("below"))
+        met = written(frequent[length].join(lows, "suffix").join(tops, "prefix"), "met")
+        states = written(_states(met), "states")
         runs = written(_resolved(met, states), "level")
+        discard(met)
         tree.runs.append(runs)
         tree.states.append(states)
         weights += [runs.where("delta is not null").select("key", "c", F.col("delta").alias("weight")), states.where("retained").select("key", "c", F.col("passed").alias("weight"))]
-        going = states.where("alive").select("key")
-        many = going.count()
-        docs.sparkSession.sparkContext._jvm.System.gc()  # frees the shuffle files of written tables
-        if not many:
+        del met
+        _free(docs.sparkSession)
+        if runs.where("live").isEmpty():
             break
-        alive = Sieve(going, many)
     if weights:
         tree.weights = written(reduce(DataFrame.unionByName, weights).groupBy("key").agg(F.max("c").alias("c"), F.sum("weight").alias("weight")), "weights")
+    _free(docs.sparkSession)
     return tree, unigrams
 
 
+def _buckets(texts: DataFrame) -> int:
+    """Enough buckets for the words of texts, at four characters a word at least."""
+    return max(BUCKETS, (texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 4) // BUCKET_TOKENS)
+
+
+def _free(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _states(met: DataFrame) -> DataFrame:
     """The contexts of runs (prefix, c, total, below): retained or not, what they pass
     on, and whether a longer context could be retained. Its gain is at most that of
@@ -307,14 +476,26 @@ def _resolved(met: DataFrame, states: DataFrame) -> DataFrame:
     """Runs with the log10 probability of their last word and what a retained state
     changes in it (delta)."""
     by = states.select(F.col("key").alias("prefix"), "retained", "passed", "alive")
-    own = F.col("asked") & F.coalesce("retained", F.lit(False))
     gives = F.log10((F.col("c") - DISCOUNT) / F.col("total"))
-    return met.join(by.hint("merge"), "prefix", "left").select(
-        "key", "prefix", "suffix", "c", F.when(own, gives).otherwise(F.col("below")).alias("logp"),
-        (F.col("asked") & F.coalesce("alive", F.lit(False))).alias("live"), F.when(own, gives - F.col("passed") - F.col("below")).alias("delta"),
+    return met.join(by, "prefix").select(
+        "key", "prefix", "suffix", "c", F.when(F.col("retained"), gives).otherwise(F.col("below")).alias("logp"),
+        F.col("alive").alias("live"), F.when(F.col("retained"), gives - F.col("passed") - F.col("below")).alias("delta"),
     )
 
 
+def _most(table: DataFrame, bound: int) -> Column:
+    """A condition for the rows of the highest counts, at most `bound` of them: those
+    from some half power of two on."""
+    level = F.floor(2 * F.log2("c"))
+    rows = table.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()  # a row for each level, few
+    least, taken = 1 << 10, 0
+    for r in rows:
+        if (taken := taken + r.n) > bound:
+            break
+        least = r.level
+    return level >= least
+
+
 def _arrays(table: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
     got = table.toArrow()
     keys = got.column("key").to_numpy().astype(np.int64).view(np.uint64)
@@ -322,25 +503,40 @@ def _arrays(table: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], got.column(value).to_numpy().astype(float)[order]
 
 
-def score(docs: DataFrame, tree: Tree, unigrams: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, tree: Tree, unigrams: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lookups: int = LOOKUPS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of all rows.
-    Words and runs of at least tree.least occurrences are looked up beside the texts,
-    all others meet their tables by joins."""
+    The most frequent words and runs, at most `lookups` of each, are looked up beside
+    the texts, all others meet their tables by joins."""
     spark = docs.sparkSession
     weights = tree.weights if tree.weights is not None else spark.createDataFrame([], "key long, c long, weight double")
-    common = F.col("c") >= float(tree.least)  # at most 1 / share of each length
-    words, hot = _arrays(unigrams.where(common), "c"), _arrays(weights.where(common), "weight")
-    scoring = _score(tree.n, tree.v, words, hot, Sieve(weights.select("key"), weights.count()), len(tree.runs))
+    many_words, many_runs = _most(unigrams, lookups), _most(weights, lookups)
+    rare_words, rare_runs = unigrams.where(~many_words), weights.where(~many_runs)
+    words, hot = _arrays(unigrams.where(many_words), "c"), _arrays(weights.where(many_runs), "weight")
+    all_words, all_runs = rare_words.isEmpty(), rare_runs.isEmpty()
+    buckets = max(BUCKETS, tree.n // BUCKET_TOKENS)
+    sieves = Sieve(rare_words.select("key"), rare_words.count()), Sieve(weights.select("key"), weights.count())
+    scoring = _score(tree.n, tree.v, words, hot, sieves, len(tree.runs), all_words, all_runs, buckets)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
-    first = written(base.mapInArrow(scoring, "rk long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, cold array<long>, far array<long>"), "scored")
-    spark.sparkContext._jvm.System.gc()
-    cold = first.select("rk", F.explode("cold").alias("key"))
-    met = cold.join(unigrams.hint("merge"), "key").groupBy("rk").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("gain"))
-    far = first.select("rk", F.explode("far").alias("key"))
-    deep = far.join(weights.where(~common).select("key", "weight").hint("merge"), "key").groupBy("rk").agg(F.sum("weight").alias("deep"))
-    each = F.size("cold") * float(np.log10(tree.n + tree.v + 1))
-    gain = F.coalesce("gain", F.lit(0.0)) - each
-    return first.join(met, "rk", "left").join(deep, "rk", "left").select(
+    first = written(base.mapInArrow(relieved(scoring), _SCORED), "scored")
+    _free(spark)
+    done = first.where(F.col("kind") == _DOC).select("pid", "row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
+    nothing = [F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("gain"), F.lit(0.0).alias("deep")]
+    if all_words and all_runs:
+        done = done.select("*", *nothing)
+    else:
+        asks = first.where(F.col("kind") == _ASK)
+        block = "k int, bucket int, keys binary"
+        told = rare_words.select("key", F.log10(F.col("c") + 1).alias("value")).mapInArrow(_told(1, buckets), block)
+        told = told.unionByName(rare_runs.select("key", F.col("weight").alias("value")).mapInArrow(_told(2, buckets), block))
+        both = told.select("k", "bucket", F.lit(-1).alias("pid"), F.lit(-1).alias("seq"), "keys").unionByName(asks.select("k", "bucket", "pid", "seq", "keys"))
+        answers = both.repartition("k", "bucket").sortWithinPartitions("k", "bucket", "pid").mapInArrow(relieved(_answered), "k int, bucket int, pid int, seq int, data binary")
+        places = asks.select("k", "bucket", "pid", "seq", F.col("rows").alias("data"), F.lit(1).alias("side"))
+        sides = answers.withColumn("side", F.lit(0)).unionByName(places).select("pid", "k", "bucket", "seq", "side", "data")
+        sums = sides.repartition("pid").sortWithinPartitions("pid", "k", "bucket", "seq", "side").mapInArrow(relieved(_gathered), "pid int, row long, more long, gain double, deep double")
+        done = done.join(sums, ["pid", "row"], "left")
+    # words looked up have their root score; the others log10(c + 1) from the answers, 0 where unknown
+    gain = F.coalesce("gain", F.lit(0.0)) - (F.col("n_tokens") - F.col("n_known")) * float(np.log10(tree.n + tree.v + 1))
+    return done.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(tree.n)).cast("long").alias("train_tokens"),
         (F.col("base") + gain).alias("base_score"), (F.col("score") + gain + F.coalesce("deep", F.lit(0.0))).alias("score"),
     )
