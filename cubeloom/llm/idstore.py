@@ -100,7 +100,7 @@ def _chunked(encoder, end_id: int):
     def run(batches):
         encode = encoder().encode
         pid, seen, row = TaskContext.get().partitionId(), set(), 0
-        parts = ((b.column(0).slice(k, len(at) - 1), ids, at) for whole in batches for b in (whole.slice(x, 1000) for x in range(0, whole.num_rows, 1000)) for k, ids, at in encode([t or "" for t in b.column(1).to_pylist()]))
+        parts = ((b.column(0).slice(k, len(at) - 1), ids, at) for whole in batches for b in (whole.slice(x, 4000) for x in range(0, whole.num_rows, 4000)) for k, ids, at in encode([t or "" for t in b.column(1).to_pylist()]))
         for docs, own, ends_at in ((d.slice(k, 500), i, at[k : k + 501]) for d, i, at in parts for k in range(0, len(d), 500)):
             at = ends_at - ends_at[0] + np.arange(len(ends_at))
             ids = np.insert(own[ends_at[0] : ends_at[-1]], ends_at[1:] - ends_at[0], end_id)

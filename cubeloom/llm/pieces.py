@@ -119,8 +119,9 @@ class Cutter:
     many they are), for pre-tokens points[edges[k]:edges[k + 1]]; whole(text) -> ids;
     normal(text) is the text to cut, or None to go to whole()."""
 
-    def __init__(self, begins, dtype: str, ids_of, whole: Callable[[str], np.ndarray] | None = None, normal: Callable[[str], str | None] = str):
+    def __init__(self, begins, dtype: str, ids_of, whole: Callable[[str], np.ndarray] | None = None, normal: Callable[[str], str | None] = str, parts: int = 1):
         self.begins, self.dtype, self.ids_of, self.whole, self.normal = begins, np.dtype(dtype), ids_of, whole, normal
+        self.parts = parts  # how many times CHARS and KNOWN
         self.known: dict[int, tuple] = {}  # by width of a code point: pre-tokens, ids, start, size
 
     def _looked_up(self, pieces: pa.Array, points: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,8 +139,8 @@ class Cutter:
             all_start[new], all_size[new] = begin + len(ids), many
             ids = np.concatenate((ids, got))
             short = np.flatnonzero(new & (length <= LONGEST))
-            if len(words) + len(short) > KNOWN:  # begin anew with what this part has
-                keep = np.flatnonzero(length <= LONGEST)[:KNOWN]
+            if len(words) + len(short) > self.parts * KNOWN:  # begin anew with what this part has
+                keep = np.flatnonzero(length <= LONGEST)[: self.parts * KNOWN]
                 flat = ids[_ragged(all_start[keep], all_size[keep])]
                 self.known[wide] = (pieces.take(pa.array(keep)), flat, np.cumsum(all_size[keep]) - all_size[keep], all_size[keep])
             else:
@@ -188,7 +189,7 @@ class Cutter:
                 odd[k - begun], cut = text, ""
             part.append(cut)
             chars += len(cut)
-            if chars >= CHARS or k + 1 == len(texts):
+            if chars >= self.parts * CHARS or k + 1 == len(texts):
                 ids, at = self._together(part)
                 if odd:
                     rows = [self.whole(odd[j]) if j in odd else ids[at[j] : at[j + 1]] for j in range(len(part))]
@@ -283,7 +284,7 @@ class _Files:
 
 
 @lru_cache(4)
-def word_encoder(path: str, dtype: str = "<u2", keep_special: bool = False) -> Cutter:
+def word_encoder(path: str, dtype: str = "<u2", keep_special: bool = False, parts: int = 1) -> Cutter:
     """The ids of a file of the tokenizers library whose words end in a suffix, with
     NFC, white space as one space and lower case before them; with keep_special the
     strings of added tokens are ordinary text. One per worker process."""
@@ -306,7 +307,7 @@ def word_encoder(path: str, dtype: str = "<u2", keep_special: bool = False) -> C
         made = files.own.normalizer.normalize_str(text)
         return made if max(made) < LAST else None
 
-    return Cutter(words_and_marks, dtype, partial(_grouped, files.bulk, files.alone, " ", closes, True, dtype), files.whole, normal)
+    return Cutter(words_and_marks, dtype, partial(_grouped, files.bulk, files.alone, " ", closes, True, dtype), files.whole, normal, parts)
 
 
 @lru_cache(4)

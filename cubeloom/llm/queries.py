@@ -63,7 +63,7 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")
-    return idstore.store(documents(spark, sf_dir), scratch(spark, "idstore"), lambda: word_encoder(path), 2)
+    return idstore.store(documents(spark, sf_dir), scratch(spark, "idstore"), lambda: word_encoder(path, parts=4), 2)
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
