@@ -184,15 +184,12 @@ class Sieve:
 
 
 class Tree:
-    """The tree as tables. runs[k - 1]: the runs of k words that may matter, with their
-    prefix and suffix runs (keys), count c, log10 probability logp of the last word after
-    the others, live: whether more words in front could still change it. states[k - 1]:
-    the contexts of k words with what they pass on (log10). weights: (key, c, weight) of
-    runs; a text's score is its root score and the weights of all runs in it."""
-
-    def __init__(self, n: int, v: int, words: DataFrame):
-        self.n, self.v = n, v
-        self.runs, self.states = [words], []
+    """The tree as tables. states[k - 1]: the contexts of k words with what they pass on
+    (log10). weights: (key, c, weight) of runs of up to `longest` words; a text's score is
+    its root score and the weights of all runs in it."""
+
+    def __init__(self, n: int, v: int):
+        self.n, self.v, self.longest, self.states = n, v, 1, []
         self.weights: DataFrame | None = None
 
 
@@ -413,12 +410,17 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     buckets = max(BUCKETS, n // BUCKET_TOKENS)
     root = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
     words = unigrams.where(F.col("c") >= min_count).select("key", "c", root.alias("logp"), F.lit(True).alias("live"))
-    tree, weights, frequent = Tree(n, v, words), [], {1: words.select("key", "c")}
+    tree, weights, frequent, tables = Tree(n, v), [], {1: words.select("key", "c")}, []
+    # Runs that may matter: their prefix and suffix runs (keys), count c, log10 probability
+    # logp of the last word after the others, live: whether more words in front could still
+    # change it.
+    runs = words
 
     def counted(lengths: range) -> None:
         short = lengths[0] - 1
         sieve = Sieve(frequent[short].select("key"), frequent[short].count())
         made = written(_counted(texts, _count_runs(sieve, short, lengths, buckets), 2, min_count), "frequent")
+        tables.append(made)
         frequent.update({k: made.where(F.col("k") == k).drop("k") for k in lengths})
 
     for length in range(2, depth + 2):
@@ -426,12 +428,13 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
             counted(range(length, (length if length <= TOGETHER else depth + 1) + 1))
             _free(docs.sparkSession)
         tops = frequent[length - 1].select(F.col("key").alias("prefix"), F.col("c").alias("total"))
-        lows = tree.runs[-1].where("live").select(F.col("key").alias("suffix"), F.col("logp").alias("below"))
+        lows = runs.where("live").select(F.col("key").alias("suffix"), F.col("logp").alias("below"))
         met = written(frequent[length].join(lows, "suffix").join(tops, "prefix"), "met")
         states = written(_states(met), "states")
         runs = written(_resolved(met, states), "level")
         discard(met)
-        tree.runs.append(runs)
+        tables.append(runs)
+        tree.longest = length
         tree.states.append(states)
         weights += [runs.where("delta is not null").select("key", "c", F.col("delta").alias("weight")), states.where("retained").select("key", "c", F.col("passed").alias("weight"))]
         del met
@@ -440,6 +443,9 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
             break
     if weights:
         tree.weights = written(reduce(DataFrame.unionByName, weights).groupBy("key").agg(F.max("c").alias("c"), F.sum("weight").alias("weight")), "weights")
+    for made in tables:
+        discard(made)
+    del frequent, tables, weights, runs
     _free(docs.sparkSession)
     return tree, unigrams
 
@@ -515,7 +521,7 @@ def score(docs: DataFrame, tree: Tree, unigrams: DataFrame, held_out: Column, id
     all_words, all_runs = rare_words.isEmpty(), rare_runs.isEmpty()
     buckets = max(BUCKETS, tree.n // BUCKET_TOKENS)
     sieves = Sieve(rare_words.select("key"), rare_words.count()), Sieve(weights.select("key"), weights.count())
-    scoring = _score(tree.n, tree.v, words, hot, sieves, len(tree.runs), all_words, all_runs, buckets)
+    scoring = _score(tree.n, tree.v, words, hot, sieves, tree.longest, all_words, all_runs, buckets)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
     first = written(base.mapInArrow(relieved(scoring), _SCORED), "scored")
     _free(spark)
