@@ -34,6 +34,7 @@ matter.
 from __future__ import annotations
 
 import gc
+import time
 from functools import reduce
 
 import numpy as np
@@ -458,6 +459,7 @@ def _buckets(texts: DataFrame) -> int:
 def _free(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()
+    time.sleep(2)  # the bridge to the JVM lets go of objects once a second
     spark.sparkContext._jvm.System.gc()
 
 
