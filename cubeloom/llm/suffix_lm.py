@@ -16,14 +16,17 @@ in repeated passages, in one more scan.
 Counts travel as blocks: every task sums its own, deals them into buckets by the hash of
 the run and sends each bucket's part as one compressed row; a bucket is summed in one go.
 There are as many buckets as keep each of them small, whatever the corpus, and no run or
-word fills one, for it is a single entry of every task's part.
+word fills one, for it is a single entry of every task's part. The most frequent words, at
+most LOOKUPS, have numbers; a run of such words travels as these, any other as the keys of
+its prefix and suffix.
 
 Texts are scored by sums: what a state passes on and what it changes for a follower are
 weights of the runs of words, and a text's score is its root score and the weights of
 all its runs. The most frequent words and runs, at most LOOKUPS of each, are looked up
 beside the texts, so no score depends on the bound: a task asks for what it lacks, once for each
-key, in blocks dealt like the counts; they meet the table's blocks, and the answers go
-back to the task's rows. A bitmap of bounded size drops most of what would not be found.
+key, in blocks of ascending keys; they meet the table's blocks, and the answers go
+back to the task's rows, in WAVES parts of the keys, each of which is dropped when it is
+summed. A bitmap of bounded size drops most of what would not be found.
 
 Defined cases: null and empty texts are the end token alone. Null doc_ids are never
 held out and train. Rows that repeat a doc_id are counted and scored one by one.
@@ -51,7 +54,8 @@ MOST_BITS = 1 << 28
 FLUSH, BUCKETS, BUCKET_TOKENS = 1_500_000, 1024, 1_000_000
 _CODEC = pa.Codec("zstd", compression_level=1)
 END = np.uint64(0x3C79AC492BA7B653)
-SLICE = 600
+SLICE, WAVES = 600, 4
+WIDE, PACKED = np.uint64(21), 3  # bits of a word's number, numbers in a column
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,12 +82,35 @@ def _unpack(data: bytes) -> bytes:
     return _CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second, ...: equal ones lie together."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _unplaned(raw: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, whose high bytes are mostly zero."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _stepped(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unplaned(raw, np.uint64), dtype=np.uint64)
+
+
+def _range(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key by its size, so that ascending keys have ascending ones."""
+    return (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+
+
 class _Counts:
     """Counts of keys, merged as they grow and handed on in parts. Further columns are
-    those of a key's first row."""
+    those of a key's first row. named: runs as numbers of words, k is handed on as -k."""
 
-    def __init__(self, most: int = FLUSH) -> None:
-        self.parts, self.size, self.most = [], 0, most
+    def __init__(self, most: int = FLUSH, named: bool = False) -> None:
+        self.parts, self.size, self.most, self.named = [], 0, most, named
 
     def add(self, keys: np.ndarray, *more: np.ndarray) -> None:
         self.parts.append(_grouped(keys, None, more))
@@ -104,32 +131,54 @@ class _Counts:
         """A row for each bucket: the columns behind a key (the key, if there are none)
         and its count, ordered so that they compress well."""
         keys, c, *columns = self.merged() if self.parts else _grouped(np.zeros(0, np.uint64), None, ())
+        by = texthash.mix(keys) if self.named and not columns else keys
         columns = columns or [keys]
         self.parts, self.size = [], 0
-        bucket = (keys >> np.uint64(32)) % np.uint64(buckets)
-        order = np.argsort(bucket << np.uint64(44) | columns[0] >> np.uint64(20))
+        bucket = (by >> np.uint64(32)) % np.uint64(buckets)
+        if self.named:
+            order = np.argsort(columns[0])
+            order = order[np.argsort(bucket[order].astype(np.min_scalar_type(buckets)), kind="stable")]
+        else:
+            order = np.argsort(bucket << np.uint64(44) | columns[0] >> np.uint64(20))
         bucket, c, columns = bucket[order], c[order].astype(np.uint64), [x[order] for x in columns]
         begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(bucket)), bool), bucket[1:] != bucket[:-1])))
         data = []
         for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)]):
-            raw = b"".join(x[a:b].tobytes() for x in (*columns, c))
-            data.append(_pack(raw))
-        return pa.record_batch([pa.array(np.full(len(begin), k, np.int32)), pa.array(bucket[begin].astype(np.int32)), pa.array(data, pa.binary())], names=["k", "bucket", "data"])
+            first, *rest = (x[a:b] for x in (*columns, c))
+            data.append(_pack(b"".join((_steps(first), *map(_planes, rest)) if self.named else (x.tobytes() for x in (first, *rest)))))
+        return pa.record_batch([pa.array(np.full(len(begin), -k if self.named else k, np.int32)), pa.array(bucket[begin].astype(np.int32)), pa.array(data, pa.binary())], names=["k", "bucket", "data"])
 
 
-def _summed(columns: int, least: int):
+def _summed(columns: int, least: int, names: np.ndarray | None = None):
     """Sums the blocks of each (k, bucket), which come one after the other: key, k, the
-    columns and c of keys that reach `least`."""
+    columns and c of keys that reach `least`. names: the words that have numbers."""
 
     def close(k: int, data: list[bytes]):
+        if k < 0:
+            return close_named(-k, data)
         parts = [np.frombuffer(_unpack(d), np.uint64).reshape(columns + 1, -1) for d in data]
         *more, c = np.concatenate(parts, axis=1)
         keys = above(*more) if columns > 1 else more[0]
         keys, c, *more = _grouped(keys, c.astype(np.int64), more)
         enough = c >= least
-        names = ["key", "k", *["prefix", "suffix"][: columns if columns > 1 else 0], "c"]
-        shown = [x[enough].view(np.int64) for x in (more if columns > 1 else [])]
-        return pa.record_batch([pa.array(keys[enough].view(np.int64)), pa.array(np.full(int(enough.sum()), k, np.int32)), *map(pa.array, shown), pa.array(c[enough])], names=names)
+        return shown(k, keys[enough], [x[enough] for x in (more if columns > 1 else [])], c[enough])
+
+    def close_named(k: int, data: list[bytes]):
+        wide, parts = -(-k // PACKED), []
+        for raw in map(_unpack, data):
+            n = len(raw) // (wide + 1)
+            parts.append((_stepped(raw[:n]), *(_unplaned(raw[i * n : (i + 1) * n], np.uint64) for i in range(1, wide + 1))))
+        *ids, c = map(np.concatenate, zip(*parts))
+        keys, c, *more = _grouped(above(*ids) if wide > 1 else ids[0], c.astype(np.int64), ids if wide > 1 else [])
+        enough = c >= least
+        run = _named([x[enough] for x in more or [keys]], k, names)
+        while len(run) > 2:
+            run = [above(a, b) for a, b in zip(run, run[1:])]
+        return shown(k, above(*run), run, c[enough])
+
+    def shown(k: int, keys: np.ndarray, more: list[np.ndarray], c: np.ndarray) -> pa.RecordBatch:
+        fields = [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), k, np.int32)), *(pa.array(x.view(np.int64)) for x in more), pa.array(c)]
+        return pa.record_batch(fields, names=["key", "k", *["prefix", "suffix"][: len(more)], "c"])
 
     def run(batches):
         at, data = None, []
@@ -146,10 +195,56 @@ def _summed(columns: int, least: int):
     return run
 
 
-def _counted(texts: DataFrame, count, columns: int, least: int) -> DataFrame:
+def _numbered(ids: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
+    """The runs of k words at these places by their numbers, PACKED to a column."""
+    out = []
+    for first in range(0, k, PACKED):
+        column = ids[at + first]
+        for j in range(first + 1, min(first + PACKED, k)):
+            column = column << WIDE | ids[at + j]
+        out.append(column)
+    return out
+
+
+def _named(columns: list[np.ndarray], k: int, names: np.ndarray) -> list[np.ndarray]:
+    """The words of runs from their numbers."""
+    last = [min(PACKED, k - j // PACKED * PACKED) - 1 for j in range(k)]
+    mask = (np.uint64(1) << WIDE) - np.uint64(1)
+    return [names[(columns[j // PACKED] >> np.uint64(21 * (last[j] - j % PACKED)) & mask).astype(np.int64)] for j in range(k)]
+
+
+class _Numbers:
+    """The place of each word in `names`, by a table of hashes that are probed in turn."""
+
+    def __init__(self, names: np.ndarray):
+        self.names = names
+        self.mask = np.uint64((1 << (2 * len(names) + 1).bit_length()) - 1)
+        self.table = np.full(int(self.mask) + 1, -1, np.int32)
+        left, at = np.arange(len(names)), (names & self.mask).astype(np.int64)
+        while len(left):
+            free = self.table[at] < 0
+            self.table[at[free]] = left[free]
+            lost = self.table[at] != left
+            left, at = left[lost], (at[lost] + 1) & int(self.mask)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """-1 for words without a number."""
+        at = (h & self.mask).astype(np.int64)
+        out = self.table[at].astype(np.int64)
+        left = np.flatnonzero(out >= 0)
+        left = left[self.names[out[left]] != h[left]]
+        while len(left):
+            at[left] = (at[left] + 1) & int(self.mask)
+            out[left] = self.table[at[left]]
+            left = left[out[left] >= 0]
+            left = left[self.names[out[left]] != h[left]]
+        return out
+
+
+def _counted(texts: DataFrame, count, columns: int, least: int, names: np.ndarray | None = None) -> DataFrame:
     """The counts that `count` makes of texts, summed over all tasks."""
     dealt = texts.mapInArrow(relieved(count), "k int, bucket int, data binary").repartition("k", "bucket").sortWithinPartitions("k", "bucket")
-    return dealt.mapInArrow(relieved(_summed(columns, least)), f"key long, k int, {'prefix long, suffix long, ' if columns > 1 else ''}c long")
+    return dealt.mapInArrow(relieved(_summed(columns, least, names)), f"key long, k int, {'prefix long, suffix long, ' if columns > 1 else ''}c long")
 
 
 def above(keys: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -170,18 +265,28 @@ def _runs(h: np.ndarray, at: np.ndarray, longest: int):
 
 class Sieve:
     """A bitmap of keys that lets all of them pass, and few others: it only spares
-    work, exact joins follow. At most MOST_BITS whatever the number of keys."""
+    work, exact joins follow. At most MOST_BITS whatever the number of keys. A key has
+    up to three bits, fewer where there are few for each key, all in one word of the map."""
 
     def __init__(self, keys: DataFrame, n: int):
         self.bits = min(MOST_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+        self.shifts = [0, 28, 34][: max(1, 7 * self.bits // (10 * max(1, n)))]
         at = F.col("key").bitwiseAND(F.lit(self.bits - 1))
-        got = keys.select(F.shiftright(at, 6).alias("at"), F.expr("shiftleft(1L, cast(key & 63L as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+        bit = " | ".join(f"shiftleft(1L, cast(shiftright(key, {by}) & 63L as int))" for by in self.shifts)
+        got = keys.select(F.shiftright(at, 6).alias("at"), F.expr(bit).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
         self.map = np.zeros(self.bits >> 6, np.uint64)
         self.map[got.column("at").to_numpy()] = got.column("bit").to_numpy().astype(np.int64).view(np.uint64)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & np.uint64(self.bits - 1)
-        return (self.map[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        one, words = np.uint64(1), self.map[((keys & np.uint64(self.bits - 1)) >> np.uint64(6)).astype(np.int64)]
+        out = words >> (keys & np.uint64(63)) & one > 0
+        if len(self.shifts) > 1:
+            met = np.flatnonzero(out)
+            keys, words = keys[met], words[met]
+            for by in self.shifts[1:]:
+                words = words & -(words >> (keys >> np.uint64(by) & np.uint64(63)) & one)  # none where the bit is not set
+            out[met] = words > 0
+        return out
 
 
 class Tree:
@@ -225,25 +330,34 @@ def _count_words(buckets: int):
     return run
 
 
-def _count_runs(sieve: Sieve, short: int, lengths: range, buckets: int):
+def _count_runs(sieve: Sieve, short: int, lengths: range, buckets: int, names: np.ndarray):
     """Counts the runs of these lengths all of whose runs of `short` words are frequent."""
 
     def run(batches):
-        counts = {k: _Counts(FLUSH // len(lengths)) for k in lengths}
+        numbers = _Numbers(names)
+        counts = {(k, named): _Counts(FLUSH // len(lengths), named) for k in lengths for named in (False, True)}
         for _, h, at in _slices(batches, 0):
             ok = part = None
+            ids = numbers.of(h)
+            every = known = ids >= 0
+            ids = ids.astype(np.uint64)
             for k, keys, whole in _runs(h, at, lengths[-1]):
+                if k > 1:
+                    every = known & np.append(every[1:], False)
                 if k == short:
                     ok = sieve.has(keys) & whole
                 elif k > short:
                     ok = whole & ok & np.append(ok[1:], False)
-                    if k in counts:
-                        sel = np.flatnonzero(ok)
-                        counts[k].add(keys[sel], part[sel], part[sel + 1])
+                    if k in lengths:
+                        sel = np.flatnonzero(ok & every)
+                        columns = _numbered(ids, sel, k)
+                        counts[k, True].add(*columns if len(columns) == 1 else (above(*columns), *columns))
+                        sel = np.flatnonzero(ok & ~every)
+                        counts[k, False].add(keys[sel], part[sel], part[sel + 1])
                 part = keys
-            for k, c in counts.items():
+            for (k, _), c in counts.items():
                 yield from c.full(k, buckets)
-        for k, c in counts.items():
+        for (k, _), c in counts.items():
             yield c.blocks(k, buckets)
 
     return run
@@ -273,17 +387,18 @@ class _Asks:
             yield self.blocks()
 
     def blocks(self) -> pa.RecordBatch:
-        """For each bucket the distinct keys, and of every place its key and its row."""
+        """For each bucket the distinct keys, and of every place whether it begins a key,
+        and its row."""
         keys, rows = map(np.concatenate, zip(*self.parts)) if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        order = np.argsort((keys >> np.uint64(32)) % np.uint64(self.buckets) << np.uint64(44) | keys >> np.uint64(20))
-        keys, rows = keys[order], rows[order]
+        order = np.argsort(keys)
+        keys, rows = keys[order], rows[order].astype(np.uint32)
         new = np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
-        bucket = (keys >> np.uint64(32)) % np.uint64(self.buckets)
+        bucket = _range(keys, self.buckets)
         begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), bucket[1:] != bucket[:-1])))
         one, two = [], []
         for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(keys)]):
-            one.append(_pack(keys[a:b][new[a:b]].tobytes()))
-            two.append(_pack(np.stack([np.cumsum(new[a:b]) - 1, rows[a:b]]).astype(np.uint32).tobytes()))
+            one.append(_pack(_steps(keys[a:b][new[a:b]])))
+            two.append(_pack(new[a:b].tobytes() + _planes(rows[a:b])))
         n, self.parts, self.size, self.seq = len(begin), [], 0, self.seq + 1
         same = {c: pa.array(np.full(n, v)) for c, v in (("kind", _ASK), ("pid", self.pid), ("k", self.k), ("seq", self.seq))}
         return _scored(n, **same, bucket=pa.array(bucket[begin].astype(np.int32)), keys=pa.array(one, pa.binary()), rows=pa.array(two, pa.binary()))
@@ -292,17 +407,26 @@ class _Asks:
 def _told(k: int, buckets: int):
     """A table (key, value) as blocks: k, bucket, and (keys, values)."""
 
+    def blocks(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, values = map(np.concatenate, zip(*parts))
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        bucket = _range(keys, buckets)
+        begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        data = [_pack(_steps(keys[a:b]) + _planes(values[a:b])) for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(keys)])]
+        return pa.record_batch([pa.array(np.full(len(begin), k, np.int32)), pa.array(bucket[begin].astype(np.int32)), pa.array(data, pa.binary())], names=["k", "bucket", "keys"])
+
     def run(batches):
+        parts, size = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, values = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            bucket = (keys >> np.uint64(32)) % np.uint64(buckets)
-            order = np.argsort(bucket)
-            bucket = bucket[order]
-            begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            data = [_pack(keys[x].tobytes() + values[x].tobytes()) for x in np.split(order, begin[1:])]
-            yield pa.record_batch([pa.array(np.full(len(begin), k, np.int32)), pa.array(bucket[begin].astype(np.int32)), pa.array(data, pa.binary())], names=["k", "bucket", "keys"])
+            if batch.num_rows:
+                parts.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+                size += batch.num_rows
+            if size > FLUSH:
+                yield blocks(parts)
+                parts, size = [], 0
+        if parts:
+            yield blocks(parts)
 
     return run
 
@@ -318,13 +442,13 @@ def _answered(batches):
                 at, told, table = (k, bucket), [], None
             raw = _unpack(data)
             if pid < 0:
-                told.append((np.frombuffer(raw[: len(raw) // 2], np.uint64), np.frombuffer(raw[len(raw) // 2 :], float)))
+                told.append((_stepped(raw[: len(raw) // 2]), _unplaned(raw[len(raw) // 2 :], float)))
                 continue
             if table is None:
                 names, values = map(np.concatenate, zip(*told)) if told else (np.zeros(0, np.uint64), np.zeros(0))
                 order = np.argsort(names)
                 table = names[order], np.append(values[order], np.nan)
-            out.append((k, bucket, pid, seq, _pack(table[1][lookup(table[0], np.frombuffer(raw, np.uint64))].tobytes())))
+            out.append((k, bucket, pid, seq, _pack(_planes(table[1][lookup(table[0], _stepped(raw))]))))
         columns = list(zip(*out)) if out else [()] * 5
         yield pa.record_batch([*(pa.array(c, pa.int32()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=["k", "bucket", "pid", "seq", "data"])
 
@@ -345,10 +469,12 @@ def _gathered(batches):
                     yield close()
                 pid, sums = p, np.zeros((4, 0))
             if side == 0:
-                values = np.frombuffer(_unpack(data), float)
+                values = _unplaned(_unpack(data), float)
                 continue
-            which, rows = np.frombuffer(_unpack(data), np.uint32).reshape(2, -1)
-            got = values[which]
+            raw = _unpack(data)
+            n = len(raw) // 5
+            rows = _unplaned(raw[n:], np.uint32)
+            got = values[np.cumsum(np.frombuffer(raw[:n], bool)) - 1]
             rows, got = rows[~np.isnan(got)], got[~np.isnan(got)]
             if not len(rows):
                 continue
@@ -411,6 +537,8 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     buckets = max(BUCKETS, n // BUCKET_TOKENS)
     root = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
     words = unigrams.where(F.col("c") >= min_count).select("key", "c", root.alias("logp"), F.lit(True).alias("live"))
+    names = _arrays(words.where(_most(words, LOOKUPS)), "c")
+    names = names[0][np.argsort(-names[1])]
     tree, weights, frequent, tables = Tree(n, v), [], {1: words.select("key", "c")}, []
     # Runs that may matter: their prefix and suffix runs (keys), count c, log10 probability
     # logp of the last word after the others, live: whether more words in front could still
@@ -420,7 +548,7 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     def counted(lengths: range) -> None:
         short = lengths[0] - 1
         sieve = Sieve(frequent[short].select("key"), frequent[short].count())
-        made = written(_counted(texts, _count_runs(sieve, short, lengths, buckets), 2, min_count), "frequent")
+        made = written(_counted(texts, _count_runs(sieve, short, lengths, buckets, names), 2, min_count, names), "frequent")
         tables.append(made)
         frequent.update({k: made.where(F.col("k") == k).drop("k") for k in lengths})
 
@@ -532,15 +660,23 @@ def score(docs: DataFrame, tree: Tree, unigrams: DataFrame, held_out: Column, id
     if all_words and all_runs:
         done = done.select("*", *nothing)
     else:
-        asks = first.where(F.col("kind") == _ASK)
+        asks, sums = first.where(F.col("kind") == _ASK), []
         block = "k int, bucket int, keys binary"
-        told = rare_words.select("key", F.log10(F.col("c") + 1).alias("value")).mapInArrow(_told(1, buckets), block)
-        told = told.unionByName(rare_runs.select("key", F.col("weight").alias("value")).mapInArrow(_told(2, buckets), block))
-        both = told.select("k", "bucket", F.lit(-1).alias("pid"), F.lit(-1).alias("seq"), "keys").unionByName(asks.select("k", "bucket", "pid", "seq", "keys"))
-        answers = both.repartition("k", "bucket").sortWithinPartitions("k", "bucket", "pid").mapInArrow(relieved(_answered), "k int, bucket int, pid int, seq int, data binary")
-        places = asks.select("k", "bucket", "pid", "seq", F.col("rows").alias("data"), F.lit(1).alias("side"))
-        sides = answers.withColumn("side", F.lit(0)).unionByName(places).select("pid", "k", "bucket", "seq", "side", "data")
-        sums = sides.repartition("pid").sortWithinPartitions("pid", "k", "bucket", "seq", "side").mapInArrow(relieved(_gathered), "pid int, row long, more long, gain double, deep double")
+        where = F.expr(f"shiftright(shiftrightunsigned(key, 32) * {buckets}L, 32)")
+        for wave in range(WAVES):
+            least, most = buckets * wave // WAVES, buckets * (wave + 1) // WAVES - 1
+            told = rare_words.where(where.between(least, most)).select("key", F.log10(F.col("c") + 1).alias("value")).mapInArrow(_told(1, buckets), block)
+            told = told.unionByName(rare_runs.where(where.between(least, most)).select("key", F.col("weight").alias("value")).mapInArrow(_told(2, buckets), block))
+            some = asks.where(F.col("bucket").between(least, most))
+            both = told.select("k", "bucket", F.lit(-1).alias("pid"), F.lit(-1).alias("seq"), "keys").unionByName(some.select("k", "bucket", "pid", "seq", "keys"))
+            answers = both.repartition("k", "bucket").sortWithinPartitions("k", "bucket", "pid").mapInArrow(relieved(_answered), "k int, bucket int, pid int, seq int, data binary")
+            places = some.select("k", "bucket", "pid", "seq", F.col("rows").alias("data"), F.lit(1).alias("side"))
+            sides = answers.withColumn("side", F.lit(0)).unionByName(places).select("pid", "k", "bucket", "seq", "side", "data")
+            gathered = sides.repartition("pid").sortWithinPartitions("pid", "k", "bucket", "seq", "side").mapInArrow(relieved(_gathered), "pid int, row long, more long, gain double, deep double")
+            sums.append(written(gathered, "sums"))
+            del told, some, both, answers, places, sides, gathered
+            _free(spark)
+        sums = reduce(DataFrame.unionByName, sums).groupBy("pid", "row").agg(*(F.sum(c).alias(c) for c in ("more", "gain", "deep")))
         done = done.join(sums, ["pid", "row"], "left")
     # words looked up have their root score; the others log10(c + 1) from the answers, 0 where unknown
     gain = F.coalesce("gain", F.lit(0.0)) - (F.col("n_tokens") - F.col("n_known")) * float(np.log10(tree.n + tree.v + 1))

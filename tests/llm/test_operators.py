@@ -525,6 +525,48 @@ def test_long_contexts_are_retained(spark):
     assert tree.states[3].where("retained").count()
 
 
+def test_runs_with_and_without_numbers_count_alike(spark, prose, monkeypatch):
+    df = table(spark, prose).repartition(3)
+    by_hand, *_ = tree_by_hand([(*t.split(), "</s>") for _, t in prose], suffix_lm.DEPTH)
+    monkeypatch.setattr(suffix_lm, "LOOKUPS", 12)  # few words have numbers
+    tree, unigrams = suffix_lm.fit(df, F.lit(True))
+    got = {r.doc_id: r.score for r in suffix_lm.score(df, tree, unigrams, F.lit(False), lookups=12).collect()}
+    assert got == pytest.approx({i: by_hand((*t.split(), "</s>")) for i, t in prose})
+
+
+def test_numbers_of_words():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 2**64, 4000, dtype=np.uint64)
+    words[:60] &= ~np.uint64(0xFFFF)  # one place in the table
+    others = rng.integers(0, 2**64, 4000, dtype=np.uint64)
+    others[:60] &= ~np.uint64(0xFFFF)
+    numbers = suffix_lm._Numbers(words)
+    assert numbers.of(words).tolist() == list(range(4000)) and (numbers.of(others) == -1).all()
+    assert (suffix_lm._Numbers(words[:0]).of(others) == -1).all()
+    ids, at = rng.integers(0, 4000, 300).astype(np.uint64), np.arange(290)
+    for k in range(2, 8):
+        run = suffix_lm._named(suffix_lm._numbered(ids, at, k), k, words)
+        assert all((run[j] == words[ids[at + j].astype(int)]).all() for j in range(k))
+
+
+def test_asks_are_small():
+    rng = np.random.default_rng(5)
+    keys, rows = rng.integers(0, 2**64, 100_000, dtype=np.uint64), np.sort(rng.integers(0, 8000, 100_000))
+    asks = suffix_lm._Asks(0, 2, 64)
+    list(asks.add(keys, rows))
+    batch = asks.blocks()
+    assert sum(len(d) for c in ("keys", "rows") for d in batch.column(c).to_pylist()) < 9 * len(keys)
+    assert sum(len(suffix_lm._stepped(suffix_lm._unpack(d))) for d in batch.column("keys").to_pylist()) == len(np.unique(keys))
+
+
+def test_the_sieve_passes_its_keys_and_few_others(spark):
+    rng = np.random.default_rng(7)
+    keys = rng.integers(0, 2**64, 20_000, dtype=np.uint64)
+    sieve = suffix_lm.Sieve(spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "key long"), len(keys))
+    assert sieve.has(keys).all()
+    assert sieve.has(rng.integers(0, 2**64, 200_000, dtype=np.uint64)).mean() < 0.015
+
+
 # Nearest neighbours --------------------------------------------------------------------------------
 
 
