@@ -492,14 +492,14 @@ def _gathered(batches):
 
 def _score(n: int, v: int, words: tuple, hot: tuple, sieves: tuple, longest: int, all_words: bool, all_runs: bool, buckets: int):
     """all_words, all_runs: nothing is left to ask for. sieves: of words, of runs."""
-    root = np.log10((words[1] + 1) / (n + v + 1))
+    known_words, c = words[0], words[1].astype(np.min_scalar_type(int(words[1].max(initial=0))))
 
     def run(batches):
-        pid, begun = TaskContext.get().partitionId(), 0
+        pid, begun, root = TaskContext.get().partitionId(), 0, np.log10((c + 1.0) / (n + v + 1))
         cold, far = _Asks(pid, 1, buckets), _Asks(pid, 2, buckets)
         for part, h, at in _slices(batches, 1):
             row = begun + np.repeat(np.arange(len(at) - 1), np.diff(at))
-            w = lookup(words[0], h)
+            w = lookup(known_words, h)
             known = w >= 0
             base = np.where(known, root[np.maximum(w, 0)] if len(root) else 0.0, 0.0)
             if not all_words:
@@ -539,7 +539,7 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     words = unigrams.where(F.col("c") >= min_count).select("key", "c", root.alias("logp"), F.lit(True).alias("live"))
     names = _arrays(words.where(_most(words, LOOKUPS)), "c")
     names = names[0][np.argsort(-names[1])]
-    tree, weights, frequent, tables = Tree(n, v), [], {1: words.select("key", "c")}, []
+    tree, weights, frequent, tables, levels = Tree(n, v), [], {1: words.select("key", "c")}, {}, []
     # Runs that may matter: their prefix and suffix runs (keys), count c, log10 probability
     # logp of the last word after the others, live: whether more words in front could still
     # change it.
@@ -549,7 +549,7 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
         short = lengths[0] - 1
         sieve = Sieve(frequent[short].select("key"), frequent[short].count())
         made = written(_counted(texts, _count_runs(sieve, short, lengths, buckets, names), 2, min_count, names), "frequent")
-        tables.append(made)
+        tables[lengths[-1]] = made
         frequent.update({k: made.where(F.col("k") == k).drop("k") for k in lengths})
 
     for length in range(2, depth + 2):
@@ -562,7 +562,9 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
         states = written(_states(met), "states")
         runs = written(_resolved(met, states), "level")
         discard(met)
-        tables.append(runs)
+        if length - 1 in tables:
+            discard(tables.pop(length - 1))
+        levels.append(runs)
         tree.longest = length
         tree.states.append(states)
         weights += [runs.where("delta is not null").select("key", "c", F.col("delta").alias("weight")), states.where("retained").select("key", "c", F.col("passed").alias("weight"))]
@@ -570,11 +572,13 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
         _free(docs.sparkSession)
         if runs.where("live").isEmpty():
             break
+    for made in tables.values():
+        discard(made)
     if weights:
         tree.weights = written(reduce(DataFrame.unionByName, weights).groupBy("key").agg(F.max("c").alias("c"), F.sum("weight").alias("weight")), "weights")
-    for made in tables:
+    for made in levels:
         discard(made)
-    del frequent, tables, weights, runs
+    del frequent, tables, levels, weights, runs
     _free(docs.sparkSession)
     return tree, unigrams
 
@@ -586,9 +590,10 @@ def _buckets(texts: DataFrame) -> int:
 
 def _free(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    time.sleep(2)  # the bridge to the JVM lets go of objects once a second
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first leaves, as the bridge or the cleaner lags, goes with the second
+        gc.collect()
+        time.sleep(1.5)  # the bridge to the JVM lets go of objects once a second
+        spark.sparkContext._jvm.System.gc()
 
 
 def _states(met: DataFrame) -> DataFrame:
@@ -614,7 +619,7 @@ def _resolved(met: DataFrame, states: DataFrame) -> DataFrame:
     by = states.select(F.col("key").alias("prefix"), "retained", "passed", "alive")
     gives = F.log10((F.col("c") - DISCOUNT) / F.col("total"))
     return met.join(by, "prefix").select(
-        "key", "prefix", "suffix", "c", F.when(F.col("retained"), gives).otherwise(F.col("below")).alias("logp"),
+        "key", "c", F.when(F.col("retained"), gives).otherwise(F.col("below")).alias("logp"),
         F.col("alive").alias("live"), F.when(F.col("retained"), gives - F.col("passed") - F.col("below")).alias("delta"),
     )
 
@@ -651,6 +656,7 @@ def score(docs: DataFrame, tree: Tree, unigrams: DataFrame, held_out: Column, id
     all_words, all_runs = rare_words.isEmpty(), rare_runs.isEmpty()
     buckets = max(BUCKETS, tree.n // BUCKET_TOKENS)
     sieves = Sieve(rare_words.select("key"), rare_words.count()), Sieve(weights.select("key"), weights.count())
+    _free(spark)
     scoring = _score(tree.n, tree.v, words, hot, sieves, tree.longest, all_words, all_runs, buckets)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
     first = written(base.mapInArrow(relieved(scoring), _SCORED), "scored")
