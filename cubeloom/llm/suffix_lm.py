@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import gc
 import time
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -56,6 +57,7 @@ _CODEC = pa.Codec("zstd", compression_level=1)
 END = np.uint64(0x3C79AC492BA7B653)
 SLICE, WAVES = 600, 4
 WIDE, PACKED = np.uint64(21), 3  # bits of a word's number, numbers in a column
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -273,7 +275,8 @@ class Sieve:
         self.shifts = [0, 28, 34][: max(1, 7 * self.bits // (10 * max(1, n)))]
         at = F.col("key").bitwiseAND(F.lit(self.bits - 1))
         bit = " | ".join(f"shiftleft(1L, cast(shiftright(key, {by}) & 63L as int))" for by in self.shifts)
-        got = keys.select(F.shiftright(at, 6).alias("at"), F.expr(bit).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+        with _cleaned(keys.sparkSession):
+            got = keys.select(F.shiftright(at, 6).alias("at"), F.expr(bit).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
         self.map = np.zeros(self.bits >> 6, np.uint64)
         self.map[got.column("at").to_numpy()] = got.column("bit").to_numpy().astype(np.int64).view(np.uint64)
 
@@ -532,7 +535,7 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     where `training` holds."""
     ship(docs.sparkSession)
     texts = docs.where(training).select(F.col(text_col).cast("string").alias("text"))
-    unigrams = written(_counted(texts, _count_words(_buckets(texts)), 1, 1).select("key", "c"), "unigrams")
+    unigrams = _stored(_counted(texts, _count_words(_buckets(texts)), 1, 1).select("key", "c"), "unigrams")
     n, v = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     buckets = max(BUCKETS, n // BUCKET_TOKENS)
     root = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
@@ -548,7 +551,7 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     def counted(lengths: range) -> None:
         short = lengths[0] - 1
         sieve = Sieve(frequent[short].select("key"), frequent[short].count())
-        made = written(_counted(texts, _count_runs(sieve, short, lengths, buckets, names), 2, min_count, names), "frequent")
+        made = _stored(_counted(texts, _count_runs(sieve, short, lengths, buckets, names), 2, min_count, names), "frequent")
         tables[lengths[-1]] = made
         frequent.update({k: made.where(F.col("k") == k).drop("k") for k in lengths})
 
@@ -558,9 +561,9 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
             _free(docs.sparkSession)
         tops = frequent[length - 1].select(F.col("key").alias("prefix"), F.col("c").alias("total"))
         lows = runs.where("live").select(F.col("key").alias("suffix"), F.col("logp").alias("below"))
-        met = written(frequent[length].join(lows, "suffix").join(tops, "prefix"), "met")
-        states = written(_states(met), "states")
-        runs = written(_resolved(met, states), "level")
+        met = _stored(frequent[length].join(lows, "suffix").join(tops, "prefix"), "met")
+        states = _stored(_states(met), "states")
+        runs = _stored(_resolved(met, states), "level")
         discard(met)
         if length - 1 in tables:
             discard(tables.pop(length - 1))
@@ -575,7 +578,7 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     for made in tables.values():
         discard(made)
     if weights:
-        tree.weights = written(reduce(DataFrame.unionByName, weights).groupBy("key").agg(F.max("c").alias("c"), F.sum("weight").alias("weight")), "weights")
+        tree.weights = _stored(reduce(DataFrame.unionByName, weights).groupBy("key").agg(F.max("c").alias("c"), F.sum("weight").alias("weight")), "weights")
     for made in levels:
         discard(made)
     del frequent, tables, levels, weights, runs
@@ -588,8 +591,27 @@ def _buckets(texts: DataFrame) -> int:
     return max(BUCKETS, (texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 4) // BUCKET_TOKENS)
 
 
+@contextmanager
+def _cleaned(spark: SparkSession):
+    """The shuffle files of what runs here go as it ends: a table takes those of several
+    joins, and until a collection they would lie beside those of the next table."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    with _cleaned(df.sparkSession):
+        return written(df, name)
+
+
 def _free(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
+    """Lets Spark drop what plans hold that nothing refers to any more: above all the
+    tables of a task's function, of which driver and executors have files. Shuffle files
+    do not wait for it, see _cleaned."""
     for _ in range(2):  # what the first leaves, as the bridge or the cleaner lags, goes with the second
         gc.collect()
         time.sleep(1.5)  # the bridge to the JVM lets go of objects once a second
@@ -659,7 +681,7 @@ def score(docs: DataFrame, tree: Tree, unigrams: DataFrame, held_out: Column, id
     _free(spark)
     scoring = _score(tree.n, tree.v, words, hot, sieves, tree.longest, all_words, all_runs, buckets)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
-    first = written(base.mapInArrow(relieved(scoring), _SCORED), "scored")
+    first = _stored(base.mapInArrow(relieved(scoring), _SCORED), "scored")
     _free(spark)
     done = first.where(F.col("kind") == _DOC).select("pid", "row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
     nothing = [F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("gain"), F.lit(0.0).alias("deep")]
@@ -679,7 +701,7 @@ def score(docs: DataFrame, tree: Tree, unigrams: DataFrame, held_out: Column, id
             places = some.select("k", "bucket", "pid", "seq", F.col("rows").alias("data"), F.lit(1).alias("side"))
             sides = answers.withColumn("side", F.lit(0)).unionByName(places).select("pid", "k", "bucket", "seq", "side", "data")
             gathered = sides.repartition("pid").sortWithinPartitions("pid", "k", "bucket", "seq", "side").mapInArrow(relieved(_gathered), "pid int, row long, more long, gain double, deep double")
-            sums.append(written(gathered, "sums"))
+            sums.append(_stored(gathered, "sums"))
             del told, some, both, answers, places, sides, gathered
             _free(spark)
         sums = reduce(DataFrame.unionByName, sums).groupBy("pid", "row").agg(*(F.sum(c).alias(c) for c in ("more", "gain", "deep")))

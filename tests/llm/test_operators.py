@@ -6,6 +6,7 @@ import random
 import re
 import string
 import struct
+import time
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -567,6 +568,29 @@ def test_the_sieve_passes_its_keys_and_few_others(spark):
     assert sieve.has(rng.integers(0, 2**64, 200_000, dtype=np.uint64)).mean() < 0.015
 
 
+def test_tables_of_the_tree_leave_no_shuffle_files(spark, prose, monkeypatch):
+    disk, names = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), []
+
+    def files():
+        return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+    def checked(df, name, write=suffix_lm.written):
+        before, out, ends = files(), write(df, name), time.time() + 5
+        while files() - before and time.time() < ends:
+            time.sleep(0.05)
+        assert not files() - before, name
+        names.append(name)
+        return out
+
+    monkeypatch.setattr(suffix_lm, "written", checked)
+    monkeypatch.setattr(suffix_lm, "_free", lambda _: None)  # files go without a collection
+    df = table(spark, prose).repartition(3)
+    tree, unigrams = suffix_lm.fit(df, F.lit(True))
+    assert suffix_lm.score(df, tree, unigrams, F.lit(False), lookups=3).count() == len(prose)
+    assert {"unigrams", "frequent", "met", "states", "level", "weights", "scored", "sums"} == set(names)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 # Nearest neighbours --------------------------------------------------------------------------------
 
 
