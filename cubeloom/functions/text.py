@@ -12,15 +12,20 @@ from pyspark.sql import functions as F
 UNITS = ("b", "Kb", "Mb", "Gb", "Tb", "Pb", "Eb")
 
 
-def format_bytes(n: Column, digits: int = 2) -> Column:
-    """1024-based size with a unit; whole numbers have no decimals, others `digits`."""
+def format_bytes(n: Column, digits: int = 2, largest: str = UNITS[-1]) -> Column:
+    """1024-based size with a unit, `largest` at most; whole numbers have no decimals, others
+    `digits`, halves to even. Whole is told by n itself, as a double rounds past 2⁵³."""
     size = F.abs(n.cast("double"))
-    level = F.lit(0)
-    for k in range(1, len(UNITS)):
-        level = F.when(size >= 1024.0**k, F.lit(k)).otherwise(level)
-    value = n.cast("double") / F.pow(F.lit(1024.0), level)
-    number = F.when(value == F.rint(value), F.format_string("%d", F.rint(value).cast("long"))).otherwise(F.format_string(f"%.{digits}f", F.bround(value, digits)))
-    return F.concat(number, F.element_at(F.array(*[F.lit(u) for u in UNITS]), level + 1))
+    unit, name = F.lit(1), F.lit(UNITS[0])
+    for k in range(1, UNITS.index(largest) + 1):
+        unit, name = F.when(size >= 1024.0**k, F.lit(1024**k)).otherwise(unit), F.when(size >= 1024.0**k, F.lit(UNITS[k])).otherwise(name)
+    value = size / unit
+    whole = F.floor(value)
+    # Apart from `whole`, so that no digit is lost; without digits an odd `whole` takes halves up.
+    rest = F.bround(value - whole, digits) if digits else F.rint(value) - whole
+    decimals = F.when(n % unit == 0, F.lit("")).otherwise(F.substring(F.format_string(f"%.{digits}f", rest), 2, digits + 1))
+    number = F.concat(F.when(n < 0, F.lit("-")).otherwise(F.lit("")), (whole + F.when(rest == 1, F.lit(1)).otherwise(F.lit(0))).cast("string"), decimals)
+    return F.when(n.isNotNull(), F.concat(number, name))
 
 
 def parse_bytes(text: str) -> int:
